@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from bazaarflow.functions.buckets import coverage_tier
 from bazaarflow.functions.dates import week_start
 from bazaarflow.functions.numbers import rounded
-from bazaarflow.operators.series import PRICE, SERIES, days_since_previous
+from bazaarflow.operators.series import PRICE, SERIES, days_since_previous, newest
 from bazaarflow.operators.upsert import newest_days
 from bazaarflow.settings import QualitySettings
 
@@ -84,3 +84,12 @@ def with_selected(coverage: DataFrame, per_group: int) -> DataFrame:
 
 def restricted_to(history: DataFrame, selection: DataFrame) -> DataFrame:
     return history.join(selection.select(*SERIES), list(SERIES), "left_semi")
+
+
+def development_sample(history: DataFrame, coverage: DataFrame, series: int, reports: int) -> DataFrame:
+    """The first series of each commodity by market name, with their newest reports."""
+    by_name = Window.partitionBy("commodity").orderBy("market", "market_id")
+    picked = coverage.select(*SERIES, "market").withColumn(
+        "_place", F.row_number().over(by_name)
+    ).filter(F.col("_place") <= series)
+    return newest(restricted_to(history, picked), reports)

@@ -10,23 +10,29 @@ HISTORY_KEY = ("market_id", "commodity", "date")
 LEDGER_KEY = ("state_id", "commodity", "source_month")
 
 
+def one_per_key(rows: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """The row with the largest `order` per key.
+
+    A combined maximum, so many rows of one key shrink before the shuffle.
+    """
+    rest = [c for c in rows.columns if c not in keys]
+    return (
+        rows.groupBy(*keys)
+        .agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("kept"))
+        .select(*keys, "kept.*")
+    )
+
+
 def keep_last(published: DataFrame, refreshed: DataFrame, keys: Sequence[str] = HISTORY_KEY,
               tie_breaks: Sequence[str] = ()) -> DataFrame:
     """Union by name and keep, per key, the row of the newest batch.
 
-    A combined maximum, so revisions of one key shrink before the shuffle. `tie_breaks` order
-    several rows of one key inside a batch; the largest wins.
+    `tie_breaks` order several rows of one key inside a batch; the largest wins.
     """
     merged = published.withColumn("_batch", F.lit(0)).unionByName(
         refreshed.withColumn("_batch", F.lit(1)), allowMissingColumns=True
     )
-    rest = [c for c in merged.columns if c not in keys and c != "_batch"]
-    order = F.struct("_batch", *tie_breaks)
-    return (
-        merged.groupBy(*keys)
-        .agg(F.max_by(F.struct(*rest), order).alias("kept"))
-        .select(*keys, "kept.*")
-    )
+    return one_per_key(merged, keys, ["_batch", *tie_breaks]).drop("_batch")
 
 
 def newest_days(history: DataFrame, days: int) -> DataFrame:

@@ -11,7 +11,7 @@ from bazaarflow.operators import coverage as C
 from bazaarflow.operators import validate as V
 from bazaarflow.operators.market_day import market_days
 from bazaarflow.operators.series import with_anomaly
-from bazaarflow.operators.upsert import keep_last, newest_days
+from bazaarflow.operators.upsert import HISTORY_KEY, keep_last, newest_days, one_per_key
 from bazaarflow.settings import QualitySettings
 from bazaarflow.sources import raw_json, reference_dims
 
@@ -57,7 +57,7 @@ def accepted_history(reports: DataFrame, position: Sequence[str], quality: Quali
 
 def one_row_per_day(days: DataFrame) -> DataFrame:
     """Two spellings of a market on one day are two market-days; a series keeps one of them."""
-    return keep_last(days.limit(0), days, tie_breaks=SPELLING)
+    return one_per_key(days, HISTORY_KEY, SPELLING)
 
 
 def merged_history(published: DataFrame, refreshed: DataFrame, quality: QualitySettings) -> DataFrame:

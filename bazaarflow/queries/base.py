@@ -181,6 +181,7 @@ PARTS: dict[str, tuple[str, tuple[str, ...]]] = {
         then 'exact_duplicate' else first_reason end as exclusion_reason
       from checked""", ("checked",)),
     "accepted": ("select * from marked where exclusion_reason is null", ("marked",)),
+    "accepted_days": (market_day_sql("accepted"), ("accepted",)),
     "history": (market_day_sql("placed"), ("placed",)),
     "scored": (f"""
       select * exclude (earlier, center, spread, scale),
@@ -263,7 +264,7 @@ def featured_sql(source: str) -> str:
         {VOLATILITY_SQL('deviation / greatest(rolling_mean_30d, 1)')} as volatility_bucket, arrival_coverage,
         representative_price as current_price, min_price as current_min_price, max_price as current_max_price,
         coalesce(arrivals_tonnes, 0) as current_arrivals,
-        case when arrivals_tonnes is null then 1.0 else 0.0 end as current_arrivals_missing,
+        cast(arrivals_tonnes is null as double) as current_arrivals_missing,
         lag_1d, lag_7d, lag_14d, lag_28d, rolling_mean_7d, rolling_mean_14d, rolling_mean_30d, rolling_mean_90d,
         rolling_median_30d, deviation as rolling_std_30d, deviation / greatest(rolling_mean_30d, 1) as relative_volatility_30d,
         representative_price - lag_7d as momentum_7d, max_price - min_price as current_spread,
@@ -304,4 +305,6 @@ def oracle(final: str, *needs: str) -> str:
     if not order:
         return final.strip()
     body = ",\n".join(f"{name} as ({PARTS[name][0]})" for name in order)
-    return f"with {body}\n{final.strip()}"
+    final = final.strip()
+    rest = f",\n{final[5:]}" if final.startswith("with ") else f"\n{final}"
+    return f"with {body}{rest}"

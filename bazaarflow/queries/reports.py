@@ -1 +1,128 @@
+"""Registered queries: validation, duplicates, ledger and the market-day roll-up."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from bazaarflow.operators import validate as V
+from bazaarflow.operators.market_day import market_days
+from bazaarflow.queries.base import (
+    checked, history, market_day_sql, marked, oracle, register,
+)
+from bazaarflow.sources import tables as T
+
+LINE = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "copy"]
+FILE = ["state_id", "state", "commodity", "source_month"]
+
+
+@register("market_day", oracle("select * from accepted_days", "accepted_days"))
+def market_day(spark, sf):
+    return market_days(V.first_copies(checked(spark, sf), T.LINE_POSITION))
+
+
+@register("market_day_clean", oracle("select * from history", "history"))
+def market_day_clean(spark, sf):
+    return history(spark, sf)
+
+
+@register("market_day_zero_arrivals", oracle(market_day_sql(
+    "(select * replace (case when arrivals_tonnes is not null then 0.0 end as arrivals_tonnes) from placed)"), "placed"))
+def market_day_zero_arrivals(spark, sf):
+    """Arrivals present but zero: the median price, yet complete coverage."""
+    zero = F.when(F.col("arrivals_tonnes").isNotNull(), F.lit(0.0))
+    return market_days(T.variety_reports(spark, sf).withColumn("arrivals_tonnes", zero))
+
+
+@register("agg_example_variety", oracle("""
+  select commodity, market_id, date, example_variety, example_variety_basis, variety_count from history""", "history"))
+def agg_example_variety(spark, sf):
+    return history(spark, sf).select(
+        "commodity", "market_id", "date", "example_variety", "example_variety_basis", "variety_count"
+    )
+
+
+@register("agg_arrival_coverage", oracle("""
+  select arrival_coverage, aggregation_method, count(*) as market_days,
+    cast(sum(cast(arrivals_tonnes as decimal(18,3))) as double) as arrivals_tonnes
+  from history group by 1, 2""", "history"))
+def agg_arrival_coverage(spark, sf):
+    return history(spark, sf).groupBy("arrival_coverage", "aggregation_method").agg(
+        F.count("*").alias("market_days"),
+        F.sum(F.col("arrivals_tonnes").cast("decimal(18,3)")).cast("double").alias("arrivals_tonnes"),
+    )
+
+
+@register("val_reason", oracle("""
+  select l_orderkey, l_linenumber, l_partkey, l_suppkey, copy, first_reason as exclusion_reason from checked""", "checked"))
+def val_reason(spark, sf):
+    return checked(spark, sf).select(*LINE, V.REASON)
+
+
+@register("val_exact_duplicate", oracle("""
+  select l_orderkey, l_linenumber, l_partkey, l_suppkey, copy from marked where exclusion_reason = 'exact_duplicate'""", "marked"))
+def val_exact_duplicate(spark, sf):
+    return marked(spark, sf).filter(F.col(V.REASON) == "exact_duplicate").select(*LINE)
+
+
+@register("val_accept_reject_split", oracle("""
+  select case when exclusion_reason is null then 'accepted' else 'rejected' end as side, exclusion_reason,
+    l_orderkey, l_linenumber, l_partkey, l_suppkey, copy, min_price, max_price, modal_price, arrivals_tonnes
+  from marked""", "marked"))
+def val_accept_reject_split(spark, sf):
+    accepted, rejected = V.split(marked(spark, sf))
+    kept = [*LINE, "min_price", "max_price", "modal_price", "arrivals_tonnes"]
+    return accepted.select(F.lit("accepted").alias("side"), *kept).unionByName(
+        rejected.select(F.lit("rejected").alias("side"), V.REASON, *kept), allowMissingColumns=True
+    )
+
+
+_REASONS_SQL = """'{' || string_agg('"' || exclusion_reason || '":' || n, ',' order by exclusion_reason)
+  filter (where exclusion_reason is not null) || '}'"""
+_LEDGER_SQL = f"""
+  files as (select distinct s.state_id, s.state, c.commodity, m.source_month from
+    (select distinct state_id, state from placed) s, (select distinct commodity from placed) c,
+    (select distinct strftime(date, '%Y-%m') as source_month from placed) m),
+  counts as (select state_id, commodity, source_month, exclusion_reason, count(*) as n from marked group by 1, 2, 3, 4),
+  ledger as (select f.state_id, f.state, f.commodity, f.source_month,
+      cast(coalesce(sum(n), 0) as bigint) as input_records,
+      cast(coalesce(sum(n) filter (where exclusion_reason is null), 0) as bigint) as accepted_records,
+      cast(coalesce(sum(n) filter (where exclusion_reason is not null), 0) as bigint) as excluded_records,
+      coalesce({_REASONS_SQL}, '{{}}') as exclusion_reasons_json
+    from files f left join counts using (state_id, commodity, source_month) group by 1, 2, 3, 4)"""
+
+
+def _ledger(spark, sf):
+    """Files of every state, commodity and month, also those without rows.
+
+    The configured dimensions are small lists; months come from the reports.
+    """
+    placed = T.variety_reports(spark, sf)
+    states = T.table(spark, sf, "region").select(F.col("r_regionkey").cast("long").alias("state_id"), F.col("r_name").alias("state"))
+    months = placed.select(F.date_format("date", "yyyy-MM").alias("source_month")).distinct()
+    crops = T.table(spark, sf, "part").select(F.col("p_type").alias("commodity")).distinct()
+    listed = crops.agg(F.collect_set("commodity")).scalar()
+    named = states.agg(F.collect_set(F.struct("state_id", "state"))).scalar()
+    files = months.withColumn("commodity", F.explode(listed)).withColumn("s", F.explode(named)).select(
+        "s.state_id", "s.state", "commodity", "source_month"
+    )
+    return V.quality_ledger(marked(spark, sf), files, FILE)
+
+
+@register("quality_ledger", oracle(f"with {_LEDGER_SQL} select * from ledger", "placed", "marked"))
+def quality_ledger(spark, sf):
+    return _ledger(spark, sf)
+
+
+@register("quality_reasons", oracle("""
+  select exclusion_reason, replace(exclusion_reason, '_', ' ') as label, count(*) as n from marked
+  where exclusion_reason is not null group by 1""", "marked"))
+def quality_reasons(spark, sf):
+    return V.reason_counts(marked(spark, sf))
+
+
+@register("quality_cumulative", oracle(f"""
+  with {_LEDGER_SQL} select count(*) as source_file_count, cast(sum(input_records) as bigint) as input_records,
+    cast(sum(accepted_records) as bigint) as accepted_records, cast(sum(excluded_records) as bigint) as excluded_records,
+    sum(input_records) = sum(accepted_records) + sum(excluded_records) as reconciles from ledger""", "placed", "marked"))
+def quality_cumulative(spark, sf):
+    return V.cumulative_quality(_ledger(spark, sf))
