@@ -232,3 +232,16 @@ def band_positions(history: DataFrame) -> DataFrame:
         *S.SERIES, "date",
         rounded(price_position(F.col("min_price"), F.col(S.PRICE), F.col("max_price")), 4).alias("band_position"),
     )
+
+
+def places(markets: DataFrame, sort: str) -> DataFrame:
+    """Place of each series under an order. The catalog holds one row per series."""
+    return markets.withColumn("place", F.row_number().over(Window.orderBy(*ordering(sort))))
+
+
+def preview(markets: DataFrame, text: str = "", rows: int = 24) -> DataFrame:
+    """The first matching rows in catalog order: a top-k."""
+    found = markets
+    if text:
+        found = found.filter(mentions(text, F.col("market"), F.col("district"), F.col("state"), F.col("commodity")))
+    return found.orderBy("state", "market", "commodity", "market_id").limit(rows)

@@ -130,7 +130,7 @@ def published_summary(history: DataFrame, coverage: DataFrame, quality: QualityS
 
 
 def coverage_matrix(coverage: DataFrame, commodities: list[str]) -> DataFrame:
-    return coverage.groupBy("state").pivot("commodity", commodities).agg(F.count("*"))
+    return coverage.groupBy("state").pivot("commodity", commodities).agg(F.count(F.lit(1)))
 
 
 def manifest_document(totals: DataFrame, partitions: DataFrame) -> DataFrame:
