@@ -49,3 +49,12 @@ def months_between(bounds: DataFrame) -> DataFrame:
 def refresh_start(end: Column) -> Column:
     """A refresh re-reads the previous month and the current one."""
     return F.add_months(F.trunc(end, "MM"), -1)
+
+
+def utc_instant(local: Column) -> Column:
+    """Instant of a zone-less timestamp read as UTC, whatever the session time zone is."""
+    return F.concat(local.cast("string"), F.lit("+00:00")).cast("timestamp")
+
+
+def utc_date(instant: Column) -> Column:
+    return F.date_from_unix_date(F.floor(F.unix_seconds(instant) / 86_400).cast("int"))

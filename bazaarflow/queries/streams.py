@@ -1 +1,101 @@
+"""Registered queries: streaming jobs run to the end of their input and read back."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from bazaarflow.operators.series import PRICE
+from bazaarflow.operators.upsert import HISTORY_KEY
+from bazaarflow.operators.validate import DUPLICATE_KEY, REASON
+from bazaarflow.functions.dates import utc_instant
+from bazaarflow.functions.numbers import rounded
+from bazaarflow.functions.text import casefolded
+from bazaarflow.queries.base import ORACLES, QUALITY, history, oracle, register, rnd
+from bazaarflow.session import shared_folder
+from bazaarflow.sources import tables as T
+from bazaarflow.streaming import jobs
+
+_FLAT = ("market_raw", "date", "variety", "min_price", "max_price", "modal_price", "arrivals_tonnes")
+
+
+@register("stream_validate", f"""
+  with flat as ({ORACLES['src_flatten']})
+  select {', '.join(_FLAT)}, case
+    when date < date '{QUALITY.start_date}' or date > date '{QUALITY.end_date}' then 'outside_requested_date_range'
+    when min_price is null or max_price is null or modal_price is null then 'unparseable_price'
+    when least(min_price, max_price, modal_price) <= 0 then 'non_positive_price'
+    when greatest(min_price, max_price, modal_price) > {QUALITY.maximum_price} then 'price_above_safety_ceiling'
+    when not (min_price <= modal_price and modal_price <= max_price) then 'invalid_price_order' end as exclusion_reason
+  from flat""")
+def stream_validate(spark, sf):
+    inbox, outbox = shared_folder(spark, "inbox"), shared_folder(spark, "validated")
+    T.raw_documents(spark, sf).select(F.col("document").alias("value")).write.text(inbox)
+    stream = jobs.validated_stream(jobs.arriving_documents(spark, inbox), QUALITY)
+    shown = stream.select(*_FLAT, REASON, "side")
+    jobs.write_to_end(shown, outbox, shared_folder(spark, "progress"), ["side"])
+    return spark.read.schema(shown.schema).parquet(outbox).select(*_FLAT, REASON)
+
+
+@register("stream_dedup", oracle("""
+  select distinct p_type as commodity, r.r_regionkey || '-' || n.n_nationkey as market_id, lower(p_brand) as variety_key, cast(l_shipdate as date) as date,
+    l_extendedprice as min_price, l_extendedprice as max_price, l_quantity as modal_price
+  from lineitem join part on l_partkey = p_partkey join supplier on l_suppkey = s_suppkey
+  join nation n on s_nationkey = n_nationkey join region r on n_regionkey = r_regionkey"""))
+def stream_dedup(spark, sf):
+    """Lines sent twice, as a stream joined with the static tables."""
+    lines = spark.readStream.schema(T.table(spark, sf, "lineitem").schema).option(
+        "pathGlobFilter", "lineitem.parquet"
+    ).parquet(sf)
+    places = T.table(spark, sf, "supplier").join(
+        T.table(spark, sf, "nation"), F.col("s_nationkey") == F.col("n_nationkey")
+    ).join(T.table(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    reports = (
+        lines.join(T.table(spark, sf, "part"), F.col("l_partkey") == F.col("p_partkey"))
+        .join(places, F.col("l_suppkey") == F.col("s_suppkey"))
+        .select(
+            utc_instant(F.col("l_shipdate")).alias("event_time"), F.col("p_type").alias("commodity"),
+            F.concat_ws("-", F.col("r_regionkey").cast("string"), F.col("n_nationkey").cast("string")).alias("market_id"),
+            casefolded(F.col("p_brand")).alias("variety_key"), F.col("l_shipdate").cast("date").alias("date"),
+            F.col("l_extendedprice").alias("min_price"), F.col("l_extendedprice").alias("max_price"),
+            F.col("l_quantity").alias("modal_price"),
+            F.explode(F.array(F.lit(0), F.lit(1))).alias("copy"),
+        )
+    )
+    folder = shared_folder(spark, "deduplicated")
+    # the table is not in time order, so the delay spans its whole period
+    kept = jobs.deduplicated_stream(reports, "event_time", "4000 days").select(*DUPLICATE_KEY)
+    jobs.write_to_end(kept, folder, shared_folder(spark, "progress"))
+    return spark.read.schema(kept.schema).parquet(folder)
+
+
+@register("stream_market_day", oracle("""
+  select cast(ts as date) as date, event_type, count(*) as reports, min(value) as lowest, max(value) as highest,
+    cast(sum(cast(value as decimal(18,2))) as double) as total
+  from events group by 1, 2"""))
+def stream_market_day(spark, sf):
+    events = spark.readStream.schema(T.table(spark, sf, "events").schema).option(
+        "pathGlobFilter", "events.parquet"
+    ).parquet(sf)
+    daily = jobs.daily_stream(events.withColumn("ts", utc_instant(F.col("ts"))), "ts", "2 days", ["event_type"], "value")
+    folder = shared_folder(spark, "daily")
+    jobs.upsert_to_end(daily, folder, shared_folder(spark, "progress"), ["date", "event_type"], [], "update")
+    return spark.read.parquet(folder).select(
+        "date", "event_type", "reports", "lowest", "highest", F.col("total").cast("double").alias("total")
+    )
+
+
+@register("stream_upsert", oracle(f"""
+  select market_id, commodity, date, case when day(date) % 3 = 0 then 1 else 0 end as revision,
+    case when day(date) % 3 = 0 then {rnd('representative_price + 1', 2)} else representative_price end as representative_price
+  from history""", "history"))
+def stream_upsert(spark, sf):
+    """Market-days arrive first, revisions of every third day later; the later row stays."""
+    days = history(spark, sf).select(*HISTORY_KEY, PRICE)
+    inbox, folder = shared_folder(spark, "inbox"), shared_folder(spark, "merged")
+    days.withColumn("revision", F.lit(0)).write.parquet(inbox)
+    days.filter(F.dayofmonth("date") % 3 == 0).withColumn(PRICE, rounded(F.col(PRICE) + 1, 2)).withColumn(
+        "revision", F.lit(1)
+    ).write.mode("append").parquet(inbox)
+    arriving = spark.readStream.schema(spark.read.parquet(inbox).schema).option("maxFilesPerTrigger", 64).parquet(inbox)
+    jobs.upsert_to_end(arriving, folder, shared_folder(spark, "progress"), HISTORY_KEY, ["revision"])
+    return spark.read.parquet(folder).select(*HISTORY_KEY, "revision", PRICE)
