@@ -170,31 +170,34 @@ def fold_wins(predictions: DataFrame, candidate: str, baseline: str) -> DataFram
 
 # --- blending --------------------------------------------------------------
 
-def blended(baseline: Column, tree: Column, tree_weight: float, drift_weight: float) -> Column:
+def blended(baseline: Column, tree: Column, tree_weight: Column | float, drift_weight: Column | float) -> Column:
     for name, weight in (("tree", tree_weight), ("drift", drift_weight)):
-        if not 0.0 <= weight <= 1.0:
+        if not isinstance(weight, Column) and not 0.0 <= weight <= 1.0:
             raise ValueError(f"{name} weight must lie between zero and one")
-    drift = F.lit(drift_weight) * (F.col("current_price") - F.col("rolling_mean_7d")) / 7.0 * F.col("lead_days")
-    return F.greatest(baseline * (1.0 - tree_weight) + tree * tree_weight + drift, F.lit(1.0))
+    w = tree_weight if isinstance(tree_weight, Column) else F.lit(float(tree_weight))
+    d = drift_weight if isinstance(drift_weight, Column) else F.lit(float(drift_weight))
+    drift = d * (F.col("current_price") - F.col("rolling_mean_7d")) / 7.0 * F.col("lead_days")
+    return F.greatest(baseline * (1.0 - w) + tree * w + drift, F.lit(1.0))
 
 
 def blend_grid(wide: DataFrame, baseline: str, tree: str, tree_weights=TREE_WEIGHTS,
                drift_weights=DRIFT_WEIGHTS) -> DataFrame:
     """Mean absolute error of every weight pair in one pass.
 
-    Each pair is one aggregate column, so rows are never multiplied by the grid and only one row of
-    sums per task is shuffled.
+    The fixed list of pairs is unfolded inside the scan stage and summed up there, so one row per
+    pair and task is shuffled, whatever the number of rows.
     """
-    pairs = [(t, d) for t in tree_weights for d in drift_weights]
-    errors = [
-        F.avg(F.abs(F.col("actual") - blended(F.col(baseline), F.col(tree), t, d))).alias(f"e{i}")
-        for i, (t, d) in enumerate(pairs)
-    ]
-    one = wide.select("actual", baseline, tree, "current_price", "rolling_mean_7d", "lead_days").agg(*errors)
-    return one.select(F.inline(F.array(*(
-        F.struct(F.lit(t).alias("tree_weight"), F.lit(d).alias("drift_weight"), rounded(F.col(f"e{i}"), 6).alias("mae"))
-        for i, (t, d) in enumerate(pairs)
-    ))))
+    pairs = F.array(*(
+        F.struct(F.lit(t).alias("tree_weight"), F.lit(d).alias("drift_weight"))
+        for t in tree_weights for d in drift_weights
+    ))
+    tried = wide.select(
+        "actual", baseline, tree, "current_price", "rolling_mean_7d", "lead_days", F.inline(pairs)
+    )
+    point = blended(F.col(baseline), F.col(tree), F.col("tree_weight"), F.col("drift_weight"))
+    return tried.groupBy("tree_weight", "drift_weight").agg(
+        rounded(F.avg(F.abs(F.col("actual") - point)), 6).alias("mae")
+    )
 
 
 def best_blend(grid: DataFrame) -> DataFrame:

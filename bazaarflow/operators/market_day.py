@@ -17,23 +17,32 @@ ALPHABETICAL = "alphabetical fallback"
 
 
 def market_days(accepted: DataFrame) -> DataFrame:
-    """One shuffle on the seven key columns.
+    """Two grouped aggregates, both combining on the map side.
 
-    All aggregates combine on the map side. The median keeps a count per distinct price and the
-    variety set one entry per distinct variety, so a hot market-day costs its distinct values, not
-    its rows.
+    The first counts reports per variety and price inside a market-day. It uses plain sums and
+    extremes only, and it spreads a hot market-day over many tasks. The second keeps, per
+    market-day, a count per distinct price for the median and the set of varieties, so its state
+    grows with distinct values, not with rows.
     """
     arrivals, modal = F.col("arrivals_tonnes"), F.col("modal_price")
-    grouped = accepted.groupBy(*MARKET_DAY_KEY).agg(
-        F.count("*").alias("reports"),
-        F.count(arrivals).alias("reports_with_arrivals"),
-        F.min("min_price").alias("lowest"),
-        F.max("max_price").alias("highest"),
-        F.sum(arrivals).alias("arrivals"),
-        F.sum(modal * arrivals).alias("weighted"),
-        F.percentile(modal, 0.5).alias("median"),
+    by_price = accepted.groupBy(*MARKET_DAY_KEY, "variety", "modal_price").agg(
+        F.count("*").alias("rows"),
+        F.count(arrivals).alias("rows_with_arrivals"),
+        F.min("min_price").alias("low"),
+        F.max("max_price").alias("high"),
+        F.sum(arrivals).alias("tonnes"),
+        F.max(F.coalesce(arrivals, F.lit(-1.0))).alias("largest"),
+    )
+    grouped = by_price.groupBy(*MARKET_DAY_KEY).agg(
+        F.sum("rows").alias("reports"),
+        F.sum("rows_with_arrivals").alias("reports_with_arrivals"),
+        F.min("low").alias("lowest"),
+        F.max("high").alias("highest"),
+        F.sum("tonnes").alias("arrivals"),
+        F.sum(modal * F.col("tonnes")).alias("weighted"),
+        F.percentile(modal, 0.5, F.col("rows")).alias("median"),
         F.size(F.collect_set("variety")).cast("long").alias("variety_count"),
-        F.min_by("variety", F.struct(-F.coalesce(arrivals, F.lit(-1.0)), F.col("variety"))).alias("example_variety"),
+        F.min_by("variety", F.struct(-F.col("largest"), F.col("variety"))).alias("example_variety"),
     )
     total, reported = F.col("reports"), F.col("reports_with_arrivals")
     any_arrivals = reported > 0

@@ -56,7 +56,8 @@ def exact_quantiles(rows: DataFrame, keys: Sequence[str], value: str,
         .filter(F.size("_wanted") > 0)
         .select(*(F.col(k).alias(f"_k_{k}") for k in keys), F.col("_band").alias("_k_band"), "_before", "n", "_wanted")
     )
-    same = F.col("_band") == F.col("_k_band")
+    # null-safe on every column, so the optimizer adds no filters and `valued` is shuffled once
+    same = F.col("_band").eqNullSafe(F.col("_k_band"))
     for key in keys:
         same = same & F.col(key).eqNullSafe(F.col(f"_k_{key}"))
     in_band = Window.partitionBy(*keys, "_band").orderBy("_value")

@@ -10,6 +10,7 @@ from bazaarflow.operators import intervals as I
 from bazaarflow.operators.features import (
     BASELINES, forecast_rows, latest_target_date, training_rows, with_tier,
 )
+from bazaarflow.session import write_and_reload
 from bazaarflow.settings import Settings
 
 
@@ -19,11 +20,13 @@ def baseline_forecasts(history: DataFrame, coverage: DataFrame, method: str, set
     days = with_tier(history, coverage)
     folded = E.with_folds(training_rows(days, model), latest_target_date(days, model), model)
     tested = E.wide_predictions(folded).withColumn("prediction", F.col(method))
-    quantiles = I.interval_quantiles(tested, model.interval_coverage, model.interval_minimum_samples)
+    quantiles = I.interval_quantiles(
+        write_and_reload(tested, "predictions"), model.interval_coverage, model.interval_minimum_samples
+    )
     rows = forecast_rows(days, model).withColumn(
         "prediction", P.point(method, settings.quality.maximum_price)
     )
-    return P.forecast_table(I.with_interval(rows, quantiles), method)
+    return P.forecast_table(I.with_interval(rows, write_and_reload(quantiles, "quantiles")), method)
 
 
 def strongest_baseline(history: DataFrame, coverage: DataFrame, settings: Settings) -> str:

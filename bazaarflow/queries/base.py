@@ -15,6 +15,7 @@ from bazaarflow.operators import validate as V
 from bazaarflow.operators.market_day import market_days
 from bazaarflow.operators.series import with_anomaly
 from bazaarflow.operators.upsert import newest_days
+from bazaarflow.session import write_and_reload
 from bazaarflow.settings import DEFAULTS
 from bazaarflow.sources import tables as T
 
@@ -53,16 +54,24 @@ def history(spark, folder) -> DataFrame:
     return market_days(T.variety_reports(spark, folder))
 
 
+def stored_history(spark, folder) -> DataFrame:
+    """Market-days written once, for queries that read them several times.
+
+    The reports are scanned and rolled up in one pass; what follows reads the small table.
+    """
+    return write_and_reload(history(spark, folder), "history")
+
+
 def scored(spark, folder) -> DataFrame:
     return with_anomaly(history(spark, folder))
 
 
 def coverage(spark, folder) -> DataFrame:
-    return C.series_coverage(history(spark, folder), QUALITY)
+    return C.series_coverage(stored_history(spark, folder), QUALITY)
 
 
 def tiered(spark, folder) -> DataFrame:
-    days = history(spark, folder)
+    days = stored_history(spark, folder)
     return with_tier(days, C.series_coverage(days, QUALITY))
 
 
@@ -83,13 +92,31 @@ def long(spark, folder) -> DataFrame:
     return E.long_predictions(wide(spark, folder))
 
 
+def stored_wide(spark, folder) -> DataFrame:
+    """Fold and holdout predictions written once, for calibration and scoring."""
+    return write_and_reload(wide(spark, folder), "predictions")
+
+
 def published_coverage(spark, folder) -> DataFrame:
     return C.selected_series(coverage(spark, folder), QUALITY.series_per_group)
 
 
+def publication(spark, folder) -> tuple[DataFrame, DataFrame]:
+    """Published history and coverage from one stored history."""
+    days = stored_history(spark, folder)
+    selected = C.selected_series(C.series_coverage(days, QUALITY), QUALITY.series_per_group)
+    recent = newest_days(with_anomaly(days), QUALITY.history_days)
+    return C.restricted_to(recent, selected), selected
+
+
 def published(spark, folder) -> DataFrame:
-    recent = newest_days(scored(spark, folder), QUALITY.history_days)
-    return C.restricted_to(recent, published_coverage(spark, folder))
+    return publication(spark, folder)[0]
+
+
+def stored_publication(spark, folder) -> tuple[DataFrame, DataFrame]:
+    """Both written once, for queries that read them several times."""
+    days, selected = publication(spark, folder)
+    return write_and_reload(days, "published"), write_and_reload(selected, "coverage")
 
 
 # --- SQL parts -------------------------------------------------------------

@@ -12,7 +12,7 @@ from bazaarflow.operators import intervals as I
 from bazaarflow.operators import model as M
 from bazaarflow.operators.features import latest_target_date, training_rows
 from bazaarflow.queries.base import (
-    METRICS_SQL, MODEL, folded, long, oracle, register, rnd, tiered, wide,
+    METRICS_SQL, MODEL, folded, long, oracle, register, rnd, stored_history, stored_wide, wide,
 )
 from bazaarflow.session import write_and_reload
 
@@ -36,7 +36,7 @@ def selection(frame):
       and count(*) filter (where target_date >= test_start and target_date < test_end) > 0 as usable
   from training, folds group by 1, 2, 3""", "training"))
 def fold_assignment(spark, sf):
-    days = tiered(spark, sf)
+    days = stored_history(spark, sf).withColumn("coverage_tier", F.lit(None).cast("string"))
     return E.fold_summary(training_rows(days, MODEL), latest_target_date(days, MODEL), MODEL)
 
 
@@ -127,14 +127,14 @@ def argmin_blend(spark, sf):
       then '{CANDIDATE}' else best.method end as selected_method
   from best, own, wins""", "wide", "predictions"))
 def select_method(spark, sf):
-    rows = selection(long(spark, sf))
+    rows = selection(E.long_predictions(stored_wide(spark, sf)))
     return E.selected_method(E.method_comparison(rows), E.fold_wins(rows, CANDIDATE, BASE), CANDIDATE, MODEL)
 
 
 # --- intervals -------------------------------------------------------------
 
-def calibration(spark, sf, *phases):
-    rows = wide(spark, sf).filter(F.col("phase").isin(*phases)).withColumn("prediction", F.col(BASE))
+def calibration(tested, *phases):
+    rows = tested.filter(F.col("phase").isin(*phases)).withColumn("prediction", F.col(BASE))
     return I.interval_quantiles(rows, MODEL.interval_coverage, MODEL.interval_minimum_samples)
 
 
@@ -160,7 +160,7 @@ def quantiles_sql(phases):
   select level, interval_key, n, {rnd('lower_residual', 4)} as lower_residual, {rnd('upper_residual', 4)} as upper_residual
   from ({quantiles_sql("'model_selection'")})""", "wide"))
 def interval_quantiles(spark, sf):
-    return calibration(spark, sf, E.SELECTION).select(
+    return calibration(stored_wide(spark, sf), E.SELECTION).select(
         "level", "interval_key", "n", rounded(F.col("lower_residual"), 4).alias("lower_residual"),
         rounded(F.col("upper_residual"), 4).alias("upper_residual"),
     )
@@ -189,8 +189,9 @@ _BOUNDED_SQL = f"""
 
 
 def _bounded(spark, sf):
-    rows = wide(spark, sf).filter(F.col("phase") == E.HOLDOUT).withColumn("prediction", F.col(BASE))
-    return I.with_interval(rows, calibration(spark, sf, E.SELECTION))
+    tested = stored_wide(spark, sf)
+    rows = tested.filter(F.col("phase") == E.HOLDOUT).withColumn("prediction", F.col(BASE))
+    return I.with_interval(rows, write_and_reload(calibration(tested, E.SELECTION), "quantiles"))
 
 
 _ROW = ("commodity", "market_id", "lead_days", "target_date")
@@ -222,7 +223,8 @@ def interval_coverage(spark, sf):
 # --- bootstrap -------------------------------------------------------------
 
 def _by_date(spark, sf):
-    return E.improvement_by_date(wide(spark, sf).filter(F.col("phase") == E.HOLDOUT), CANDIDATE, BASE)
+    rows = wide(spark, sf).filter(F.col("phase") == E.HOLDOUT)
+    return E.improvement_by_date(rows, CANDIDATE, BASE)
 
 
 @register("bootstrap_observed", oracle(f"""
@@ -234,7 +236,7 @@ def bootstrap_observed(spark, sf):
 
 @register("bootstrap_ci")
 def bootstrap_ci(spark, sf):
-    return E.bootstrap(_by_date(spark, sf), MODEL.bootstrap_repetitions, MODEL.seed)
+    return E.bootstrap(write_and_reload(_by_date(spark, sf), "dates"), MODEL.bootstrap_repetitions, MODEL.seed)
 
 
 # --- tree model: fewer trees than the default, for a check of rows only ----

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from bazaarflow.functions.numbers import rounded
 from bazaarflow.operators import features as X
 from bazaarflow.operators import model as M
+from bazaarflow.session import write_and_reload
 from bazaarflow.queries.base import MODEL, history, oracle, register, rnd, tiered, training
 
 # computed doubles are rounded before rows are compared
@@ -109,6 +110,7 @@ def encode_features(spark, sf):
     rows = X.origins(tiered(spark, sf), MODEL).withColumn(
         "current_arrivals", F.when(F.col("current_arrivals_missing") != 1, F.col("current_arrivals"))
     ).select("origin_date", *_CATEGORIES, *_NUMBERS)
+    rows = write_and_reload(rows, "origins")
     known = rows.filter(F.col("origin_date") < F.lit("2001-01-01").cast("date"))
     done = M.encoded(rows, M.category_codes(known, _CATEGORIES), M.numeric_medians(known, _NUMBERS), _CATEGORIES, _NUMBERS)
     return done.select(

@@ -7,6 +7,7 @@ from dataclasses import replace
 from pyspark.sql import functions as F
 
 from bazaarflow.functions.numbers import rounded
+from bazaarflow.operators import coverage as C
 from bazaarflow.operators import explore as X
 from bazaarflow.operators import forecast as P
 from bazaarflow.operators import publish as B
@@ -14,8 +15,8 @@ from bazaarflow.operators import series as S
 from bazaarflow.operators.features import forecast_rows, with_tier
 from bazaarflow.plans.outlook import baseline_forecasts
 from bazaarflow.queries.base import (
-    FRESH_SQL, MODEL, PARTS, QUALITY, SLUG_SQL, coverage, featured_sql, history, oracle, published,
-    published_coverage, register, rnd, scored,
+    FRESH_SQL, MODEL, PARTS, QUALITY, SLUG_SQL, coverage, featured_sql, history, oracle, publication, published,
+    published_coverage, register, rnd, scored, stored_history, stored_publication,
 )
 from bazaarflow.queries.evaluation import fallback_sql
 from bazaarflow.queries.features import FORECAST_SQL
@@ -74,22 +75,14 @@ PARTS["markets"] = (f"""
       count(arrivals_tonnes) > 0 as has_arrivals from published group by 1, 2) v using (commodity, market_id)""", ("published", "selected"))
 
 
-def _stored(spark, sf):
-    """Published history and coverage written once; several parts of a query read them."""
-    return (
-        write_and_reload(published(spark, sf), "published"),
-        write_and_reload(published_coverage(spark, sf), "coverage"),
-    )
-
-
 def forecasts(spark, sf, stored=None):
-    days, covered = stored or _stored(spark, sf)
+    days, covered = stored or stored_publication(spark, sf)
     return baseline_forecasts(days, covered, METHOD, SETTINGS)
 
 
 def markets(spark, sf):
     """Catalog rows without forecasts, with the latest price as a column."""
-    days, covered = published(spark, sf), published_coverage(spark, sf)
+    days, covered = publication(spark, sf)
     per_series = days.groupBy(*S.SERIES).agg(
         F.max("date").alias("latest_date"), F.max_by(S.PRICE, "date").alias("latest_price"),
         F.array_sort(F.collect_set(F.nullif("example_variety", F.lit("")))).alias("varieties"),
@@ -103,7 +96,7 @@ def markets(spark, sf):
 @register("forecast_point", oracle(f"""
   select commodity, market_id, target_offset_days, {rnd('prediction', 4)} as prediction from p_rows""", "p_rows"))
 def forecast_point(spark, sf):
-    days = with_tier(published(spark, sf), published_coverage(spark, sf))
+    days = with_tier(*stored_publication(spark, sf))
     return forecast_rows(days, MODEL).select(
         *S.SERIES, "target_offset_days", rounded(P.point(METHOD, 250_000.0), 4).alias("prediction")
     )
@@ -151,7 +144,7 @@ _STATS_SQL = f"""
 
 @register("partition_stats", oracle(f"with {_STATS_SQL} select *, '/data/' || state_slug || '/' || commodity_slug || '.json' as url from stats", "selected", "published", "p_rows"))
 def partition_stats(spark, sf):
-    stored = _stored(spark, sf)
+    stored = stored_publication(spark, sf)
     return B.partition_stats(*stored, forecast_rows(with_tier(*stored), MODEL))
 
 
@@ -162,7 +155,7 @@ def partition_stats(spark, sf):
     (select count(*) from p_rows) as forecast_records, (select max(comparison_date) from p_rows) as comparison_date
   from published""", "published", "selected", "p_rows"))
 def pub_manifest_totals(spark, sf):
-    stored = _stored(spark, sf)
+    stored = stored_publication(spark, sf)
     return B.manifest_totals(*stored, forecast_rows(with_tier(*stored), MODEL))
 
 
@@ -177,7 +170,7 @@ def pub_partition_json(spark, sf):
     """Published records, written as partitioned JSON and read back through the record text."""
     from bazaarflow.session import shared_folder
 
-    stored = _stored(spark, sf)
+    stored = stored_publication(spark, sf)
     rows = B.published_rows(*stored, forecasts(spark, sf, stored))
     folder = shared_folder(spark, "published-json")
     B.write_published(rows, folder)
@@ -195,8 +188,10 @@ def pub_partition_json(spark, sf):
     (select 1 from selected s where s.state = history.state and s.commodity = history.commodity and s.market_id like '%-1%')""", "history", "selected"))
 def pub_stale_partitions(spark, sf):
     """Partitions of an earlier publication that covered every series, against a narrower one."""
-    expected = published_coverage(spark, sf).filter(F.col("market_id").contains("-1")).select("state", "commodity").distinct()
-    return B.stale_partitions(history(spark, sf), expected)
+    days = stored_history(spark, sf)
+    selected = C.selected_series(C.series_coverage(days, QUALITY), QUALITY.series_per_group)
+    expected = selected.filter(F.col("market_id").contains("-1")).select("state", "commodity").distinct()
+    return B.stale_partitions(days, expected)
 
 
 @register("pub_file_ledger", oracle("select doc_id, strlen(text) as bytes, sha256(text) as sha256 from documents"))
@@ -226,7 +221,7 @@ def pivot_coverage(spark, sf):
     (select count(*) from p_rows r where r.commodity = m.commodity and r.market_id = m.market_id) as forecast_count
   from markets m""", "markets", "sparkpoints", "p_rows"))
 def catalog_markets(spark, sf):
-    stored = _stored(spark, sf)
+    stored = stored_publication(spark, sf)
     built = X.catalog(stored[1], stored[0], forecasts(spark, sf, stored))
     point = lambda p: F.concat(F.date_format(p["date"], "yyyy-MM-dd"), F.lit("="), p["value"].cast("decimal(18,2)").cast("string"))
     return built.select(
@@ -247,7 +242,8 @@ _FRESH = lambda name: f"count(*) filter (where {FRESH_SQL('latest_age_days', THR
     (select count(*) from published p where p.state = s.state) as observation_count
   from selected s group by state""", "selected", "published"))
 def state_rollup(spark, sf):
-    return X.state_rollup(published_coverage(spark, sf), published(spark, sf), THRESHOLD)
+    days, covered = publication(spark, sf)
+    return X.state_rollup(covered, days, THRESHOLD)
 
 
 _COMMODITY_SQL = f"""select commodity, count(distinct market_id) as market_count, count(*) as series_count, max(last_date) as latest_date,
@@ -281,7 +277,7 @@ def commodity_sparkline(spark, sf):
     (select count(distinct market_id) from p_rows) as forecast_market_count
   from markets""", "markets", "p_rows"))
 def catalog_totals(spark, sf):
-    days, covered = _stored(spark, sf)
+    days, covered = stored_publication(spark, sf)
     outlook = forecast_rows(with_tier(days, covered), MODEL)
     return X.catalog_totals(X.catalog(
         covered, days, outlook.select(*S.SERIES, "target_offset_days", F.col("target_date").alias("forecast_date"),
@@ -291,15 +287,16 @@ def catalog_totals(spark, sf):
 
 @register("share_of_max", oracle(f"with c as ({_COMMODITY_SQL}) select commodity, market_count, {rnd('market_count / (select max(market_count) from c)', 4)} as share_of_max from c", "markets"))
 def share_of_max(spark, sf):
-    return X.share_of_max(commodity_rollup(spark, sf))
+    return X.share_of_max(write_and_reload(commodity_rollup(spark, sf), "commodities"))
 
 
 @register("commodity_freshness", oracle(f"""
   with c as ({_COMMODITY_SQL}), a as (select commodity, latest_date, greatest(date_diff('day', latest_date, (select max(date) from published)), 0) as age_days from c)
   select *, {FRESH_SQL('age_days', THRESHOLD)} as freshness from a""", "markets", "published"))
 def commodity_freshness(spark, sf):
-    end = published(spark, sf).select(F.max("date")).scalar()
-    return X.commodity_freshness(commodity_rollup(spark, sf), end, THRESHOLD)
+    built = write_and_reload(markets(spark, sf), "markets")
+    end = built.select(F.max("latest_date")).scalar()
+    return X.commodity_freshness(X.commodity_rollup(built, THRESHOLD), end, THRESHOLD)
 
 
 # --- explorer --------------------------------------------------------------
@@ -317,7 +314,7 @@ _CARD = ("state", "district", "commodity", "market", "market_id", "first_date",
 def explore_filter(spark, sf):
     from datetime import date
 
-    built = markets(spark, sf)
+    built = write_and_reload(markets(spark, sf), "markets")
     searches = {
         "variety": X.MarketFilter(text=" BRAND#12 "),
         "state": X.MarketFilter(state="ASIA", tier="high", since=date(2001, 10, 25), full_year=True),
@@ -347,7 +344,7 @@ _ORDERS = {"recent": "last_date desc, market", "market": "market", "price-low":
     for n, o in _ORDERS.items()), "markets"))
 def explore_sorts(spark, sf):
     """Place of every series under each order; the catalog has one row per series."""
-    built = markets(spark, sf)
+    built = write_and_reload(markets(spark, sf), "markets")
     result = None
     for name in _ORDERS:
         placed = X.places(built, name).select(F.lit(name).alias("sort"), "place", *S.SERIES, "latest_price")
@@ -358,7 +355,7 @@ def explore_sorts(spark, sf):
 @register("explore_page", oracle("""
   select commodity, market_id, market, last_date, latest_price from markets order by last_date desc, market, commodity, market_id limit 18 offset 18""", "markets"))
 def explore_page(spark, sf):
-    return X.page(markets(spark, sf), "recent", 2).select(*S.SERIES, "market", "last_date", "latest_price")
+    return X.page(write_and_reload(markets(spark, sf), "markets"), "recent", 2).select(*S.SERIES, "market", "last_date", "latest_price")
 
 
 @register("preview_limit", oracle("""
@@ -371,8 +368,9 @@ def preview_limit(spark, sf):
 @register("market_detail", oracle("""
   select * from published where state = 'ASIA' and commodity = 'PROMO' and market_id = (select min(market_id) from selected where state = 'ASIA' and commodity = 'PROMO')""", "published", "selected"))
 def market_detail(spark, sf):
-    first = published_coverage(spark, sf).filter("state = 'ASIA' and commodity = 'PROMO'").select(F.min("market_id")).scalar()
-    return X.market_detail(published(spark, sf), "ASIA", "PROMO", first)
+    days, covered = publication(spark, sf)
+    first = covered.filter("state = 'ASIA' and commodity = 'PROMO'").select(F.min("market_id")).scalar()
+    return X.market_detail(days, "ASIA", "PROMO", first)
 
 
 @register("chart_points", oracle(f"""

@@ -13,9 +13,11 @@ from bazaarflow.operators import upsert as U
 from bazaarflow.operators.publish import published_summary
 from bazaarflow.plans import refresh
 from bazaarflow.queries.base import (
-    QUALITY, coverage, history, market_day_sql, oracle, published, published_coverage, register, rnd, scored,
+    QUALITY, coverage, history, market_day_sql, oracle, published_coverage, register, rnd, scored,
+    stored_history, stored_publication,
 )
 from bazaarflow.operators.market_day import market_days
+from bazaarflow.session import write_and_reload
 from bazaarflow.sources import tables as T
 
 KEY = [*S.SERIES, "date"]
@@ -117,7 +119,7 @@ def missing_days(spark, sf):
   select g.commodity, g.market_id, cast(g.date as date) as date, h.date is not null as reported
   from grid g left join history h on g.commodity = h.commodity and g.market_id = h.market_id and g.date = h.date""", "history"))
 def calendar_reported(spark, sf):
-    return S.calendar(history(spark, sf), 84)
+    return S.calendar(stored_history(spark, sf), 84)
 
 
 @register("series_varieties", oracle("""
@@ -134,7 +136,7 @@ _RANGES = {"d90": 90, "d365": 365, "d730": 730}
     f"select commodity, market_id, date, '{name}' as range from (select *, max(date) over ({_S}) as last from history) where date >= last - {days}"
     for name, days in _RANGES.items()) + "\nunion all by name\nselect commodity, market_id, date, 'all' as range from history", "history"))
 def history_range(spark, sf):
-    days = history(spark, sf).select(*KEY)
+    days = stored_history(spark, sf).select(*KEY)
     parts = [S.within_range(days, n).withColumn("range", F.lit(name)) for name, n in {**_RANGES, "all": None}.items()]
     result = parts[0]
     for part in parts[1:]:
@@ -186,20 +188,21 @@ def topn_selected(spark, sf):
   select c.*, s.market_id is not null as selected from covered c left join selected s using (commodity, market_id)
   """, "covered", "selected"))
 def mark_selected(spark, sf):
-    return C.with_selected(coverage(spark, sf), QUALITY.series_per_group)
+    return C.with_selected(write_and_reload(coverage(spark, sf), "coverage"), QUALITY.series_per_group)
 
 
 @register("join_selected_semi", oracle("""
   select h.* from history h where exists (select 1 from selected s where s.commodity = h.commodity and s.market_id = h.market_id)""",
     "history", "selected"))
 def join_selected_semi(spark, sf):
-    return C.restricted_to(history(spark, sf), published_coverage(spark, sf))
+    days = stored_history(spark, sf)
+    return C.restricted_to(days, C.selected_series(C.series_coverage(days, QUALITY), QUALITY.series_per_group))
 
 
 @register("flt_rolling_history", oracle(f"""
   select * from history where date >= (select max(date) from history) - {QUALITY.history_days - 1}""", "history"))
 def flt_rolling_history(spark, sf):
-    return U.newest_days(history(spark, sf), QUALITY.history_days)
+    return U.newest_days(stored_history(spark, sf), QUALITY.history_days)
 
 
 @register("dev_sample", oracle(f"""
@@ -207,7 +210,8 @@ def flt_rolling_history(spark, sf):
   select h.* from history h join picked using (commodity, market_id)
   qualify row_number() over (partition by h.commodity, h.market_id order by date desc) <= 120""", "covered", "history"))
 def dev_sample(spark, sf):
-    return C.development_sample(history(spark, sf), coverage(spark, sf), 2, 120)
+    days = stored_history(spark, sf)
+    return C.development_sample(days, C.series_coverage(days, QUALITY), 2, 120)
 
 
 @register("published_summary", oracle(f"""
@@ -219,7 +223,7 @@ def dev_sample(spark, sf):
     (select count(*) from selected where maximum_gap_days > {QUALITY.long_gap_days}) as long_gap_series
   from published""", "published", "selected"))
 def published_summary_query(spark, sf):
-    return published_summary(published(spark, sf), published_coverage(spark, sf), QUALITY)
+    return published_summary(*stored_publication(spark, sf), QUALITY)
 
 
 # --- merge -----------------------------------------------------------------
@@ -268,13 +272,13 @@ def union_diagonal(spark, sf):
     case when len(e) >= 8 then abs((representative_price - c) / s) >= 4 else false end as is_anomaly
   from scaled""", "placed"))
 def incremental_refresh(spark, sf):
-    return refresh.merged_history(*_batches(spark, sf), QUALITY)
+    return refresh.merged_history(*(write_and_reload(b, "batch") for b in _batches(spark, sf)), QUALITY)
 
 
 @register("check_unique", oracle("""
   select (select count(*) from (select 1 from history group by market_id, commodity, date having count(*) > 1)) as repeated_keys,
     count(*) as records from history""", "history"))
 def check_unique(spark, sf):
-    days = history(spark, sf)
+    days = stored_history(spark, sf)
     repeats = U.repeated_keys(days).select(F.count("*")).scalar()
     return days.agg(F.count("*").alias("records")).withColumn("repeated_keys", repeats)
