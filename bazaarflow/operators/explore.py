@@ -109,13 +109,15 @@ def commodity_sparkline(points: DataFrame) -> DataFrame:
 
 
 def catalog_totals(markets: DataFrame) -> DataFrame:
+    names = markets.select(F.explode("varieties").alias("variety")).agg(
+        F.array_join(F.array_sort(F.collect_set("variety")), ",")
+    ).scalar()
     return markets.agg(
         F.count_distinct("district").alias("districts"),
         F.array_join(F.array_sort(F.collect_set("district")), ",").alias("district_names"),
-        F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_set("varieties")))), ",").alias("variety_examples"),
         F.count_distinct(F.when(F.col("has_arrivals"), F.col("market_id"))).alias("arrivals_market_count"),
         F.count_distinct(F.when(F.col("forecast_count") > 0, F.col("market_id"))).alias("forecast_market_count"),
-    )
+    ).withColumn("variety_examples", names)
 
 
 def share_of_max(rollup: DataFrame) -> DataFrame:
@@ -234,9 +236,10 @@ def band_positions(history: DataFrame) -> DataFrame:
     )
 
 
-def places(markets: DataFrame, sort: str) -> DataFrame:
-    """Place of each series under an order. The catalog holds one row per series."""
-    return markets.withColumn("place", F.row_number().over(Window.orderBy(*ordering(sort))))
+def first_page(markets: DataFrame, sort: str, size: int = PAGE_SIZE) -> DataFrame:
+    """The first page under an order with the place of each row; only that page is numbered."""
+    top = markets.orderBy(*ordering(sort)).limit(size)
+    return top.withColumn("place", F.row_number().over(Window.orderBy(*ordering(sort))))
 
 
 def preview(markets: DataFrame, text: str = "", rows: int = 24) -> DataFrame:

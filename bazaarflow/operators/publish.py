@@ -147,7 +147,10 @@ def manifest_document(totals: DataFrame, partitions: DataFrame) -> DataFrame:
 # --- ledgers of files ------------------------------------------------------
 
 def file_ledger(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
-    """Size and SHA-256 of every file below a path, hashed where the file is read."""
+    """Size and SHA-256 of every file below a path, hashed where the file is read.
+
+    Made for source documents and published JSON: Spark reads such a file as one value, up to 2 GB.
+    """
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option(
         "recursiveFileLookup", True
     ).load(path)
@@ -163,9 +166,15 @@ def source_manifest(spark: SparkSession, path: str) -> DataFrame:
     return ledger.join(documents, "path", "left")
 
 
-def data_version(spark: SparkSession, path: str) -> str:
-    """First 12 hex digits of a hash over the file hashes of a table, in path order."""
-    hashes = file_ledger(spark, path).agg(
-        F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("path", "sha256"))), lambda f: f["sha256"]), ""), 256)
+def data_version(table: DataFrame) -> str:
+    """Twelve hex digits that change with the content of a table, not with its files or row order.
+
+    Row hashes are folded to a count, a sum and an exclusive or, so one small row is combined.
+    """
+    row = F.xxhash64(*sorted(table.columns))
+    folded = table.select(row.alias("h")).agg(
+        F.count("*").alias("n"), F.sum(F.col("h").cast("decimal(38,0)")).alias("s"), F.bit_xor("h").alias("x")
     )
-    return hashes.first()[0][:12]
+    return folded.select(
+        F.substring(F.sha2(F.concat_ws("|", "n", "s", "x"), 256), 1, 12)
+    ).first()[0]

@@ -279,10 +279,10 @@ def commodity_sparkline(spark, sf):
 def catalog_totals(spark, sf):
     days, covered = stored_publication(spark, sf)
     outlook = forecast_rows(with_tier(days, covered), MODEL)
-    return X.catalog_totals(X.catalog(
+    return X.catalog_totals(write_and_reload(X.catalog(
         covered, days, outlook.select(*S.SERIES, "target_offset_days", F.col("target_date").alias("forecast_date"),
         F.col("baseline_moving_average").alias("forecast_price"), F.lit(None).cast("double").alias("forecast_low"),
-        F.lit(None).cast("double").alias("forecast_high"))))
+        F.lit(None).cast("double").alias("forecast_high"))), "catalog"))
 
 
 @register("share_of_max", oracle(f"with c as ({_COMMODITY_SQL}) select commodity, market_count, {rnd('market_count / (select max(market_count) from c)', 4)} as share_of_max from c", "markets"))
@@ -340,14 +340,14 @@ _ORDERS = {"recent": "last_date desc, market", "market": "market", "price-low":
 
 
 @register("explore_sorts", oracle("\nunion all\n".join(
-    f"select '{n}' as sort, row_number() over (order by {o}, commodity, market_id) as place, commodity, market_id, latest_price from markets"
+    f"select '{n}' as sort, row_number() over (order by {o}, commodity, market_id) as place, commodity, market_id, latest_price from markets qualify place <= 18"
     for n, o in _ORDERS.items()), "markets"))
 def explore_sorts(spark, sf):
-    """Place of every series under each order; the catalog has one row per series."""
+    """The first page under each order, with the place of each row."""
     built = write_and_reload(markets(spark, sf), "markets")
     result = None
     for name in _ORDERS:
-        placed = X.places(built, name).select(F.lit(name).alias("sort"), "place", *S.SERIES, "latest_price")
+        placed = X.first_page(built, name).select(F.lit(name).alias("sort"), "place", *S.SERIES, "latest_price")
         result = placed if result is None else result.unionByName(placed)
     return result
 

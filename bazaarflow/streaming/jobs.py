@@ -72,16 +72,14 @@ def upsert_to_end(stream: DataFrame, folder: str, checkpoint: str, keys: Sequenc
         months = [row[0] for row in batch.select(MONTH).distinct().collect()]
         if not months:
             return
-        rows = batch
-        if _exists(spark, folder):
-            known = spark.read.schema(batch.schema).parquet(folder).filter(F.col(MONTH).isin(months))
-            rows = known.unionByName(batch)
-        latest = one_per_key(rows, keys, [*order, "_batch"])
+        known = spark.read.schema(batch.schema).parquet(folder).filter(F.col(MONTH).isin(months))
+        latest = one_per_key(known.unionByName(batch), keys, [*order, "_batch"])
         kept = latest.select(*[c for c in batch.columns if c != MONTH], MONTH)
         kept.repartition(MONTH, F.pmod(F.xxhash64(*keys), F.lit(_SLICES))).write.mode("overwrite").option(
             "partitionOverwriteMode", "dynamic"
         ).partitionBy(MONTH).parquet(folder)
 
+    _create_empty(stream, folder)
     (
         stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint)
         .foreachBatch(merge).trigger(availableNow=True).start().awaitTermination()
@@ -92,7 +90,7 @@ def upsert_to_end(stream: DataFrame, folder: str, checkpoint: str, keys: Sequenc
 _SLICES = 8
 
 
-def _exists(spark: SparkSession, folder: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(folder)
-    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
+def _create_empty(stream: DataFrame, folder: str) -> None:
+    """Make the table's folder, so the first batch merges like every later one."""
+    schema = stream.schema.add(MONTH, "string")
+    stream.sparkSession.createDataFrame([], schema).write.mode("append").partitionBy(MONTH).parquet(folder)
