@@ -16,16 +16,10 @@ LARGEST = "largest reported arrivals"
 ALPHABETICAL = "alphabetical fallback"
 
 
-def market_days(accepted: DataFrame) -> DataFrame:
-    """Two grouped aggregates, both combining on the map side.
-
-    The first counts reports per variety and price inside a market-day. It uses plain sums and
-    extremes only, and it spreads a hot market-day over many tasks. The second keeps, per
-    market-day, a count per distinct price for the median and the set of varieties, so its state
-    grows with distinct values, not with rows.
-    """
-    arrivals, modal = F.col("arrivals_tonnes"), F.col("modal_price")
-    by_price = accepted.groupBy(*MARKET_DAY_KEY, "variety", "modal_price").agg(
+def _by_price(accepted: DataFrame) -> DataFrame:
+    """Reports counted per variety and price: plain sums and extremes only."""
+    arrivals = F.col("arrivals_tonnes")
+    return accepted.groupBy(*MARKET_DAY_KEY, "variety", "modal_price").agg(
         F.count("*").alias("rows"),
         F.count(arrivals).alias("rows_with_arrivals"),
         F.min("min_price").alias("low"),
@@ -33,6 +27,31 @@ def market_days(accepted: DataFrame) -> DataFrame:
         F.sum(arrivals).alias("tonnes"),
         F.max(F.coalesce(arrivals, F.lit(-1.0))).alias("largest"),
     )
+
+
+def _each_report(accepted: DataFrame) -> DataFrame:
+    """The same columns for single reports."""
+    arrivals, one = F.col("arrivals_tonnes"), F.lit(1).cast("long")
+    return accepted.select(
+        *MARKET_DAY_KEY, "variety", "modal_price", one.alias("rows"),
+        F.when(arrivals.isNotNull(), one).otherwise(0).alias("rows_with_arrivals"),
+        F.col("min_price").alias("low"), F.col("max_price").alias("high"),
+        arrivals.alias("tonnes"), F.coalesce(arrivals, F.lit(-1.0)).alias("largest"),
+    )
+
+
+def market_days(accepted: DataFrame, deduplicated: bool = False) -> DataFrame:
+    """Two grouped aggregates, both combining on the map side.
+
+    The first counts reports per variety and price inside a market-day and spreads a hot market-day
+    over many tasks. The second keeps, per market-day, a count per distinct price for the median and
+    the set of varieties, so its state grows with distinct values, not with rows.
+
+    Reports that come out of `first_copies` are already spread by variety and price and hardly
+    repeat, so `deduplicated` skips the first aggregate and its shuffle.
+    """
+    modal = F.col("modal_price")
+    by_price = _each_report(accepted) if deduplicated else _by_price(accepted)
     grouped = by_price.groupBy(*MARKET_DAY_KEY).agg(
         F.sum("rows").alias("reports"),
         F.sum("rows_with_arrivals").alias("reports_with_arrivals"),

@@ -52,7 +52,7 @@ def source_reports(spark: SparkSession, paths, reference_path: str, states: Data
 def accepted_history(reports: DataFrame, position: Sequence[str], quality: QualitySettings,
                      market: str = "market") -> DataFrame:
     checked = V.validated(reports, quality.start_date, quality.end_date, quality.maximum_price, market)
-    return market_days(V.first_copies(checked, position))
+    return market_days(V.first_copies(checked, position), deduplicated=True)
 
 
 def one_row_per_day(days: DataFrame) -> DataFrame:

@@ -17,7 +17,7 @@ FILE = ["state_id", "state", "commodity", "source_month"]
 
 @register("market_day", oracle("select * from accepted_days", "accepted_days"))
 def market_day(spark, sf):
-    return market_days(V.first_copies(checked(spark, sf), T.LINE_POSITION))
+    return market_days(V.first_copies(checked(spark, sf), T.LINE_POSITION), deduplicated=True)
 
 
 @register("market_day_clean", oracle("select * from history", "history"))

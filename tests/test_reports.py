@@ -90,7 +90,7 @@ def test_a_third_of_all_rows_may_be_one_report(reports, spark):
     )
     checked = V.validated(hot, START, END, CEILING)
     assert V.with_duplicates_marked(checked, ["at"]).filter(F.col(V.REASON).isNotNull()).count() == 999
-    days = {r.market_id: r for r in market_days(V.first_copies(checked, ["at"])).collect()}
+    days = {r.market_id: r for r in market_days(V.first_copies(checked, ["at"]), deduplicated=True).collect()}
     assert len(days) == 1001
     # 2.0 once and 1000..1999
     assert days["20-1"].representative_price == 1499.0
@@ -112,6 +112,11 @@ def test_ledger_lists_files_without_rows(reports, spark):
     assert total.reconciles and total.input_records == 2
 
 
+def test_both_ways_of_rolling_up_agree(reports):
+    frame = reports(("A", 1.0, 3.0, 2.0, 5.0), ("B", 1.0, 4.0, 2.0, None), ("B", 0.5, 4.0, 2.5, 1.0), ("C", 1.0, 3.0, 2.5, 5.0))
+    assert market_days(frame).collect() == market_days(frame, deduplicated=True).collect()
+
+
 def test_no_accepted_rows_is_an_error(reports):
     from bazaarflow.operators.market_day import require_rows
 
