@@ -46,12 +46,11 @@ def stream_dedup(spark, sf):
     lines = spark.readStream.schema(T.table(spark, sf, "lineitem").schema).option(
         "pathGlobFilter", "lineitem.parquet"
     ).parquet(sf)
-    places = T.table(spark, sf, "supplier").join(
-        T.table(spark, sf, "nation"), F.col("s_nationkey") == F.col("n_nationkey")
-    ).join(T.table(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
     reports = (
         lines.join(T.table(spark, sf, "part"), F.col("l_partkey") == F.col("p_partkey"))
-        .join(places, F.col("l_suppkey") == F.col("s_suppkey"))
+        .join(T.table(spark, sf, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
+        .join(T.table(spark, sf, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+        .join(T.table(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
         .select(
             utc_instant(F.col("l_shipdate")).alias("event_time"), F.col("p_type").alias("commodity"),
             F.concat_ws("-", F.col("r_regionkey").cast("string"), F.col("n_nationkey").cast("string")).alias("market_id"),

@@ -49,12 +49,13 @@ def district_lookup(districts: DataFrame) -> DataFrame:
 def resolve_markets(reports: DataFrame, markets: DataFrame, districts: DataFrame) -> DataFrame:
     """Attach market id, display name and district; unknown markets get a derived id.
 
-    Both lookups are plain left joins: Spark broadcasts them while they stay below
-    spark.sql.autoBroadcastJoinThreshold and shuffles them otherwise.
+    Both lookups are plain left joins, one after the other: Spark broadcasts each while it stays
+    below spark.sql.autoBroadcastJoinThreshold and shuffles otherwise.
     """
-    places = markets.join(districts, "district_id", "left")
-    joined = reports.withColumn("market_key", normalized_key(F.col("market_raw"))).join(
-        places, ["state_id", "market_key"], "left"
+    joined = (
+        reports.withColumn("market_key", normalized_key(F.col("market_raw")))
+        .join(markets, ["state_id", "market_key"], "left")
+        .join(districts, "district_id", "left")
     )
     known = F.col("reference_id").isNotNull()
     return joined.select(

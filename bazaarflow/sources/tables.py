@@ -16,21 +16,22 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def _placed_lines(spark: SparkSession, folder: str) -> DataFrame:
-    """Lines with commodity, variety and market. No broadcast hints: Spark checks the sizes."""
-    places = (
-        table(spark, folder, "supplier").select("s_suppkey", "s_nationkey")
-        .join(table(spark, folder, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
-        .join(table(spark, folder, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
-        .select(
-            "s_suppkey",
-            F.col("r_regionkey").cast("long").alias("state_id"),
-            F.col("r_name").alias("state"),
-            F.col("n_name").alias("district"),
-            F.concat_ws("-", F.col("r_regionkey").cast("string"), F.col("n_nationkey").cast("string"))
-            .alias("market_id"),
-            F.col("n_name").alias("market"),
-        )
-    )
+    """Lines with commodity, variety and market.
+
+    The dimensions join one after the other, so Spark sees the size of each and broadcasts it when
+    it is below the threshold. Joined among themselves first, their estimated size would multiply
+    and the lines would be shuffled for nothing.
+    """
+    suppliers = table(spark, folder, "supplier").select("s_suppkey", "s_nationkey")
+    nations = table(spark, folder, "nation").select("n_nationkey", "n_name", "n_regionkey")
+    regions = table(spark, folder, "region").select("r_regionkey", "r_name")
+    place = {
+        "state_id": F.col("r_regionkey").cast("long"),
+        "state": F.col("r_name"),
+        "district": F.col("n_name"),
+        "market_id": F.concat_ws("-", F.col("r_regionkey").cast("string"), F.col("n_nationkey").cast("string")),
+        "market": F.col("n_name"),
+    }
     parts = table(spark, folder, "part").select(
         "p_partkey", F.col("p_type").alias("commodity"), F.col("p_brand").alias("variety")
     )
@@ -44,7 +45,10 @@ def _placed_lines(spark: SparkSession, folder: str) -> DataFrame:
     )
     return (
         lines.join(parts, F.col("l_partkey") == F.col("p_partkey"))
-        .join(places, F.col("l_suppkey") == F.col("s_suppkey"))
+        .join(suppliers, F.col("l_suppkey") == F.col("s_suppkey"))
+        .join(nations, F.col("s_nationkey") == F.col("n_nationkey"))
+        .join(regions, F.col("n_regionkey") == F.col("r_regionkey"))
+        .withColumns(place)
         .withColumn("min_price", rounded(F.col("modal_price") * (1 - F.col("l_discount")), 2))
         .withColumn("max_price", rounded(F.col("modal_price") * (1 + F.col("l_tax")), 2))
     )
