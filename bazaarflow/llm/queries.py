@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from bazaarflow.llm import exact_dedup, language_id, mixing
+from bazaarflow.llm import exact_dedup, language_id, lz_fingerprint, mixing, secret_scan
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -69,3 +69,20 @@ def op9_language_id(spark, folder):
     docs = table(spark, folder, "documents")
     found = language_id.predictions(docs, language_id.fit(docs.select("doc_id", "text", "lang")))
     return found.select(F.col("id").alias("doc_id"), language_id.held_out("id").alias("held_out"), "lang_pred", "score")
+
+
+@query("op3_secret_scan")
+def op3_secret_scan(spark, folder):
+    found = secret_scan.secrets(table(spark, folder, "documents").select("doc_id", "text"))
+    written = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["stop"])), ",")
+    of_kind = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
+    base = F.filter("spans", lambda s: s["kind"].isin(*secret_scan.BASE))
+    return found.select(
+        F.col("id").alias("doc_id"), *[of_kind(kind).alias(f"n_{kind}") for kind in secret_scan.BASE],
+        F.sha2(written(base).cast("binary"), 256).alias("base_sha256"), written(F.col("spans")).alias("spans"),
+    )
+
+
+@query("op10_lz_fingerprint")
+def op10_lz_fingerprint(spark, folder):
+    return lz_fingerprint.neighbours(table(spark, folder, "documents").select("doc_id", "text")).withColumnRenamed("id", "doc_id")
