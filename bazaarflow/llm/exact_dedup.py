@@ -55,9 +55,9 @@ def decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", d
     repeated, shared = repeated_contents(texts)
     rows = texts.select("id", "sha", "digest")
     if shared.isEmpty():
-        found = _joined(rows, repeated, docs.count())
+        found = joined(rows, repeated, docs.count())
     else:
-        found = _joined(rows.join(shared, "digest", "left_anti"), repeated.join(shared, "digest", "left_anti"), docs.count())
+        found = joined(rows.join(shared, "digest", "left_anti"), repeated.join(shared, "digest", "left_anti"), docs.count())
         mixed = texts.join(shared, "digest", "left_semi")
         found = found.unionByName(
             mixed.join(_winners(mixed), ["digest", "text"]).select("id", "sha", "keep_id", "group_size")
@@ -65,7 +65,9 @@ def decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", d
     return found.withColumn("kept", F.col("id").eqNullSafe(F.col("keep_id")))
 
 
-def _joined(rows: DataFrame, repeated: DataFrame, total: int) -> DataFrame:
+def joined(rows: DataFrame, repeated: DataFrame, total: int) -> DataFrame:
+    """rows (id, digest and other columns), less digest, with keep_id and group_size of their digest in repeated."""
+    others = [c for c in rows.columns if c != "digest"]
     is_hot = F.col("group_size") * HOT_GROUPS > total
     hot = F.broadcast(repeated.filter(is_hot).select("digest", F.col("keep_id").alias("hot_id"), F.col("group_size").alias("hot_size"), F.lit(True).alias("hot")))
     cold = repeated.filter(~is_hot).select(F.col("digest").alias("route"), F.col("keep_id").alias("cold_id"), F.col("group_size").alias("cold_size"))
@@ -75,7 +77,7 @@ def _joined(rows: DataFrame, repeated: DataFrame, total: int) -> DataFrame:
     answer = F.when(F.col("hot"), F.col("hot_id")).when(F.col("cold_size").isNotNull(), F.col("cold_id")).otherwise(F.col("id"))
     return (
         rows.join(hot, "digest", "left").withColumn("route", route).join(cold, "route", "left")
-        .select("id", "sha", answer.alias("keep_id"), size.alias("group_size"))
+        .select(*others, answer.alias("keep_id"), size.alias("group_size"))
     )
 
 

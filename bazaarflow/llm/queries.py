@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from bazaarflow.llm import exact_dedup, language_id, lz_fingerprint, mixing, secret_scan
+from bazaarflow.llm import exact_dedup, language_id, lz_fingerprint, mixing, secret_scan, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -86,3 +86,16 @@ def op3_secret_scan(spark, folder):
 @query("op10_lz_fingerprint")
 def op10_lz_fingerprint(spark, folder):
     return lz_fingerprint.neighbours(table(spark, folder, "documents").select("doc_id", "text")).withColumnRenamed("id", "doc_id")
+
+
+@query("op2_warc", f"""
+    with pages_read as (select page_id, coalesce(html, '') as html, strlen(coalesce(html, '')) as payload_bytes from pages),
+    same as (select *, max(page_id) over (partition by html) as top from pages_read)
+    select page_id, payload_bytes, sha1(html) as payload_digest,
+           case when payload_bytes >= {warc.REVISIT_FROM} and page_id < top then 'revisit' else 'response' end as record_type,
+           case when payload_bytes >= {warc.REVISIT_FROM} and page_id < top then top end as refers_to
+    from same
+""")
+def op2_warc(spark, folder):
+    pages = table(spark, folder, "pages").select("page_id", "url", "html")
+    return warc.captured(pages).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
