@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from bazaarflow.llm import exact_dedup, language_id, lz_fingerprint, mixing, secret_scan, warc
+from bazaarflow.llm import bpe_chunks, exact_dedup, language_id, lz_fingerprint, mixing, secret_scan, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -22,6 +22,12 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
@@ -99,3 +105,13 @@ def op10_lz_fingerprint(spark, folder):
 def op2_warc(spark, folder):
     pages = table(spark, folder, "pages").select("page_id", "url", "html")
     return warc.captured(pages).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query("op8_bpe_chunks")
+def op8_bpe_chunks(spark, folder):
+    found = bpe_chunks.encoded(table(spark, folder, "documents").select("doc_id", "text"), tokenizer_path())
+    written = F.array_join(F.transform("ids", lambda i: i.cast("string")), " ")
+    return found.select(
+        F.col("id").alias("doc_id"), F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(written.cast("binary"), 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+    )
