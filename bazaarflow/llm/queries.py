@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from bazaarflow.llm import bpe_chunks, exact_dedup, language_id, lz_fingerprint, mixing, secret_scan, warc
+from bazaarflow.llm import bpe_chunks, exact_dedup, jaccard_join, language_id, lz_fingerprint, mixing, secret_scan, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -115,3 +115,10 @@ def op8_bpe_chunks(spark, folder):
         F.col("id").alias("doc_id"), F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(written.cast("binary"), 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
     )
+
+
+@query("op4_ngram_jaccard_join")
+def op4_ngram_jaccard_join(spark, folder):
+    scheme = jaccard_join.Scheme(width=3, share=90)
+    found = jaccard_join.linked(table(spark, folder, "documents").select("doc_id", "text"), scheme)
+    return found.select(F.col("id").alias("doc_id"), F.col("size").alias("n_shingles"), "component_id")
