@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from bazaarflow.llm import bpe_chunks, exact_dedup, jaccard_join, language_id, lz_fingerprint, mixing, secret_scan, warc
+from bazaarflow.llm import bpe_chunks, exact_dedup, jaccard_join, language_id, lz_fingerprint, mixing, secret_scan, suffix_dedup, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -94,6 +94,12 @@ def op10_lz_fingerprint(spark, folder):
     return lz_fingerprint.neighbours(table(spark, folder, "documents").select("doc_id", "text")).withColumnRenamed("id", "doc_id")
 
 
+@query("op1_suffix_dedup")
+def op1_suffix_dedup(spark, folder):
+    found = suffix_dedup.repeats_removed(table(spark, folder, "documents").select("doc_id", "text"))
+    return found.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
+
+
 @query("op2_warc", f"""
     with pages_read as (select page_id, coalesce(html, '') as html, strlen(coalesce(html, '')) as payload_bytes from pages),
     same as (select *, max(page_id) over (partition by html) as top from pages_read)
