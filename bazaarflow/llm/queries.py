@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from bazaarflow.llm import bpe_chunks, exact_dedup, jaccard_join, language_id, lz_fingerprint, mixing, secret_scan, suffix_dedup, warc
+from bazaarflow.llm import bpe_chunks, exact_dedup, jaccard_join, language_id, lz_fingerprint, mixing, secret_scan, suffix_dedup, surrogates, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -32,6 +32,11 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+@query("op5_surrogates")
+def op5_surrogates(spark, folder):
+    return surrogates.replaced(table(spark, folder, "documents").select("doc_id", "text")).withColumnRenamed("id", "doc_id")
+
+
 @query("op6_exact_dedup", """
     select doc_id, max(doc_id) over same as keep_id, count(*) over same as group_size,
            doc_id = max(doc_id) over same as kept, sha256(coalesce(text, '')) as text_sha256
