@@ -180,8 +180,8 @@ def _encoder(path: str) -> Encoder:
     return _ENCODERS[path]
 
 
-def encoded(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, ids array<int>, decoded) for every row of docs. path: the tokenizer's file on every executor."""
+def encoded(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """(id, ids array<int>, decoded) and the columns to carry for every row of docs. path: the tokenizer's file on every executor."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(path)
@@ -191,7 +191,9 @@ def encoded(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
                 ends = np.concatenate(([0], np.cumsum([len(x) for x in ids]))).astype(np.int32)
                 flat = np.concatenate(ids) if ids else np.zeros(0, dtype=np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat, pa.int32()))
-                yield pa.RecordBatch.from_arrays([part["id"], lists, pa.array([encoder.decode(x) for x in ids], pa.string())], ["id", "ids", "decoded"])
+                decoded = pa.array([encoder.decode(x) for x in ids], pa.string())
+                yield pa.RecordBatch.from_arrays([part["id"], lists, decoded, *[part[c] for c in carry]], ["id", "ids", "decoded", *carry])
 
-    narrow = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    return narrow.mapInArrow(run, f"id {narrow.schema['id'].dataType.simpleString()}, ids array<int>, decoded string")
+    narrow = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), *carry)
+    more = "".join(f", `{c}` {narrow.schema[c].dataType.simpleString()}" for c in carry)
+    return narrow.mapInArrow(run, f"id {narrow.schema['id'].dataType.simpleString()}, ids array<int>, decoded string{more}")

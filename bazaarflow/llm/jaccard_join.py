@@ -395,3 +395,10 @@ def linked(docs: DataFrame, scheme: Scheme = Scheme(), id_col: str = "doc_id", t
     rows = run.sets.select("id", "size", F.when(F.col("node").isNull(), alone).otherwise(F.unhex(F.lpad(F.hex("node"), 16, "0"))).alias("digest"))
     found = joined(rows, write_and_reload(several, "components"), run.sets.count())
     return found.select("id", "size", F.col("keep_id").alias("component_id"))
+
+
+def representatives(docs: DataFrame, scheme: Scheme = Scheme(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs, all columns, whose id is the smallest of their component; a null id stays where all are null."""
+    found = linked(docs, scheme, id_col, text_col)
+    gone = found.filter(~F.col("id").eqNullSafe(F.col("component_id"))).select("id").distinct()
+    return docs.join(gone, F.col(id_col).eqNullSafe(F.col("id")), "left_anti")
