@@ -42,19 +42,30 @@ def with_folds(rows: DataFrame, last_target: Column, model: ModelSettings) -> Da
     })
 
 
+def tested_since(last_target: Column, model: ModelSettings) -> Column:
+    """First target date of the selection folds."""
+    return F.date_sub(last_target, model.holdout_days - 1 + model.folds * model.fold_days)
+
+
 def fold_summary(rows: DataFrame, last_target: Column, model: ModelSettings) -> DataFrame:
-    """Training and test row counts per fold from one pass over the target dates."""
+    """Training and test row counts per fold from one pass over the target dates.
+
+    `rows` are training rows or, with a column `targets`, dates that stand for that many of them.
+    """
     before = F.col("_before")
+    weight = F.col("targets") if "targets" in rows.columns else F.lit(1)
+    date = F.col("date") if "targets" in rows.columns else F.col("target_date")
+    counted = lambda chosen: F.coalesce(F.sum(F.when(chosen, F.col("_weight"))), F.lit(0)).cast("long")
     counts = []
     for fold in range(model.folds):
         test_oldest = (model.folds - fold) * model.fold_days
         counts += [
-            F.count_if(before > test_oldest).alias(f"train_{fold}"),
-            F.count_if((before <= test_oldest) & (before > test_oldest - model.fold_days)).alias(f"test_{fold}"),
+            counted(before > test_oldest).alias(f"train_{fold}"),
+            counted((before <= test_oldest) & (before > test_oldest - model.fold_days)).alias(f"test_{fold}"),
         ]
     start = F.date_sub(last_target, model.holdout_days - 1)
-    one = rows.select(F.datediff(start, "target_date").alias("_before")).agg(
-        *counts, F.count_if(before > 0).alias("train_-1"), F.count_if(before <= 0).alias("test_-1")
+    one = rows.select(F.datediff(start, date).alias("_before"), weight.alias("_weight")).agg(
+        *counts, counted(before > 0).alias("train_-1"), counted(before <= 0).alias("test_-1")
     )
     folds = [
         F.struct(
@@ -78,6 +89,18 @@ def fold_summary(rows: DataFrame, last_target: Column, model: ModelSettings) ->
     )
 
 
+def usable_folds(summary: DataFrame, minimum_folds: int = 2) -> Column:
+    """Index of every usable fold, as a scalar array. Too few folds, or no holdout, stop the job."""
+    found = summary.filter("usable").agg(F.collect_set("fold_index").alias("folds"))
+    selection = F.size(F.filter("folds", lambda f: f >= 0))
+    checked = (
+        F.when(selection < minimum_folds, F.raise_error(F.lit("fewer usable selection folds than required")).cast("array<bigint>"))
+        .when(~F.array_contains("folds", F.lit(-1).cast("long")), F.raise_error(F.lit("the holdout has no usable rows")).cast("array<bigint>"))
+        .otherwise(F.col("folds"))
+    )
+    return found.select(checked).scalar()
+
+
 # --- predictions -----------------------------------------------------------
 
 def wide_predictions(folded: DataFrame, *more: str) -> DataFrame:
@@ -109,7 +132,7 @@ def paired(predictions: DataFrame, first: str, second: str) -> DataFrame:
         .agg(*(F.max(c).alias(c) for c in kept), of(first).alias(first), of(second).alias(second))
     )
     missing = F.col(first).isNull() | F.col(second).isNull()
-    failure = F.raise_error(F.lit(f"prediction rows of {first} and {second} do not align")).cast("double")
+    failure = F.raise_error(F.lit(f"{first} and {second} do not cover the same rows")).cast("double")
     return both.withColumn(first, F.when(missing, failure).otherwise(F.col(first)))
 
 

@@ -103,11 +103,19 @@ def _target_calendar(target: Column) -> dict[str, Column]:
     }
 
 
-def training_rows(history: DataFrame, model: ModelSettings) -> DataFrame:
-    """Every origin with every report of the following 28 days as target."""
+def training_rows(history: DataFrame, model: ModelSettings, since: Column | None = None) -> DataFrame:
+    """Every origin with every report of the following 28 days as target.
+
+    With `since` only targets of that date and later, chosen before the rows are multiplied.
+    """
     ahead = origins(history, model, model.maximum_lead_days)
+    following = F.col("_following")
+    if since is not None:
+        ahead = ahead.filter(F.col("origin_date") >= F.date_sub(since, model.maximum_lead_days))
+        ahead = ahead.withColumn("_since", since)
+        following = F.filter("_following", lambda t: t["date"] >= F.col("_since"))
     kept = [c for c in ahead.columns if not c.startswith("_")]
-    paired = ahead.select(*kept, F.explode("_following").alias("_target"))
+    paired = ahead.select(*kept, F.explode(following).alias("_target"))
     return (
         paired.select(*kept, F.col("_target.date").alias("target_date"), F.col("_target.price").alias("target"))
         .withColumn("lead_days", F.datediff("target_date", "origin_date").cast("long"))
@@ -132,6 +140,13 @@ def latest_target_date(history: DataFrame, model: ModelSettings) -> Column:
     )
 
 
+def targets_per_report(history: DataFrame, model: ModelSettings) -> DataFrame:
+    """(date, targets): training rows that have a report as target, counted without building them."""
+    numbered = history.select(*S.SERIES, "date").withColumn("_number", S.report_number())
+    before = S.by_day().rangeBetween(-model.maximum_lead_days, -1)
+    return numbered.select("date", F.count_if(F.col("_number") >= model.minimum_reports).over(before).alias("targets"))
+
+
 def forecast_rows(history: DataFrame, model: ModelSettings) -> DataFrame:
     """The last report of each series against the same calendar days after the newest date.
 

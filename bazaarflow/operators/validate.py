@@ -56,20 +56,22 @@ def first_copies(checked: DataFrame, position: Sequence[str]) -> DataFrame:
 def with_duplicates_marked(checked: DataFrame, position: Sequence[str]) -> DataFrame:
     """Every report with its reason, later copies marked `exact_duplicate`.
 
-    The first copy of each key is found by a combined minimum. Its position identifies a row, so
-    the reports join on position, which is unique, and a hot key never lands in one task.
+    Only keys with several reports matter. Their first position is a combined minimum; that small
+    result joins the reports by key, so a hot key is a skewed side Spark splits or a broadcast match.
     """
-    firsts = (
+    repeated = (
         checked.filter(F.col(REASON).isNull())
-        .groupBy(*DUPLICATE_KEY)
-        .agg(F.min(F.struct(*position)).alias("at"))
-        .select("at.*", F.lit(True).alias("is_first"))
+        .groupBy(*(F.col(k).alias(f"_key_{k}") for k in DUPLICATE_KEY))
+        .agg(F.min(F.struct(*position)).alias("_first"), F.count("*").alias("_copies"))
+        .filter("_copies > 1").drop("_copies")
+    )
+    same = F.col(REASON).isNull()
+    for key in DUPLICATE_KEY:
+        same = same & F.col(key).eqNullSafe(F.col(f"_key_{key}"))
+    later = F.col("_first").isNotNull() & (F.struct(*position) != F.col("_first"))
+    return checked.join(repeated, same, "left").select(
+        *(F.when(later, "exact_duplicate").otherwise(F.col(REASON)).alias(REASON) if c == REASON else F.col(c) for c in checked.columns)
     )
-    marked = checked.join(firsts, list(position), "left")
-    later = F.col(REASON).isNull() & F.col("is_first").isNull()
-    return marked.withColumn(
-        REASON, F.when(later, "exact_duplicate").otherwise(F.col(REASON))
-    ).drop("is_first")
 
 
 def split(marked: DataFrame) -> tuple[DataFrame, DataFrame]:

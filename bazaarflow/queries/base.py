@@ -9,12 +9,13 @@ from datetime import date
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from bazaarflow.operators import coverage as C
-from bazaarflow.operators.features import training_rows, latest_target_date, with_tier
+from bazaarflow.operators.features import latest_target_date, training_rows, with_tier
 from bazaarflow.operators import evaluate as E
 from bazaarflow.operators import validate as V
 from bazaarflow.operators.market_day import market_days
 from bazaarflow.operators.series import with_anomaly
 from bazaarflow.operators.upsert import newest_days
+from bazaarflow.plans.outlook import tested_rows
 from bazaarflow.session import write_and_reload
 from bazaarflow.settings import DEFAULTS
 from bazaarflow.sources import tables as T
@@ -85,7 +86,7 @@ def folded(spark, folder) -> DataFrame:
 
 
 def wide(spark, folder) -> DataFrame:
-    return E.wide_predictions(folded(spark, folder))
+    return tested_rows(write_and_reload(tiered(spark, folder), "tiered"), MODEL)
 
 
 def long(spark, folder) -> DataFrame:

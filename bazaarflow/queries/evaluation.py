@@ -10,9 +10,9 @@ from bazaarflow.functions.numbers import rounded
 from bazaarflow.operators import evaluate as E
 from bazaarflow.operators import intervals as I
 from bazaarflow.operators import model as M
-from bazaarflow.operators.features import latest_target_date, training_rows
+from bazaarflow.operators.features import latest_target_date, targets_per_report, training_rows
 from bazaarflow.queries.base import (
-    METRICS_SQL, MODEL, folded, long, oracle, register, rnd, stored_history, stored_wide, wide,
+    METRICS_SQL, MODEL, folded, long, oracle, register, rnd, stored_history, stored_wide, tested_rows, tiered, wide,
 )
 from bazaarflow.session import write_and_reload
 
@@ -40,6 +40,27 @@ def fold_assignment(spark, sf):
     return E.fold_summary(training_rows(days, MODEL), latest_target_date(days, MODEL), MODEL)
 
 
+_THIN_SQL = f"""
+  with last as (select max(target_date) as t from training),
+  thin as (select count(*) + 1 as least_rows from training, last where target_date < t - {MODEL.holdout_days - 1} - {MODEL.folds * MODEL.fold_days}),
+  counts as (select f, count(*) filter (where before > ({MODEL.folds} - f) * {MODEL.fold_days}) as n from folded, (select unnest([0, 1, 2]) as f) group by 1)
+  select fold_index, method, count(*) as n, {rnd('avg(abs(actual - prediction))', 2)} as mae
+  from predictions where phase = 'locked_holdout' or fold_index in (select f from counts, thin where n >= least_rows)
+  group by 1, 2"""
+
+
+@register("fold_usability", oracle(_THIN_SQL, "predictions"))
+def fold_usability(spark, sf):
+    """Errors by fold when the oldest fold has one training row less than required: it is left out."""
+    days = write_and_reload(tiered(spark, sf), "tiered")
+    counts = E.fold_summary(targets_per_report(days, MODEL), latest_target_date(days, MODEL), MODEL)
+    oldest = counts.filter("fold_index = 0").first()["training_rows"]
+    rows = E.long_predictions(tested_rows(days, replace(MODEL, minimum_training_rows=oldest + 1)))
+    return rows.groupBy("fold_index", "method").agg(
+        F.count("*").alias("n"), rounded(F.avg(F.abs(F.col("actual") - F.col("prediction"))), 2).alias("mae")
+    )
+
+
 @register("union_methods", oracle(f"""
   select phase, fold_index, commodity, market_id, lead_days, target_date, actual, method, {rnd('prediction', 4)} as prediction
   from predictions""", "predictions"))

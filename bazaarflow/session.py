@@ -14,8 +14,6 @@ RECOMMENDED = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.parquet.compression.codec": "zstd",
-    # percentile()/collect_set() stay hash-based for more groups per task before sorting
-    "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "100000",
 }
 
 

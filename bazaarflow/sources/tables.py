@@ -15,17 +15,6 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def spread(frame: DataFrame, *columns: str) -> DataFrame:
-    """Share out a scan that has fewer splits than there are cores.
-
-    Only a small input has so few splits; a large one is returned as it is, without a shuffle.
-    """
-    cores = frame.sparkSession.sparkContext.defaultParallelism
-    if frame.rdd.getNumPartitions() >= cores:
-        return frame
-    return frame.repartition(cores, *columns)
-
-
 def _placed_lines(spark: SparkSession, folder: str) -> DataFrame:
     """Lines with commodity, variety and market.
 
@@ -47,7 +36,7 @@ def _placed_lines(spark: SparkSession, folder: str) -> DataFrame:
         "p_partkey", F.col("p_type").alias("commodity"), F.col("p_brand").alias("variety")
     )
     modal = rounded(F.col("l_extendedprice") / F.col("l_quantity"), 2)
-    scan = spread(table(spark, folder, "lineitem"), "l_partkey", "l_suppkey", "l_extendedprice")
+    scan = table(spark, folder, "lineitem")
     lines = scan.select(
         "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_returnflag",
         "l_discount", "l_tax",
@@ -109,7 +98,7 @@ def raw_documents(spark: SparkSession, folder: str) -> DataFrame:
     The values list is empty for first lines without return, the dates are absent for second lines
     without return, and third lines hold two entries, the later one with thousands separators.
     """
-    scan = spread(table(spark, folder, "lineitem"), "l_partkey", "l_suppkey", "l_extendedprice")
+    scan = table(spark, folder, "lineitem")
     lines = scan.select(
         "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_returnflag",
         "l_quantity", "l_discount", "l_tax", "l_extendedprice",
