@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 HISTORY_KEY = ("market_id", "commodity", "date")
 LEDGER_KEY = ("state_id", "commodity", "source_month")
@@ -35,9 +35,9 @@ def keep_last(published: DataFrame, refreshed: DataFrame, keys: Sequence[str] =
     return one_per_key(merged, keys, ["_batch", *tie_breaks]).drop("_batch")
 
 
-def newest_days(history: DataFrame, days: int) -> DataFrame:
-    """Rows of the last `days` days; the end date is a scalar subquery, not a join."""
-    end = history.select(F.max("date")).scalar()
+def newest_days(history: DataFrame, days: int, end: Column | None = None) -> DataFrame:
+    """Rows of the last `days` days; the end date is a scalar subquery, not a join, unless it is given."""
+    end = history.select(F.max("date")).scalar() if end is None else end
     return history.filter(F.col("date") >= F.date_sub(end, days - 1))
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from bazaarflow.operators import coverage as C
 from bazaarflow.operators import validate as V
 from bazaarflow.operators.market_day import market_days
-from bazaarflow.operators.series import with_anomaly
+from bazaarflow.operators.series import LOOKBACK_REPORTS, by_report, with_anomaly
 from bazaarflow.operators.upsert import HISTORY_KEY, keep_last, newest_days, one_per_key
 from bazaarflow.settings import QualitySettings
 from bazaarflow.sources import raw_json, reference_dims
@@ -61,10 +61,20 @@ def one_row_per_day(days: DataFrame) -> DataFrame:
 
 
 def merged_history(published: DataFrame, refreshed: DataFrame, quality: QualitySettings) -> DataFrame:
-    """Refreshed market-days replace published ones; scores are computed on the merged history."""
-    known = [c for c in published.columns if c not in ("anomaly_score", "is_anomaly")]
-    merged = keep_last(published.select(known), refreshed, tie_breaks=SPELLING)
-    return with_anomaly(newest_days(merged, quality.history_days))
+    """Refreshed market-days replace published ones; unchanged rows keep their published score.
+
+    A row is scored anew when it, or one of the reports its score looks back on, was refreshed. All
+    published rows are still there as context then; the history window is cut last.
+    """
+    scores = ["anomaly_score", "is_anomaly"]
+    known = published if "anomaly_score" in published.columns else with_anomaly(published)
+    kept = known.withColumnsRenamed({c: f"_{c}" for c in scores}).withColumn("_fresh", F.lit(0))
+    merged = keep_last(kept, refreshed.withColumn("_fresh", F.lit(1)), tie_breaks=SPELLING)
+    touched = F.max("_fresh").over(by_report().rowsBetween(-LOOKBACK_REPORTS, 0)) == 1
+    scored = with_anomaly(merged.withColumn("_touched", touched))
+    final = scored.withColumns({c: F.when(F.col("_touched"), F.col(c)).otherwise(F.col(f"_{c}")) for c in scores})
+    ends = [frame.select(F.max("date")).scalar() for frame in (published, refreshed)]
+    return newest_days(final, quality.history_days, F.greatest(*ends)).drop("_fresh", "_touched", *(f"_{c}" for c in scores))
 
 
 def refreshed(history: DataFrame, quality: QualitySettings) -> Refreshed:

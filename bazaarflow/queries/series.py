@@ -263,16 +263,30 @@ def union_diagonal(spark, sf):
     )
 
 
+def _score_sql(source):
+    return f"""
+      select * exclude (e, c, s), {rnd('case when len(e) >= 8 then (representative_price - c) / s else 0 end', 4)} as anomaly_score,
+        case when len(e) >= 8 then abs((representative_price - c) / s) >= 4 else false end as is_anomaly
+      from (select *, greatest(1.4826 * list_aggregate(list_transform(e, lambda x: abs(x - c)), 'median'), c * 0.03, 1) as s from (
+        select *, list_aggregate(e, 'median') as c from (
+          select *, coalesce(list(representative_price) over ({_S} order by date rows between 30 preceding and 1 preceding), []) as e from {source})))"""
+
+
 @register("incremental_refresh", oracle(f"""
-  with {_BATCHES}, kept as (select * from merged where date >= (select max(date) from merged) - {QUALITY.history_days - 1}),
-  prior as (select *, coalesce(list(representative_price) over ({_S} order by date rows between 30 preceding and 1 preceding), []) as e from kept),
-  centred as (select *, list_aggregate(e, 'median') as c from prior),
-  scaled as (select *, greatest(1.4826 * list_aggregate(list_transform(e, lambda x: abs(x - c)), 'median'), c * 0.03, 1) as s from centred)
-  select * exclude (e, c, s), {rnd('case when len(e) >= 8 then (representative_price - c) / s else 0 end', 4)} as anomaly_score,
-    case when len(e) >= 8 then abs((representative_price - c) / s) >= 4 else false end as is_anomaly
-  from scaled""", "placed"))
+  with {_BATCHES},
+  published as (select * from ({_score_sql('old')}) where date >= (select max(date) from old) - {QUALITY.history_days - 1}),
+  joined as (select *, 1 as fresh, null::double as was_score, null::boolean as was_anomaly from fresh union all by name
+    select * exclude (anomaly_score, is_anomaly), 0 as fresh, anomaly_score as was_score, is_anomaly as was_anomaly from published o
+    where not exists (select 1 from fresh f where f.market_id = o.market_id and f.commodity = o.commodity and f.date = o.date)),
+  again as (select *, max(fresh) over ({_S} order by date rows between 30 preceding and current row) as touched from ({_score_sql('joined')}))
+  select * exclude (fresh, touched, was_score, was_anomaly) replace (
+    case when touched = 1 then anomaly_score else was_score end as anomaly_score, case when touched = 1 then is_anomaly else was_anomaly end as is_anomaly)
+  from again where date >= (select max(date) from joined) - {QUALITY.history_days - 1}""", "placed"))
 def incremental_refresh(spark, sf):
-    return refresh.merged_history(*(write_and_reload(b, "batch") for b in _batches(spark, sf)), QUALITY)
+    """Published rows are scored and trimmed before the refresh arrives, as in a second weekly run."""
+    old, fresh = _batches(spark, sf)
+    published = U.newest_days(S.with_anomaly(write_and_reload(old, "batch")), QUALITY.history_days)
+    return refresh.merged_history(write_and_reload(published, "published"), write_and_reload(fresh, "batch"), QUALITY)
 
 
 @register("check_unique", oracle("""

@@ -18,6 +18,12 @@ from bazaarflow.streaming import jobs
 _FLAT = ("market_raw", "date", "variety", "min_price", "max_price", "modal_price", "arrivals_tonnes")
 
 
+def streamed(spark, folder: str, name: str):
+    """A table as a stream, be it a file or a folder of files. The pattern keeps a file from being taken as base folder."""
+    pattern = f"{folder}/[{name[0]}]{name[1:]}.parquet"
+    return spark.readStream.schema(T.table(spark, folder, name).schema).parquet(pattern)
+
+
 @register("stream_validate", f"""
   with flat as ({ORACLES['src_flatten']})
   select {', '.join(_FLAT)}, case
@@ -43,9 +49,7 @@ def stream_validate(spark, sf):
   join nation n on s_nationkey = n_nationkey join region r on n_regionkey = r_regionkey"""))
 def stream_dedup(spark, sf):
     """Lines sent twice, as a stream joined with the static tables."""
-    lines = spark.readStream.schema(T.table(spark, sf, "lineitem").schema).option(
-        "pathGlobFilter", "lineitem.parquet"
-    ).parquet(sf)
+    lines = streamed(spark, sf, "lineitem")
     reports = (
         lines.join(T.table(spark, sf, "part"), F.col("l_partkey") == F.col("p_partkey"))
         .join(T.table(spark, sf, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
@@ -61,8 +65,8 @@ def stream_dedup(spark, sf):
         )
     )
     folder = shared_folder(spark, "deduplicated")
-    # the table is not in time order, so the delay spans its whole period
-    kept = jobs.deduplicated_stream(reports, "event_time", "4000 days").select(*DUPLICATE_KEY)
+    # what is there arrives as one batch, so nothing is late; copies meet within two days, then state goes
+    kept = jobs.deduplicated_stream(reports, "event_time", "2 days").select(*DUPLICATE_KEY)
     jobs.write_to_end(kept, folder, shared_folder(spark, "progress"))
     return spark.read.schema(kept.schema).parquet(folder)
 
@@ -72,13 +76,11 @@ def stream_dedup(spark, sf):
     cast(sum(cast(value as decimal(18,2))) as double) as total
   from events group by 1, 2"""))
 def stream_market_day(spark, sf):
-    events = spark.readStream.schema(T.table(spark, sf, "events").schema).option(
-        "pathGlobFilter", "events.parquet"
-    ).parquet(sf)
+    events = streamed(spark, sf, "events")
     daily = jobs.daily_stream(events.withColumn("ts", utc_instant(F.col("ts"))), "ts", "2 days", ["event_type"], "value")
     folder = shared_folder(spark, "daily")
     jobs.upsert_to_end(daily, folder, shared_folder(spark, "progress"), ["date", "event_type"], [], "update")
-    return spark.read.parquet(folder).select(
+    return jobs.current_table(spark, folder, daily.schema).select(
         "date", "event_type", "reports", "lowest", "highest", F.col("total").cast("double").alias("total")
     )
 
@@ -97,4 +99,4 @@ def stream_upsert(spark, sf):
     ).write.mode("append").parquet(inbox)
     arriving = spark.readStream.schema(spark.read.parquet(inbox).schema).option("maxFilesPerTrigger", 64).parquet(inbox)
     jobs.upsert_to_end(arriving, folder, shared_folder(spark, "progress"), HISTORY_KEY, ["revision"])
-    return spark.read.parquet(folder).select(*HISTORY_KEY, "revision", PRICE)
+    return jobs.current_table(spark, folder, arriving.schema).select(*HISTORY_KEY, "revision", PRICE)

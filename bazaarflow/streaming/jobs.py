@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StructType
 
 from bazaarflow.functions.dates import utc_date
 from bazaarflow.operators.upsert import one_per_key
@@ -58,39 +60,57 @@ def write_to_end(stream: DataFrame, folder: str, checkpoint: str, partition_by:
 
 def upsert_to_end(stream: DataFrame, folder: str, checkpoint: str, keys: Sequence[str],
                   order: Sequence[str], mode: str = "append") -> None:
-    """Merge every batch into a table partitioned by month, keeping the newest row per key.
+    """Merge every batch into a table by month, keeping the newest row per key.
 
-    Only the months a batch touches are read and rewritten. Replaying a batch gives the same table.
+    A batch reads the months it touches and writes them to a new version folder. Only when that is
+    complete a pointer row for each month is appended, in one file; readers follow the newest pointers.
+    Whatever fails before leaves the table as it was, and a replayed batch merges again.
     """
+    schema = stream.schema.add("_batch", "long").add(MONTH, "string")
 
     def merge(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        batch = batch.withColumn(MONTH, F.date_format("date", "yyyy-MM")).withColumn(
-            "_batch", F.lit(batch_id).cast("long")
-        )
-        # months of the calendar, a bounded list
-        months = [row[0] for row in batch.select(MONTH).distinct().collect()]
-        if not months:
-            return
-        known = spark.read.schema(batch.schema).parquet(folder).filter(F.col(MONTH).isin(months))
-        latest = one_per_key(known.unionByName(batch), keys, [*order, "_batch"])
-        kept = latest.select(*[c for c in batch.columns if c != MONTH], MONTH)
-        kept.repartition(MONTH, F.pmod(F.xxhash64(*keys), F.lit(_SLICES))).write.mode("overwrite").option(
-            "partitionOverwriteMode", "dynamic"
-        ).partitionBy(MONTH).parquet(folder)
-
-    _create_empty(stream, folder)
+        arrived = batch.withColumn("_batch", F.lit(batch_id).cast("long")).withColumn(MONTH, F.date_format("date", "yyyy-MM")).persist()
+        try:
+            # months of the calendar, a bounded list
+            months = [row[0] for row in arrived.select(MONTH).distinct().collect()]
+            if not months:
+                return
+            latest = one_per_key(_current(spark, folder, schema, months).unionByName(arrived), keys, [*order, "_batch"])
+            version = f"{batch_id:012d}-{uuid.uuid4().hex}"
+            kept = latest.select(*[c for c in schema.names if c != MONTH], MONTH, F.col(MONTH).alias("_folder"))
+            # AQE splits a large month over several tasks
+            kept.hint("rebalance", "_folder").write.partitionBy("_folder").parquet(f"{folder}/data/{version}")
+            switch(spark, folder, batch_id, version, months)
+        finally:
+            arrived.unpersist()
+
+    switch(stream.sparkSession, folder, -1, "", [])
     (
         stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint)
         .foreachBatch(merge).trigger(availableNow=True).start().awaitTermination()
     )
 
 
-# A month is written in this many slices, so a large month is not one task's work.
-_SLICES = 8
+_POINTER = "batch long, month string, version string"
+
+
+def switch(spark: SparkSession, folder: str, batch_id: int, version: str, months: Sequence[str]) -> None:
+    """Make a version current for its months; a single small file, so it is there or it is not."""
+    rows = [(batch_id, month, version) for month in months]
+    spark.createDataFrame(rows, _POINTER).coalesce(1).write.mode("append").parquet(f"{folder}/pointers")
+
+
+def _current(spark: SparkSession, folder: str, schema: StructType, months: Sequence[str] | None = None) -> DataFrame:
+    pointers = spark.read.schema(_POINTER).parquet(f"{folder}/pointers")
+    if months is not None:
+        pointers = pointers.filter(F.col("month").isin(list(months)))
+    # one row for each month of the calendar
+    newest = pointers.groupBy("month").agg(F.max_by("version", F.struct("batch", "version")).alias("version")).collect()
+    paths = [f"{folder}/data/{row['version']}/_folder={row['month']}" for row in newest]
+    return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
 
 
-def _create_empty(stream: DataFrame, folder: str) -> None:
-    """Make the table's folder, so the first batch merges like every later one."""
-    schema = stream.schema.add(MONTH, "string")
-    stream.sparkSession.createDataFrame([], schema).write.mode("append").partitionBy(MONTH).parquet(folder)
+def current_table(spark: SparkSession, folder: str, columns: StructType) -> DataFrame:
+    """The merged table as its newest pointers show it."""
+    return _current(spark, folder, columns)

@@ -120,3 +120,46 @@ def test_windows_share_one_exchange(spark, series):
     plan = frame._jdf.queryExecution().sparkPlan().toString()
     executed = frame._jdf.queryExecution().executedPlan().toString()
     assert executed.count("Exchange hashpartitioning") == 1 and executed.count("Sort [") == 1, plan
+
+
+def test_streams_read_folder_tables(spark, tmp_path):
+    """A table may be a folder of files; the streams give the same rows as from one file."""
+    import os
+
+    for name in os.listdir(SMALL):
+        target = tmp_path / name
+        if name in ("events.parquet", "lineitem.parquet"):
+            spark.read.parquet(f"{SMALL}/{name}").repartition(3).write.parquet(str(target))
+        else:
+            target.symlink_to(f"{SMALL}/{name}")
+    for name in ("stream_market_day", "stream_dedup"):
+        query = entry.queries()[name]
+        assert sorted(map(tuple, query(spark, str(tmp_path)).collect()), key=str) == sorted(map(tuple, query(spark, SMALL).collect()), key=str)
+
+
+def test_a_failed_merge_leaves_the_table_and_replays(spark, tmp_path, monkeypatch):
+    from bazaarflow.streaming import jobs
+
+    inbox, folder, progress = (str(tmp_path / n) for n in ("inbox", "table", "progress"))
+    rows = lambda *r: spark.createDataFrame(r, "id long, date string, price long").selectExpr("id", "cast(date as date) as date", "price")
+    shown = lambda: sorted(tuple(r)[:3] for r in jobs.current_table(spark, folder, rows((0, "2026-01-01", 0)).schema).collect())
+    merge = lambda: jobs.upsert_to_end(spark.readStream.schema(rows((0, "2026-01-01", 0)).schema).parquet(inbox), folder, progress, ["id"], [])
+    rows((1, "2026-01-01", 10), (2, "2026-02-01", 20)).write.parquet(inbox)
+    merge()
+    before = shown()
+    assert [r[2] for r in before] == [10, 20]
+    rows((1, "2026-01-01", 11), (3, "2026-01-09", 30)).write.mode("append").parquet(inbox)
+    honest = jobs.switch
+
+    def failing(session, path, batch, version, months):
+        if months:
+            raise OSError("lost between write and switch")
+        honest(session, path, batch, version, months)
+
+    monkeypatch.setattr(jobs, "switch", failing)
+    with pytest.raises(Exception, match="lost between"):
+        merge()
+    assert shown() == before
+    monkeypatch.setattr(jobs, "switch", honest)
+    merge()
+    assert [(r[0], r[2]) for r in shown()] == [(1, 11), (2, 20), (3, 30)]

@@ -1,5 +1,5 @@
 from dataclasses import replace
-from datetime import date
+from datetime import date, timedelta
 from statistics import median
 
 import pytest
@@ -105,6 +105,19 @@ def test_merge_scores_the_whole_history(series):
     assert merged.orderBy(F.desc("date")).first().is_anomaly
 
 
+def test_flags_survive_later_merges(series):
+    quality = replace(QUALITY, history_days=30)
+    prices = [100.0] * 20 + [400.0] + [100.0] * 9
+    published = refresh.merged_history(series([100.0]), series(prices, start=date(2026, 1, 2)), quality)
+    flagged = date(2026, 1, 22)
+    for week in range(2):
+        known = {r.date: (r.anomaly_score, r.is_anomaly) for r in published.collect()}
+        assert known[flagged] == (100.0, True)
+        published = refresh.merged_history(published, series([100.0] * 7, start=date(2026, 2, 1) + timedelta(days=7 * week)), quality)
+        merged = {r.date: (r.anomaly_score, r.is_anomaly) for r in published.collect()}
+        assert len(merged) == 30 and all(merged[d] == known[d] for d in merged if d in known)
+
+
 def test_publication_is_written_and_covers_less_than_all(series, tmp_path, spark):
     quality = replace(QUALITY, minimum_records=5, minimum_weekly_coverage=0.1, maximum_age_days=30, series_per_group=1)
     frame = S.with_anomaly(series(range(10, 30), market="a").unionByName(series(range(10, 20), market="b")))
