@@ -277,7 +277,8 @@ def observed_improvement(by_date: DataFrame) -> DataFrame:
 def bootstrap(by_date: DataFrame, repetitions: int, seed: int) -> DataFrame:
     """Resample target dates with replacement. Dates are per-day sums, at most one row per day.
 
-    Each draw picks a date by a hash of seed, repetition and slot, so retries draw the same dates.
+    Each draw picks a date by the leading hex digits of an md5 of seed, repetition and draw, which any
+    engine can repeat, so retries draw the same dates.
     """
     # one row per holdout day, so this unpartitioned window is bounded by the holdout length
     slot = F.row_number().over(Window.orderBy("target_date")) - 1
@@ -286,7 +287,7 @@ def bootstrap(by_date: DataFrame, repetitions: int, seed: int) -> DataFrame:
     draws = (
         by_date.sparkSession.range(repetitions).withColumnRenamed("id", "repetition")
         .withColumn("draw", F.explode(F.sequence(F.lit(1).cast("long"), dates)))
-        .withColumn("slot", F.pmod(F.xxhash64(F.lit(seed), "repetition", "draw"), dates))
+        .withColumn("slot", F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), "repetition", "draw")), 1, 12), 16, 10).cast("long") % dates)
     )
     means = draws.join(numbered, "slot").groupBy("repetition").agg(
         (F.sum("gain") / F.sum("rows")).alias("mean_gain")

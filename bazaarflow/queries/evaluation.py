@@ -255,7 +255,15 @@ def bootstrap_observed(spark, sf):
     return E.observed_improvement(_by_date(spark, sf))
 
 
-@register("bootstrap_ci")
+@register("bootstrap_ci", oracle(f"""
+  with by_date as (select target_date, sum(abs(actual - {BASE}) - abs(actual - {CANDIDATE})) as gain, count(*) as n_rows
+    from wide where phase = 'locked_holdout' group by 1),
+  numbered as (select *, row_number() over (order by target_date) - 1 as slot, count(*) over () as dates from by_date),
+  draws as (select r as repetition, ('0x' || substr(md5('{MODEL.seed}|' || r || '|' || d), 1, 12))::bigint % dates as slot
+    from (select unnest(range({MODEL.bootstrap_repetitions})) as r), (select dates, unnest(range(1, dates + 1)) as d from (select max(dates) as dates from numbered))),
+  means as (select repetition, sum(gain) / sum(n_rows) as gain from draws join numbered using (slot) group by 1)
+  select count(*) as repetitions, {rnd('quantile_cont(gain, 0.025)', 2)} as ci_low, {rnd('quantile_cont(gain, 0.975)', 2)} as ci_high,
+    {rnd('avg(case when gain > 0 then 1.0 else 0.0 end)', 4)} as probability_improves from means""", "wide"))
 def bootstrap_ci(spark, sf):
     return E.bootstrap(write_and_reload(_by_date(spark, sf), "dates"), MODEL.bootstrap_repetitions, MODEL.seed)
 
