@@ -6,8 +6,8 @@ at a uniform number hashed from seed and id, so retries and reruns draw the same
 `PART` are drawn as sums of several independent draws, which has the same distribution and keeps
 exp(-rate) away from underflow. Copies are exploded and ordered by a hashed key over the whole table.
 
-Only the counts by source are gathered; the rate table has one row for each source and joins by
-Spark's own choice. A hot source is never grouped: its rows are only counted with a partial sum.
+Only the counts by source are gathered; the rate table has one row for each source. It is stored, so
+Spark knows its size and broadcasts it below its threshold or else joins by shuffle. A hot source is never grouped: its rows are only counted with a partial sum.
 
 Defined cases: a null source is a source of its own. A source without a target weight has weight 0
 and no copies; a target source without rows is ignored and the others share its weight. Rows that
@@ -21,6 +21,8 @@ from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from bazaarflow.session import write_and_reload
+
 SEED = "mix-1"
 PART = 16.0
 
@@ -65,9 +67,9 @@ def mixed(docs: DataFrame, weights: Mapping[str | None, float] | None = None, to
     """docs repeated to the target weights and shuffled, with mix_copies, mix_copy (from 1) and mix_key."""
     plain = docs.drop("mix_source", "mix_rate", "mix_copies", "mix_copy", "mix_key", "mix_parts", "mix_cdf")
     parts = F.greatest(F.lit(1), F.ceil(F.col("mix_rate") / F.lit(PART)).cast("int"))
-    table = rates(plain, weights, total, source_col).withColumn("mix_parts", parts).select(
+    table = write_and_reload(rates(plain, weights, total, source_col).withColumn("mix_parts", parts).select(
         "mix_source", "mix_parts", _distribution(F.col("mix_rate") / F.col("mix_parts")).alias("mix_cdf")
-    )
+    ), "rates")
     ident = F.col(id_col)
 
     def drawn(part: Column) -> Column:
