@@ -64,7 +64,7 @@ def report_features(history: DataFrame, lead_days: int | None = None) -> DataFra
     measured = history.withColumns(windows).withColumn(
         "relative_volatility_30d", ratio(F.col("rolling_std_30d"), F.col("rolling_mean_30d"))
     )
-    extra = ["_following"] if lead_days is not None else []
+    extra = [c for c in history.columns if c.endswith("_level")] + (["_following"] if lead_days is not None else [])
     return measured.select(
         F.col("date").alias("origin_date"),
         "state", "commodity", "market_id", "market", "district", "coverage_tier",

@@ -2,7 +2,7 @@
 
 import importlib
 
-_MODULES = ("sources", "reports", "series", "features", "evaluation", "published", "comparison", "streams")
+_MODULES = ("sources", "reports", "series", "features", "evaluation", "published", "comparison", "streams", "training")
 
 
 def load():

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 from bazaarflow.functions.numbers import rounded
 from bazaarflow.operators import evaluate as E
 from bazaarflow.operators import intervals as I
-from bazaarflow.operators import model as M
 from bazaarflow.operators.features import latest_target_date, targets_per_report, training_rows
 from bazaarflow.queries.base import (
     METRICS_SQL, MODEL, folded, long, oracle, register, rnd, stored_history, stored_wide, tested_rows, tiered, wide,
@@ -266,34 +265,3 @@ def bootstrap_observed(spark, sf):
     {rnd('avg(case when gain > 0 then 1.0 else 0.0 end)', 4)} as probability_improves from means""", "wide"))
 def bootstrap_ci(spark, sf):
     return E.bootstrap(write_and_reload(_by_date(spark, sf), "dates"), MODEL.bootstrap_repetitions, MODEL.seed)
-
-
-# --- tree model: fewer trees than the default, for a check of rows only ----
-
-_SMALL = replace(MODEL, trees=8)
-
-
-def _stored(spark, sf):
-    """Folded rows written once: boosting reads its training rows again for every tree."""
-    return write_and_reload(folded(spark, sf), "folded")
-
-
-@register("model_fit_predict")
-def model_fit_predict(spark, sf):
-    done = M.fold_predictions(_stored(spark, sf), -1, _SMALL)
-    return done.select("commodity", "market_id", "lead_days", "target_date", "target", E.TREE)
-
-
-@register("model_predictions")
-def model_predictions(spark, sf):
-    done = M.all_fold_predictions(_stored(spark, sf), replace(MODEL, trees=3))
-    merged = E.wide_predictions(done, E.TREE)
-    return E.long_predictions(merged, (*E.BASELINES, E.TREE))
-
-
-@register("perm_importance")
-def perm_importance(spark, sf):
-    rows = _stored(spark, sf)
-    fitted = M.fit_tree(rows.filter(F.col("_before") > 0), _SMALL, MODEL.seed + 10_000)
-    sample = M.evaluation_sample(rows.filter(F.col("_before") <= 0))
-    return M.permutation_importance(fitted, sample, MODEL)

@@ -178,15 +178,41 @@ def test_unknown_labels_and_bad_numbers_are_encoded(spark):
 
 
 def test_tree_model_learns_and_ranks_features(series, spark, tmp_path):
-    frame = series([100 + (i % 7) * 10 for i in range(300)]).withColumn("coverage_tier", F.lit("high"))
+    frame = M.with_levels(series([100 + (i % 7) * 10 for i in range(300)]).withColumn("coverage_tier", F.lit("high")))
     rows = E.with_folds(X.training_rows(frame, MODEL), X.latest_target_date(frame, MODEL), MODEL).persist()
     fitted = M.fit_tree(rows.filter("_before > 0"), replace(MODEL, trees=5), 1)
     done = M.predict_tree(fitted, rows.filter("_before <= 0"))
     assert done.count() == rows.filter("_before <= 0").count()
     assert done.filter(F.col(E.TREE) < 1).isEmpty()
-    sample = M.evaluation_sample(rows.filter("_before <= 0"), 200)
-    ranked = M.permutation_importance(fitted, sample, MODEL, repeats=1).collect()
+    error = lambda guess: done.agg(F.avg(F.abs(F.col("target") - guess))).first()[0]
+    assert error(F.col(E.TREE)) < error(F.lit(rows.filter("_before > 0").agg(F.median("target")).first()[0]))
+    ranked = M.permutation_importance(fitted, rows.filter("_before <= 0"), MODEL, repeats=1).collect()
     assert len(ranked) == 30 and ranked[0].importance >= ranked[-1].importance
     M.save_model(fitted, spark.range(1), str(tmp_path))
-    assert (tmp_path / "model").exists() and (tmp_path / "parameters").exists()
+    loaded, parameters = M.load_model(spark, str(tmp_path))
+    assert sorted(map(tuple, M.predict_tree(loaded, rows.filter("_before <= 0")).collect())) == sorted(map(tuple, done.collect()))
+    assert parameters.count() == 1
     rows.unpersist()
+
+
+def test_training_selects_stores_and_forecasts(series, spark, tmp_path):
+    from bazaarflow.operators import coverage as C
+    from bazaarflow.plans import training
+    from bazaarflow.settings import DEFAULTS, Settings
+
+    quality = replace(DEFAULTS.quality, maximum_age_days=30)
+    model = replace(MODEL, trees=3, minimum_training_rows=200)
+    days = series([100 + (i % 7) * 10 for i in range(330)]).unionByName(series([200 + i % 11 for i in range(330)], market="20-2"))
+    coverage = C.series_coverage(days, quality)
+    trained = training.train_and_select(days, coverage, Settings(quality, model), str(tmp_path))
+    methods = {r.method for r in trained.predictions.select("method").distinct().collect()}
+    assert methods == {*X.BASELINES, E.TREE, E.BLEND} and trained.choice["selected_method"] in methods
+    table = training.forecasts(spark, str(tmp_path), days, coverage, Settings(quality, model)).collect()
+    assert len(table) == 14 and {r.method for r in table} == {trained.choice["selected_method"]}
+    assert all(r.forecast_low <= r.forecast_price <= r.forecast_high for r in table)
+
+
+def test_levels_only_look_back(series):
+    frame = M.with_levels(series([10, 20, 60]).unionByName(series([100, 100, 100], market="20-2")))
+    rows = {(r.market_id, r.date.day): (r.market_id_level, r.commodity_level) for r in frame.collect()}
+    assert rows["20-1", 1] == (10.0, 55.0) and rows["20-1", 2] == (15.0, 57.5) and rows["20-1", 3] == (30.0, 65.0)
