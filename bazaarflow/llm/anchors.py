@@ -4,21 +4,9 @@ from __future__ import annotations
 
 import numpy as np
 
-from bazaarflow.llm.hashing import mix
+from bazaarflow.llm.hashing import mix, powers
 
 WINDOW = 8
-_X = np.uint64(0x9E3779B97F4A7C15)
-_X_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-_POWERS: list[np.ndarray] = []
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if not _POWERS or len(_POWERS[0]) < n:
-        steps = [np.full(max(n, 1 << 16), x) for x in (_X, _X_INVERSE)]
-        for s in steps:
-            s[0] = 1
-        _POWERS[:] = [np.multiply.accumulate(s) for s in steps]
-    return _POWERS[0], _POWERS[1]
 
 
 class Substrings:
@@ -27,8 +15,9 @@ class Substrings:
     def __init__(self, data: bytes) -> None:
         n = max(0, len(data) - WINDOW + 1)
         self.mixed = mix(np.ndarray((n,), dtype="<u8", buffer=data, strides=(1,))) if n else np.zeros(0, dtype=np.uint64)
-        power, self.inverse = _powers(n + 1)
-        self.sums = np.concatenate((np.zeros(1, dtype=np.uint64), np.cumsum(self.mixed * power[:n], dtype=np.uint64)))
+        power, self.inverse = powers(n + 1)
+        self.sums = np.zeros(n + 1, dtype=np.uint64)
+        np.cumsum(self.mixed * power[:n], out=self.sums[1:])
 
     def hash(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return mix((self.sums[end - WINDOW + 1] - self.sums[start]) * self.inverse[start] + (end - start).astype(np.uint64))

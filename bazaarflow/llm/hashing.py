@@ -16,22 +16,26 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _weights(n: int, seed: int) -> np.ndarray:
-    return mix(np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed)) | np.uint64(1)
-
-
-def hash_runs(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
-    """64-bit hash of values[starts[i]:ends[i]]; the runs are ascending, not empty and don't overlap."""
-    if not len(starts):
-        return np.zeros(0, dtype=np.uint64)
-    mark = np.zeros(len(values) + 1, dtype=np.int64)
-    mark[starts] = 1
-    run = np.maximum(np.cumsum(mark) - 1, 0)
-    place = np.arange(len(values) + 1) - starts[run]
-    longest = int((ends - starts).max())
-    weights = _weights(longest, seed)
-    product = (values.astype(np.uint64) + np.uint64(1)) * weights[np.clip(place[:-1], 0, longest - 1)]
-    bounds = np.empty(2 * len(starts), dtype=np.int64)
-    bounds[0::2], bounds[1::2] = starts, ends
-    sums = np.add.reduceat(np.append(product, np.uint64(0)), bounds)[0::2]
-    return mix(sums ^ (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+_X = np.uint64(0x9E3779B97F4A7C15)
+_X_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+_POWERS: list[np.ndarray] = []
+_BYTES = mix(np.arange(1, 257, dtype=np.uint64))
+
+
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers 0, 1, ... of an odd number and of its inverse, modulo 2^64; at least n of them."""
+    if not _POWERS or len(_POWERS[0]) < n:
+        steps = [np.full((n >> 16) + 1 << 16, x) for x in (_X, _X_INVERSE)]
+        for s in steps:
+            s[0] = 1
+        _POWERS[:] = [np.multiply.accumulate(s) for s in steps]
+    return _POWERS[0], _POWERS[1]
+
+
+def hash_runs(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hash of values[starts[i]:ends[i]], by differences of prefix sums."""
+    spread = _BYTES[values] if values.dtype == np.uint8 else mix(values.astype(np.uint64) + np.uint64(1))
+    power, inverse = powers(len(values) + 1)
+    sums = np.zeros(len(values) + 1, dtype=np.uint64)
+    np.cumsum(spread * power[: len(values)], out=sums[1:])
+    return mix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))

@@ -17,7 +17,7 @@ def word_hashes(text: str | None) -> np.ndarray:
     data = np.frombuffer((text or "").encode().translate(_LOWER), dtype=np.uint8)
     inside = np.concatenate(([False], ~_SPACES[data], [False]))
     edges = np.flatnonzero(inside[1:] != inside[:-1])
-    return hash_runs(data, edges[0::2], edges[1::2], seed=7)
+    return hash_runs(data, edges[0::2], edges[1::2])
 
 
 def shingle_set(text: str | None, width: int) -> np.ndarray:

@@ -39,7 +39,7 @@ from bazaarflow.session import write_and_reload
 LENGTH = 400
 GRAM = 64
 TOKEN = 40
-CROWD = 512
+CROWD = 8192  # about 4 MB of segments: what a task may hold of one gram
 
 _KEYED = ["k1", "k2", "id", "th", "first", "last", "ahead"]
 
@@ -326,7 +326,7 @@ def _within_grams(waiting: DataFrame, length: int, id_type: str) -> DataFrame:
         for part in _parts(batches, 2000):
             k1 = part["k1"].to_numpy()
             new = np.flatnonzero(k1[1:] != k1[:-1])
-            if rows >= 4000 and (len(new) or (held and held[-1]["k1"][-1].as_py() != k1[0])):
+            if rows >= 1000 and (len(new) or (held and held[-1]["k1"][-1].as_py() != k1[0])):
                 cut = 0 if held[-1]["k1"][-1].as_py() != k1[0] else int(new[0]) + 1
                 held.append(part.slice(0, cut))
                 if (found := compare(pa.Table.from_batches(held))) is not None:
