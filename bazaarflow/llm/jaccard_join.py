@@ -11,10 +11,11 @@ needed from sets that have more of those than the spare; that keeps them rare (s
 signature and sends further members past the grouping, so even a signature of a third of all nodes
 is met by one row from each task. Signatures of one node end here.
 
-**Links.** In a small bucket all pairs are candidates; in a large one first the pairs with its most
-central node. Buckets still split over several components then compare members of different
-components, in blocks of bounded size. Candidates must pass two exact bounds, on sizes and on 256-bit
-parity sketches (their difference never exceeds the sets' difference), before the sets are compared.
+**Links.** In a small bucket all pairs are candidates, in a large one the pairs with its most central node.
+Candidates must pass two exact bounds, on sizes and on 256-bit parity sketches (their difference never
+exceeds the sets' difference). Each node is compared with its most linked candidate first, then the
+candidates whose nodes are still in different components. Large buckets that are still split compare
+members of different components, in blocks of bounded size.
 
 Only links inside a component may stay unlooked at, so components are those of all links.
 
@@ -67,6 +68,11 @@ class Scheme:
     def reaches(self, common: int, sizes: int) -> bool:
         return self.whole * common >= self.share * (sizes - common)
 
+    def bound(self, bits: np.ndarray, one: np.ndarray, other: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Could sets of sizes one and other, whose sketches differ in bits, reach the similarity?"""
+        close = bits * (self.whole + self.share) <= (self.whole - self.share) * sizes
+        return close & (self.whole * np.minimum(one, other) >= self.share * np.maximum(one, other))
+
     def bands(self, size: int) -> list[int]:
         """Upper ends of the bands in which a set of that size signs."""
         tops = _tops(max(self.growth, self.whole / self.share), size * self.whole // self.share)
@@ -89,10 +95,11 @@ class Scheme:
             if not self.differences(2 * top):
                 continue
             n1, spare = self.layout(top)
-            dealt = mix(elements ^ np.uint64(top))
-            part = (dealt % np.uint64(n1)).astype(np.int64) * self.n2 + ((dealt >> np.uint64(40)) % np.uint64(self.n2)).astype(np.int64)
+            dealt = elements * np.uint64(0xD6E8FEB86659FD93 + 2 * top)
+            high, low = dealt >> np.uint64(32), dealt & np.uint64(0xFFFFFFFF)
+            part = ((high * np.uint64(n1) >> np.uint64(32)) * np.uint64(self.n2) + (low * np.uint64(self.n2) >> np.uint64(32))).astype(np.int64)
             sums, counts = np.zeros(n1 * self.n2, dtype=np.uint64), np.bincount(part, minlength=n1 * self.n2).reshape(n1, self.n2)
-            np.add.at(sums, part, mix(elements + np.uint64(1)))
+            np.add.at(sums, part, elements)
             sums = sums.reshape(n1, self.n2)
             place = np.arange(n1, dtype=np.uint64) * np.uint64(1 << 20)
             marks, full = [], []
@@ -135,6 +142,11 @@ def sketch_of(elements: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
+def _differing(pairs) -> np.ndarray:
+    """Bits in which the words of two sketches differ; the words are signed in Spark."""
+    return sum(np.bitwise_count((a ^ b).view(np.uint64)).astype(np.int64) for a, b in pairs)
+
+
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
 
@@ -181,16 +193,18 @@ def _buckets(texts: DataFrame, scheme: Scheme, seed: int) -> DataFrame:
             nonlocal sigs, nodes, held
             sig, node = np.concatenate(sigs), np.concatenate(nodes)
             order = np.lexsort((node, sig))
-            sig, node = sig[order], node[order]
-            first = np.concatenate(([True], sig[1:] != sig[:-1]))
-            shared = ~first
-            shared[:-1] |= ~first[1:]
-            # the first member of a signature meets other tasks' rows under it, the others go anywhere
+            same = sig[order][1:] == sig[order][:-1]
+            first, shared = np.empty(len(sig), dtype=bool), np.zeros(len(sig), dtype=bool)
+            first[order] = np.concatenate(([True], ~same))
+            shared[order] = np.concatenate((same, [False])) | np.concatenate(([False], same))
+            # the first member of a signature meets other tasks' rows under it, the others go anywhere;
+            # rows stay in the order of their nodes, so they compress well
             route = np.where(first, sig, mix(sig.view(np.uint64) ^ node.view(np.uint64)).view(np.int64))
+            away = pa.array(sig, mask=first)
             sigs, nodes, held = [], [], 0
             for i in range(0, len(sig), 50_000):
                 cut = slice(i, i + 50_000)
-                yield pa.RecordBatch.from_arrays([pa.array(route[cut]), pa.array(sig[cut]), pa.array(node[cut]), pa.array(first[cut]), pa.array(shared[cut])], ["route", "sig", "node", "first", "shared"])
+                yield pa.RecordBatch.from_arrays([pa.array(route[cut]), away[cut], pa.array(node[cut]), pa.array(shared[cut])], ["route", "sig", "node", "shared"])
 
         for part in _parts(batches):
             for text in part["text"].to_pylist():
@@ -220,7 +234,9 @@ def _buckets(texts: DataFrame, scheme: Scheme, seed: int) -> DataFrame:
                 columns = rest
                 rest = None
             else:
-                columns = [batch[c].to_numpy(zero_copy_only=False) for c in ("route", "sig", "node", "first", "shared")]
+                route, node, shared = (batch[c].to_numpy(zero_copy_only=False) for c in ("route", "node", "shared"))
+                first = batch["sig"].is_null().to_numpy(zero_copy_only=False)
+                columns = [route, np.where(first, route, batch["sig"].fill_null(0).to_numpy()), node, first, shared]
                 if rest is not None:
                     columns = [np.concatenate(p) for p in zip(rest, columns)]
                 # what may go on in the next batch waits
@@ -239,7 +255,7 @@ def _buckets(texts: DataFrame, scheme: Scheme, seed: int) -> DataFrame:
             if keep.any():
                 yield pa.RecordBatch.from_arrays([pa.array(sig[keep]), pa.array(node[keep])], ["sig", "node"])
 
-    signed = texts.select("text").mapInArrow(sign, "route long, sig long, node long, first boolean, shared boolean")
+    signed = texts.select("text").mapInArrow(sign, "route long, sig long, node long, shared boolean")
     met = signed.repartition("route").sortWithinPartitions("route", "sig").mapInArrow(meet, "sig long, node long")
     return met.distinct()
 
@@ -255,12 +271,12 @@ class _Join:
             F.min("id").alias("first_id"), F.count("*").alias("copies"), F.max("size").alias("size"), *[F.max(s).alias(s) for s in SKETCH]
         )
         buckets = write_and_reload(_buckets(self.texts, scheme, self.seed), "buckets")
-        self.members = write_and_reload(buckets.join(buckets.groupBy("sig").agg(F.count("*").alias("members")), "sig"), "members")
-        self.shape = write_and_reload(self.members.select("node").distinct().join(self.nodes, "node"), "candidates")
-        self.bodies = self._bodies()
+        self.shape = write_and_reload(buckets.select("node").distinct().join(self.nodes, "node"), "candidates")
+        sizes = buckets.groupBy("sig").agg(F.count("*").alias("members"))
+        self.members = write_and_reload(buckets.join(sizes, "sig").join(self.shape.select("node", "size", *SKETCH), "node"), "members")
 
-    def _bodies(self) -> DataFrame:
-        """Stored (node, zipped text), for nodes that share a signature with another one."""
+    def bodies(self, wanted: DataFrame) -> DataFrame:
+        """Stored (node, zipped text) of the wanted nodes."""
         scheme, seed = self.scheme, self.seed
 
         def run(batches):
@@ -277,14 +293,14 @@ class _Join:
                     yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], ["node", "body"])
 
         zipped = self.texts.select("text").mapInArrow(run, "node long, body binary")
-        return write_and_reload(zipped.join(self.shape.select("node"), "node", "left_semi").dropDuplicates(["node"]), "bodies")
+        return write_and_reload(zipped.join(wanted, "node", "left_semi").dropDuplicates(["node"]), "bodies")
 
     def bounded(self, pairs: DataFrame) -> DataFrame:
         """The pairs (u, v) that pass the bounds on sizes and sketches."""
         side = lambda x: self.shape.select(F.col("node").alias(x), F.col("size").alias(f"{x}_size"), *[F.col(s).alias(f"{x}_{s}") for s in SKETCH])
         return pairs.join(side("u"), "u").join(side("v"), "v").filter(_passes(self.scheme, "u_", "v_")).select("u", "v")
 
-    def links(self, pairs: DataFrame) -> DataFrame:
+    def links(self, pairs: DataFrame, bodies: DataFrame) -> DataFrame:
         """Stored links among candidate pairs (u, v)."""
         scheme = self.scheme
 
@@ -300,27 +316,72 @@ class _Join:
                     good.append(scheme.reaches(common, len(other) + len(held)))
                 yield pa.RecordBatch.from_arrays([part["u"], part["v"]], ["u", "v"]).filter(pa.array(good, pa.bool_()))
 
-        a = self.bodies.select(F.col("node").alias("u"), F.col("body").alias("a"))
-        b = self.bodies.select(F.col("node").alias("v"), F.col("body").alias("b"))
+        a = bodies.select(F.col("node").alias("u"), F.col("body").alias("a"))
+        b = bodies.select(F.col("node").alias("v"), F.col("body").alias("b"))
         return write_and_reload(pairs.join(a, "u").join(b, "v").select("u", "v", "a", "b").mapInArrow(run, "u long, v long"), "links")
 
     def labels(self) -> DataFrame:
         """(node, label) of all nodes with a link."""
-        small = self.members.filter(F.col("members") <= SMALL)
-        pairs = small.alias("x").join(small.alias("y"), (F.col("x.sig") == F.col("y.sig")) & (F.col("x.node") < F.col("y.node")))
-        pairs = pairs.select(F.col("x.node").alias("u"), F.col("y.node").alias("v")).distinct()
         large = self.members.filter(F.col("members") > SMALL)
-        if large.isEmpty():
-            return components.labels(self.links(self.bounded(pairs)))
         # the node that meets most others stands in the middle of its group of near copies
         weight = large.groupBy("node").agg(F.sum("members").alias("weight"))
         middle = large.join(weight, "node").groupBy("sig").agg(F.max_by("node", F.col("weight")).alias("middle"))
         spokes = large.join(middle, "sig").filter("node <> middle").select(F.least("node", "middle").alias("u"), F.greatest("node", "middle").alias("v"))
-        links = self.links(self.bounded(pairs.union(spokes.distinct()).distinct()))
+        pairs = write_and_reload(self._within().union(self.bounded(spokes.distinct())).distinct(), "pairs")
+        both = pairs.union(pairs.select("v", "u"))
+        bodies = self.bodies(both.select(F.col("u").alias("node")).distinct())
+
+        # each node with its most linked neighbour first; of the other pairs only those that could still join components
+        degree = both.groupBy("u").agg(F.count("*").alias("degree"))
+        hub = both.join(degree.select(F.col("u").alias("v"), "degree"), "v").groupBy("u").agg(F.max_by("v", F.struct("degree", "v")).alias("v"))
+        links = self.links(hub.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), bodies)
         known = write_and_reload(components.labels(links), "labels")
-        more = self.links(self._across(large, known))
+        open_pairs = _apart(pairs, known)
+        more = self.links(open_pairs, bodies)
+        if not more.isEmpty():
+            links = links.union(more)
+            known = write_and_reload(components.labels(links), "labels")
+        if large.isEmpty():
+            return known
+        across = write_and_reload(self._across(large, known), "pairs")
+        if across.isEmpty():
+            return known
+        more = self.links(across, self.bodies(across.select(F.col("u").alias("node")).union(across.select("v")).distinct()))
         return known if more.isEmpty() else components.labels(links.union(more))
 
+    def _within(self) -> DataFrame:
+        """All pairs of a small bucket that pass the bounds."""
+        scheme, names = self.scheme, ["sig", "node", "size", *SKETCH]
+
+        def pairs(columns: list[np.ndarray]):
+            for step in range(1, SMALL):
+                sig, node, size, *sketch = columns
+                if len(sig) <= step:
+                    break
+                sizes = size[step:] + size[:-step]
+                bits = _differing((x[step:], x[:-step]) for x in sketch)
+                good = (sig[step:] == sig[:-step]) & scheme.bound(bits, size[step:], size[:-step], sizes)
+                if good.any():
+                    u, v = node[:-step][good], node[step:][good]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], ["u", "v"])
+
+        def run(batches):
+            rest = None
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                columns = [batch[c].to_numpy(zero_copy_only=False) for c in names]
+                if rest is not None:
+                    columns = [np.concatenate(p) for p in zip(rest, columns)]
+                waiting = columns[0] == columns[0][-1]
+                rest = [c[waiting] for c in columns]
+                yield from pairs([c[~waiting] for c in columns])
+            if rest is not None:
+                yield from pairs(rest)
+
+        small = self.members.filter(F.col("members") <= SMALL).select(names)
+        return small.repartition("sig").sortWithinPartitions("sig").mapInArrow(run, "u long, v long").distinct()
+
     def _across(self, large: DataFrame, known: DataFrame) -> DataFrame:
         """Pairs of different components in the same large bucket that pass the bounds.
 
@@ -334,7 +395,7 @@ class _Join:
         split = main.filter(F.col("all") > F.col("n")).select(
             "sig", "main", F.ceil(F.col("all") / BLOCK).cast("int").alias("columns"), F.ceil((F.col("all") - F.col("n")) / STRAYS).cast("int").alias("rows")
         )
-        rows = labelled.join(split, "sig").join(self.shape.select("node", "size", *SKETCH), "node")
+        rows = labelled.join(split, "sig")
         place = lambda n: F.pmod(F.xxhash64("node"), F.col(n).cast("long")).cast("int")
         members = rows.withColumn("column", place("columns")).withColumn("row", F.explode(F.sequence(F.lit(0), F.col("rows") - 1))).withColumn("stray", F.lit(False))
         strays = rows.filter("label <> main").withColumn("row", place("rows")).withColumn("column", F.explode(F.sequence(F.lit(0), F.col("columns") - 1))).withColumn("stray", F.lit(True))
@@ -347,9 +408,8 @@ class _Join:
             for at in range(0, len(a[0]), 64):
                 one = [c[at : at + 64, None] for c in a]
                 sizes = one[2] + b[2]
-                bits = sum(np.bitwise_count(one[i] ^ b[i]) for i in range(3, 7))
-                good = (one[1] != b[1]) & (bits <= (scheme.whole - scheme.share) * sizes // (scheme.whole + scheme.share))
-                good &= scheme.whole * np.minimum(one[2], b[2]) >= scheme.share * np.maximum(one[2], b[2])
+                bits = _differing((one[i], b[i]) for i in range(3, 7))
+                good = (one[1] != b[1]) & scheme.bound(bits, one[2], b[2], sizes)
                 i, j = np.nonzero(good)
                 if len(i):
                     u, v = one[0][i, 0], b[0][j]
@@ -376,6 +436,13 @@ class _Join:
         return blocks.mapInArrow(run, "u long, v long").distinct()
 
 
+def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The pairs (u, v) whose nodes have different labels; a node without one is its own."""
+    of = lambda x: labels.select(F.col("node").alias(x), F.col("label").alias(f"{x}_label"))
+    told = pairs.join(of("u"), "u", "left").join(of("v"), "v", "left")
+    return told.filter(F.coalesce("u_label", "u") != F.coalesce("v_label", "v")).select("u", "v")
+
+
 def _passes(scheme: Scheme, a: str, b: str):
     sizes = F.col(f"{a}size") + F.col(f"{b}size")
     bits = sum((F.bit_count(F.col(f"{a}{s}").bitwiseXOR(F.col(f"{b}{s}"))) for s in SKETCH), F.lit(0))
