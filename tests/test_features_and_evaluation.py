@@ -95,7 +95,7 @@ def test_pairing_rejects_rows_that_do_not_align(spark):
     row = E.paired(spark.createDataFrame(good, PREDICTION), "moving_average", "seasonal_naive").first()
     assert (row.moving_average, row.seasonal_naive) == (1.0, 3.0)
     bad = spark.createDataFrame(good + [prediction("moving_average", 1.0, 2.0, day=3)], PREDICTION)
-    with pytest.raises(Exception, match="do not align"):
+    with pytest.raises(Exception, match="do not cover the same rows"):
         E.paired(bad, "moving_average", "seasonal_naive").collect()
 
 
