@@ -13,7 +13,7 @@ is met by one row from each task. Signatures of one node end here.
 
 **Links.** In a small bucket all pairs are candidates, in a large one the pairs with its most central node.
 Candidates must pass two exact bounds, on sizes and on 256-bit parity sketches (their difference never
-exceeds the sets' difference). Each node is compared with its most linked candidate first, then the
+exceeds the sets' difference), then the same with 1024 bits. Each node is compared with its most linked candidate first, then the
 candidates whose nodes are still in different components. Large buckets that are still split compare
 members of different components, in blocks of bounded size.
 
@@ -48,6 +48,7 @@ SMALL = 16
 FLUSH = 1_000_000
 BLOCK, STRAYS = 2048, 512
 SKETCH = ["s0", "s1", "s2", "s3"]
+WIDE_BITS = 1024
 
 
 @dataclass(frozen=True)
@@ -136,9 +137,9 @@ def node_of(elements: np.ndarray, seed: int = 0) -> int:
         return int(mix(np.array([mix(elements ^ np.uint64(0x51ED270B + seed)).sum(dtype=np.uint64) + np.uint64(len(elements))]))[0].astype(np.int64))
 
 
-def sketch_of(elements: np.ndarray) -> np.ndarray:
-    """256 parities: bit i tells whether an odd number of elements fall on i."""
-    odd = np.bincount((elements & np.uint64(255)).astype(np.int64), minlength=256) & 1
+def sketch_of(elements: np.ndarray, bits: int = 256) -> np.ndarray:
+    """Parities, a power of two: bit i tells whether an odd number of elements fall on i."""
+    odd = np.bincount((elements & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
@@ -164,18 +165,19 @@ def _described(texts: DataFrame, scheme: Scheme) -> tuple[DataFrame, int]:
     def run_with(seed: int):
         def run(batches):
             for part in _parts(batches):
-                rows = []
+                rows, wide = [], []
                 for text in part["text"].to_pylist():
                     held = shingle_set(text, scheme.width)
                     full = len(held) > 0
+                    wide.append(sketch_of(held, WIDE_BITS) if full else None)
                     rows.append((len(held), node_of(held, seed) if full else None, node_of(held, seed + 1) if full else None, *(int(x) for x in sketch_of(held))))
-                columns = [part["id"], *(pa.array(c, pa.int64()) for c in zip(*rows))]
-                yield pa.RecordBatch.from_arrays(columns, ["id", "size", "node", "other", *SKETCH])
+                columns = [part["id"], *(pa.array(c, pa.int64()) for c in zip(*rows)), pa.array(wide, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(columns, ["id", "size", "node", "other", *SKETCH, "wide"])
 
         return run
 
     for seed in range(0, 16, 2):
-        stored = write_and_reload(texts.mapInArrow(run_with(seed), f"id {kind}, size long, node long, other long, " + ", ".join(f"{s} long" for s in SKETCH)), "sets")
+        stored = write_and_reload(texts.mapInArrow(run_with(seed), f"id {kind}, size long, node long, other long, " + ", ".join(f"{s} long" for s in SKETCH) + ", wide array<long>"), "sets")
         clash = stored.filter("node is not null").groupBy("node").agg(F.min("other").alias("a"), F.max("other").alias("b")).filter("a <> b")
         if clash.isEmpty():
             return stored, seed
@@ -272,6 +274,9 @@ class _Join:
         )
         buckets = write_and_reload(_buckets(self.texts, scheme, self.seed), "buckets")
         self.shape = write_and_reload(buckets.select("node").distinct().join(self.nodes, "node"), "candidates")
+        chosen = self.shape.select("node", F.col("first_id").alias("id"))
+        same = self.sets["node"].eqNullSafe(chosen["node"]) & self.sets["id"].eqNullSafe(chosen["id"])
+        self.wide = write_and_reload(self.sets.join(chosen, same, "left_semi").select("node", "size", "wide").dropDuplicates(["node"]), "sketches")
         sizes = buckets.groupBy("sig").agg(F.count("*").alias("members"))
         self.members = write_and_reload(buckets.join(sizes, "sig").join(self.shape.select("node", "size", *SKETCH), "node"), "members")
 
@@ -300,6 +305,13 @@ class _Join:
         side = lambda x: self.shape.select(F.col("node").alias(x), F.col("size").alias(f"{x}_size"), *[F.col(s).alias(f"{x}_{s}") for s in SKETCH])
         return pairs.join(side("u"), "u").join(side("v"), "v").filter(_passes(self.scheme, "u_", "v_")).select("u", "v")
 
+    def closer(self, pairs: DataFrame) -> DataFrame:
+        """The pairs that also pass the bound on wide sketches, which are too large to travel with signatures."""
+        side = lambda x: self.wide.select(F.col("node").alias(x), F.col("size").alias(f"{x}_size"), F.col("wide").alias(f"{x}_wide"))
+        differ = F.aggregate(F.zip_with("u_wide", "v_wide", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda n, x: n + x)
+        most = (F.col("u_size") + F.col("v_size")) * (self.scheme.whole - self.scheme.share)
+        return pairs.join(side("u"), "u").join(side("v"), "v").filter(differ * (self.scheme.whole + self.scheme.share) <= most).select("u", "v")
+
     def links(self, pairs: DataFrame, bodies: DataFrame) -> DataFrame:
         """Stored links among candidate pairs (u, v)."""
         scheme = self.scheme
@@ -327,7 +339,7 @@ class _Join:
         weight = large.groupBy("node").agg(F.sum("members").alias("weight"))
         middle = large.join(weight, "node").groupBy("sig").agg(F.max_by("node", F.col("weight")).alias("middle"))
         spokes = large.join(middle, "sig").filter("node <> middle").select(F.least("node", "middle").alias("u"), F.greatest("node", "middle").alias("v"))
-        pairs = write_and_reload(self._within().union(self.bounded(spokes.distinct())).distinct(), "pairs")
+        pairs = write_and_reload(self.closer(self._within().union(self.bounded(spokes.distinct())).distinct()), "pairs")
         both = pairs.union(pairs.select("v", "u"))
         bodies = self.bodies(both.select(F.col("u").alias("node")).distinct())
 
@@ -343,7 +355,7 @@ class _Join:
             known = write_and_reload(components.labels(links), "labels")
         if large.isEmpty():
             return known
-        across = write_and_reload(self._across(large, known), "pairs")
+        across = write_and_reload(self.closer(self._across(large, known)), "pairs")
         if across.isEmpty():
             return known
         more = self.links(across, self.bodies(across.select(F.col("u").alias("node")).union(across.select("v")).distinct()))
