@@ -32,10 +32,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 CHUNK = 1024
-WORDS_KEPT = 250_000
+WORDS_KEPT = 300_000
 CHUNK_BYTES_KEPT = 48 << 20
 _SPACE = re.compile("[ \t\r\n]+")
 _WORD_BYTES = 64  # longer words are not kept
+_MARKS = ".,;:!?"
 _WINDOW = 8
 
 
@@ -55,6 +56,11 @@ def cuts(raw: bytes, average: int = CHUNK) -> list[int]:
     return [*found, len(raw)]
 
 
+def _settled(char: str) -> bool:
+    """A Latin letter or digit that stays one under the tokenizer's normalisation."""
+    return char.isalnum() and char < "\u0250" and len(char.lower()) == 1
+
+
 class _Chunk:
     __slots__ = ("head", "tail", "first", "last", "ids")
 
@@ -75,10 +81,13 @@ class Encoder:
         self.library.no_truncation()
         self.library.no_padding()
         self.average = average
+        #: words used of late and, each time that these are too many, the ones before them
         self.words: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.chunks: dict[bytes, _Chunk] = {}
         self.chunk_bytes = 0
         self.reused = self.encoded = self.disagreed = 0
+        self.ignores_case = self.library.normalizer is not None and self.library.normalizer.normalize_str("AbC") == "abc"
         self.tokens = [self.library.id_to_token(i) for i in range(self.library.get_vocab_size(with_added_tokens=True))]
 
     def _encoded(self, texts: list[str]) -> list[bytes]:
@@ -92,17 +101,14 @@ class Encoder:
         self.reused += len(pieces) - len(split)
         self.encoded += len(split)
         if len(self.words) > WORDS_KEPT:
-            self.words.clear()
+            self.words, self.older = {}, self.words
         if self.chunk_bytes > CHUNK_BYTES_KEPT:
             self.chunks.clear()
             self.chunk_bytes = 0
-        fresh = list(dict.fromkeys(w for words in split.values() for w in words[1:-1] if w not in self.words))
-        ids = dict(zip(fresh, self._encoded(fresh)))
-        look = {**ids}
-        self.words.update((w, i) for w, i in ids.items() if len(w) <= _WORD_BYTES)
+        look = self._words({w for words in split.values() for w in words[1:-1]})
         for piece, words in split.items():
             inside = words[1:-1]
-            joined = b"".join([self.words[w] if w in self.words else look[w] for w in inside])
+            joined = b"".join([look[w] for w in inside])
             tail = words[-1] if len(words) > 1 else None
             chunk = _Chunk(words[0], tail, inside[0] if inside else "", inside[-1] if inside else "", joined)
             known[piece] = chunk
@@ -111,6 +117,37 @@ class Encoder:
                 self.chunk_bytes += len(piece) + len(joined) + 400
         return known
 
+    def _words(self, wanted: set[str]) -> dict[str, bytes]:
+        """Ids of the words; only what no known word settles goes to the library.
+
+        The tokenizer ignores case, and a word's marks at the end are pre-tokens of their own after a
+        letter or digit. So `Word.` has the ids of `word` and of `.`, exactly.
+        """
+        young, old = self.words, self.older
+        look = {w: young[w] for w in wanted & young.keys()}
+        rest = wanted - look.keys()
+        if old:
+            back = {w: old[w] for w in rest & old.keys()}
+            young.update(back)
+            look.update(back)
+            rest -= back.keys()
+        plain: dict[str, tuple[str, str]] = {}
+        for word in rest:
+            core = word.rstrip(_MARKS)
+            if not core or not _settled(core[-1]):
+                core = word
+            marks = word[len(core) :]
+            plain[word] = (core.lower() if core.isascii() and self.ignores_case else core), marks
+        fresh = list({part for pair in plain.values() for part in pair if part and part not in young and part not in old})
+        ids = dict(zip(fresh, self._encoded(fresh)))
+        ids[""] = b""
+        known = lambda part: ids[part] if part in ids else young[part] if part in young else old[part]
+        found = {word: known(core) + known(marks) for word, (core, marks) in plain.items()}
+        look.update(found)
+        for new in (ids, found):
+            young.update((w, i) for w, i in new.items() if w and len(w) <= _WORD_BYTES)
+        return look
+
     def _word(self, word: str) -> bytes:
         if not word:
             return b""
