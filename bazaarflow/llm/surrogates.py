@@ -5,8 +5,8 @@ person names) are found with one pattern. A mention's canonical value is what al
 the lower-cased address, the digits of a number, each part of a name. Every different canonical value gets
 one surrogate from a keyed hash:
 
-- digits become digits, letters become letters of the same script (vowels vowels, consonants consonants), the
-  rest stays, so length and format stay; card numbers keep their issuer digit and pass the Luhn check if they did;
+- digits become digits, letters become letters of the same script (vowels vowels, consonants consonants, where the
+  script is listed with them), the rest stays, so length and format stay; card numbers keep their issuer digit and pass the Luhn check if they did;
 - top-level domains, country codes and private address ranges stay; equal domains stay equal;
 - listed first names become listed first names of the same gender and script, by a keyed permutation;
 - surnames keep script, capitals and, in Cyrillic, the ending that shows the gender.
@@ -15,6 +15,11 @@ one surrogate from a keyed hash:
 all but one winner draw again, until all surrogates differ from each other and from all values. So
 different entities stay different and one entity is the same wherever it is mentioned.
 
+Where a format has too few free forms for that (`STALL` rounds settle nothing, or the rounds are over), the open
+values of the format get each other's values, by a cycle in keyed order: surrogates still differ, and none is the
+value it stands for, but it is another value of the corpus. An open value without a partner of its format, and an
+address, whose domain is not to be shown, gets a longer form. So every value has a surrogate, whatever the counts are.
+
 The values table grows with the different entities, not with mentions: a value in a third of all documents is
 combined before it is shuffled. Mentions carry their surrogate back by a join; the most frequent mentions, at most
 `HOT` by their count, are broadcast.
@@ -25,14 +30,18 @@ may repeat or be null. An empty table gives an empty result. Other columns than
 
 from __future__ import annotations
 
+import sys
+import unicodedata
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from bazaarflow.session import write_and_reload
 
 KEY = "surrogates-1"
 HOT = 10_000
+STALL = 12
+CYCLE = 10_000
 
 # First names by gender and script, titles, letters.
 MALE = "James John Robert Michael David Richard Thomas Daniel Matthew Anthony Steven Andrew Kevin Brian George Edward Peter Hans Jürgen Klaus Wolfgang Stefan Pierre Jean François Philippe Jacques Carlos José Luis Miguel Javier Antonio Juan".split()
@@ -44,6 +53,25 @@ LETTERS = [
     ("aeiou", "aeiou"), ("bcdfghjklmnpqrstvwxyz", "bcdfghklmnprstvz"), ("áéíóúàèìòùâêîôûäëïöüåãõ", "aeiou"), ("ñçßý", "nsvz"),
     ("аеёиоуыэюя", "аеиоу"), ("бвгджзйклмнпрстфхцчшщ", "бвгдзклмнпрст"), ("ьъ", "ь"), ("αεηιουωάέήίόύώ", "αεηιο"), ("βγδζθκλμνξπρσςτφχψ", "βγδκλμνπρστ"), ("0123456789", "0123456789"),
 ]
+
+
+def _further_letters() -> list[tuple[str, str]]:
+    """All other lower-case letters: Latin, Greek and Cyrillic ones become listed letters, further scripts' their own ones."""
+    listed, groups = "".join(m for m, _ in LETTERS), {}
+    for char in map(chr, range(128, sys.maxunicode + 1)):
+        if unicodedata.category(char) == "Ll" and char not in listed:
+            script = unicodedata.name(char, "").split(" ")[0]
+            vowel = unicodedata.normalize("NFD", char)[0] in "aeiouyæøœıаеиоуыэюяіїєαεηιουω"
+            groups.setdefault((script, vowel), []).append(char)
+    fills = {("LATIN", True): 0, ("LATIN", False): 1, ("CYRILLIC", True): 4, ("CYRILLIC", False): 5, ("GREEK", True): 7, ("GREEK", False): 8}
+    own = lambda chars: "".join([c for c in chars if len(c.upper()) == 1 and c.upper() != c] or chars)
+    return [("".join(chars), LETTERS[fills[key]][1] if key in fills else own(chars)) for key, chars in groups.items()]
+
+
+LETTERS += _further_letters()
+# each known letter and digit, and at the same place the private-use sign of its class
+MEMBERS = "".join(m for m, _ in LETTERS)
+CLASSES = "".join(chr(0xE000 + i) * len(m) for i, (m, _) in enumerate(LETTERS))
 _FIRST = [("first_m", MALE), ("first_f", FEMALE), ("first_m", MALE_CYRILLIC), ("first_f", FEMALE_CYRILLIC)]
 
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
@@ -70,10 +98,9 @@ def _scrambled(text: Column, hashed: Column) -> Column:
     """text with every known lower-case letter and digit replaced by one of its class."""
 
     def one(char: Column, i: Column) -> Column:
-        change = F.when(F.lit(False), char)
-        for members, fill in LETTERS:
-            change = change.when(F.instr(F.lit(members), char) > 0, F.substring(F.lit(fill), _byte(hashed, i) % len(fill) + 1, F.lit(1)))
-        return change.otherwise(char)
+        sign = F.translate(char, MEMBERS, CLASSES)
+        fill = F.get(F.array(*[F.lit(f) for _, f in LETTERS]), F.ascii(sign) - 0xE000)
+        return F.when(sign == char, char).otherwise(F.substring(fill, _byte(hashed, i) % F.length(fill) + 1, F.lit(1)))
 
     return F.when(F.length(text) == 0, text).otherwise(F.array_join(F.transform(F.split(text, ""), one), ""))
 
@@ -156,30 +183,99 @@ def _rendered(mention: Column, value: Column, surrogate: Column) -> Column:
     chars = F.split(mention, "")
     counts = lambda c: c.rlike(r"[\p{L}\d]")
     skip = F.size(F.filter(chars, counts)) - F.length(F.regexp_replace(value, r"[^\p{L}\d]", ""))
-    letters = F.regexp_replace(surrogate, r"[^\p{L}\d]", "")
+    every = F.regexp_replace(surrogate, r"[^\p{L}\d]", "")
+    # a longer form has its further characters before an address and after other values
+    size = F.length(F.regexp_replace(value, r"[^\p{L}\d]", ""))
+    more = F.length(every) - size
+    address = value.contains("@")
+    letters = F.when(address, F.substring(every, more + 1, size)).otherwise(F.substring(every, F.lit(1), size))
 
     def one(char: Column, i: Column) -> Column:
         before = F.size(F.filter(F.slice(chars, F.lit(1), i + 1), counts)) - skip
         fresh = F.substring(letters, before, F.lit(1))
         return F.when(~counts(char) | (before < 1), char).when(char.rlike(r"\p{Lu}"), F.upper(fresh)).otherwise(fresh)
 
-    return F.array_join(F.transform(chars, one), "")
+    shown = F.array_join(F.transform(chars, one), "")
+    return F.when(address, F.concat(F.substring(every, F.lit(1), more), shown)).otherwise(F.concat(shown, F.substring(every, size + 1, more)))
+
+
+def _drawn(values: DataFrame, open_: DataFrame, settled: DataFrame | None, surrogate: Column) -> tuple[DataFrame, DataFrame]:
+    """Stored (kind, value, surrogate) of open_ that are settled now, and those that draw again: their surrogate is taken or a value."""
+    drawn = open_.select("kind", "value", surrogate.alias("surrogate"))
+    winners = drawn.groupBy("kind", "surrogate").agg(F.min("value").alias("winner"))
+    taken = values.select("kind", F.col("value").alias("surrogate"))
+    if settled is not None:
+        taken = taken.unionByName(settled.select("kind", "surrogate"))
+    # settled surrogates are no values, so a surrogate is in taken at most once
+    checked = drawn.join(winners, ["kind", "surrogate"]).join(taken.withColumn("taken", F.lit(True)), ["kind", "surrogate"], "left")
+    again = (F.col("winner") != F.col("value")) | F.col("taken").isNotNull()
+    done = write_and_reload(checked.select("kind", "value", "surrogate", again.alias("again")), "surrogates")
+    return done.filter("not again").drop("again"), done.filter("again").drop("again")
+
+
+def _format(kind: Column, value: Column) -> Column:
+    """What a value of its kind shares with the values that may stand for it."""
+    shape = F.translate(value, MEMBERS, CLASSES)
+    digits = F.regexp_replace(value, r"\d", "0")
+    ip = F.concat(F.regexp_extract(value, r"^(10\.|127\.|192\.168\.|)", 1), F.lit("/"), digits)
+    card = F.concat(F.substring(value, 1, 1), digits, F.when(_luhn(F.when(kind == "card", value).otherwise("0")) % 10 == 0, "valid").otherwise(""))
+    ending = F.when(value.rlike(r"^\p{IsCyrillic}{4,}$"), F.substring(value, F.length(value) - 2, F.lit(3))).otherwise("")
+    return (
+        F.when(kind == "ip", ip).when(kind == "card", card).when(kind == "iban", F.concat(F.substring(value, 1, 2), shape))
+        .when(kind == "surname", F.concat(shape, F.lit("/"), ending)).otherwise(shape)
+    )
+
+
+def _cycled(open_: DataFrame, settled: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Open values standing for each other, (settled less values taken back as partners, cycled, still open)."""
+    of = _format(F.col("kind"), F.col("value"))
+    rows = write_and_reload(open_.filter("kind <> 'email'").select("kind", "value", of.alias("format")), "open")
+    counts = rows.groupBy("kind", "format").agg(F.count("*").alias("n"))
+    # one open value alone takes back a settled one of its format
+    single = counts.filter("n = 1").drop("n")
+    partners = settled.select("kind", "value", of.alias("format")).join(single, ["kind", "format"]).groupBy("kind", "format").agg(F.min("value").alias("value"))
+    partners = write_and_reload(partners.select("kind", "value", "format"), "partners")
+    rows = rows.unionByName(partners).join(counts, ["kind", "format"])
+    order = F.sha2(F.concat_ws("|", F.lit(KEY), F.lit("cycle"), "kind", "value").cast("binary"), 256)
+    # a large format has many cycles of about CYCLE values, so that no task orders a whole format
+    ring = F.pmod(F.xxhash64(order), F.greatest(F.lit(1).cast("long"), F.floor(F.col("n") / CYCLE)))
+    rows = rows.withColumn("ring", ring).withColumn("order", order)
+    by = Window.partitionBy("kind", "format", "ring")
+    follows = F.coalesce(F.lead("value").over(by.orderBy("order", "value")), F.first("value").over(by.orderBy("order", "value")))
+    found = write_and_reload(rows.select("kind", "value", follows.alias("surrogate")), "cycles")
+    left = found.filter("value = surrogate").select("kind", "value").unionByName(open_.filter("kind = 'email'").select("kind", "value"))
+    return settled.join(partners.select("kind", "value"), ["kind", "value"], "left_anti"), found.filter("value <> surrogate"), left
 
 
 def values_to_surrogates(values: DataFrame, rounds: int = 64) -> DataFrame:
-    """Stored (kind, value, surrogate) for the different (kind, value): all surrogates of a kind differ, and none is a value."""
-    now = write_and_reload(values.withColumn("attempt", F.lit(0)).withColumn("surrogate", _surrogate(F.col("kind"), F.col("value"), F.col("attempt"))), "surrogates")
-    for _ in range(rounds):
-        winners = now.groupBy("kind", "surrogate").agg(F.min(F.struct("attempt", "value"))["value"].alias("winner"))
-        real = values.select("kind", F.col("value").alias("surrogate"), F.lit(True).alias("real"))
-        checked = now.join(winners, ["kind", "surrogate"]).join(real, ["kind", "surrogate"], "left")
-        again = (F.col("winner") != F.col("value")) | F.col("real").isNotNull()
-        now = write_and_reload(checked.select("kind", "value", F.when(again, F.col("attempt") + 1).otherwise(F.col("attempt")).alias("attempt"), again.alias("again"))
-                               .withColumn("surrogate", _surrogate(F.col("kind"), F.col("value"), F.col("attempt"))), "surrogates")
-        if now.filter("again").isEmpty():
-            return now.select("kind", "value", "surrogate")
-        now = now.drop("again")
-    raise RuntimeError("there are more different values of a format than surrogates for it")
+    """Stored (kind, value, surrogate) for the different (kind, value): all surrogates of a kind differ.
+
+    None is a value as long as its format has free forms; see the module for what follows then.
+    """
+    values = write_and_reload(values.select("kind", "value"), "values")
+    draw = lambda attempt: _surrogate(F.col("kind"), F.col("value"), F.lit(attempt))
+    settled, open_ = _drawn(values, values, None, draw(0))
+    left, stalled = open_.count(), 0
+    for attempt in range(1, rounds):
+        if not left or stalled >= STALL:
+            break
+        more, open_ = _drawn(values, open_, settled, draw(attempt))
+        now = open_.count()
+        stalled = stalled + 1 if now == left else 0
+        if now < left:
+            settled = settled.unionByName(more)
+        left = now
+    if not left:
+        return settled
+    settled, cycled, open_ = _cycled(open_, settled)
+    attempt = rounds
+    while not open_.isEmpty():  # the forms grow with each attempt, so this ends
+        extra = F.translate(F.substring(_hash(F.lit("longer"), F.col("kind"), F.col("value"), F.lit(str(attempt))), 1, 4 + attempt - rounds), "0123456789abcdef", "bcdfghklmnprstvz")
+        extra = F.when(F.col("kind").isin("email", "surname", "iban"), extra).otherwise(F.translate(extra, "bcdfghklmnprstvz", "0123456789012345"))
+        base = draw(attempt)
+        more, open_ = _drawn(values, open_, settled, F.when(F.col("kind") == "email", F.concat(extra, base)).otherwise(F.concat(base, extra)))
+        settled, attempt = settled.unionByName(more), attempt + 1
+    return write_and_reload(settled.unionByName(cycled), "surrogates")
 
 
 def mention_surrogates(mentions: DataFrame) -> DataFrame:

@@ -78,3 +78,27 @@ def test_no_mention_survives_in_the_corpus(spark):
     for r in found:
         assert not every & set(strict.findall(r.fresh))
         assert len(r.fresh) == len(r.text) and (r.fresh == r.text) == (r.n_replaced == 0)
+
+
+def test_formats_without_free_forms_get_an_answer(spark):
+    ips = [("ip", f"192.168.{a}.{b}") for a in range(10) for b in range(10)] + [("ip", f"10.{a}.{b}.{c}") for a in range(10) for b in range(10) for c in range(6)]
+    names = [("surname", c + v) for c in "bcdfghjklmnpqrstvwxyz" for v in "aeiou"] + [("surname", "ավագ"), ("surname", "ьь")]
+    mails = [("email", f"{c}@firm.com") for c in "bcdfghjklmnpqrstvwxyz0123456789"]
+    odd = [("phone", str(i)) for i in range(6)] + [("iban", "xx"), ("surname", "ğł")]
+    values = ips + names + mails + odd
+    found = {(r.kind, r.value): r.surrogate for r in sg.values_to_surrogates(spark.createDataFrame(values, "kind string, value string"), 8).collect()}
+    assert set(found) == set(values) and len({(k, s) for (k, _), s in found.items()}) == len(values)
+    assert all(s != v for (_, v), s in found.items())
+    assert all(re.fullmatch(r"192\.168\.\d\.\d" if v.startswith("192") else r"10\.\d\.\d\.\d", found["ip", v]) for _, v in ips)
+    assert all(re.fullmatch("[bcdfghjklmnpqrstvwxyz][aeiou]", found[n]) for n in names[:-2])
+    assert len({found[m].split("@")[1] for m in mails}) == 1 and re.fullmatch("[ա-ֆ]{4}", found["surname", "ավագ"])
+
+
+def test_letters_outside_the_lists_are_replaced(replace):
+    (text,) = replace("Mr Ավագ met Mrs Şğł and Ms Ωώ")
+    assert re.fullmatch(r"Mr [Ա-Ֆ][ա-ֆ]{3} met Mrs [A-Z][a-z]{2} and Ms [Α-Ω][α-ω]", text) and "Ավագ" not in text
+
+
+def test_longer_forms_are_shown(spark):
+    row = spark.createDataFrame([("B.c@Firm.com", "b.c@firm.com", "bcdfd.h@gorn.com"), ("Smith", "smith", "torgubcdf")], "m string, v string, s string")
+    assert [r[0] for r in row.select(sg._rendered(F.col("m"), F.col("v"), F.col("s"))).collect()] == ["bcdfD.h@Gorn.com", "Torgubcdf"]
