@@ -88,6 +88,8 @@ class Encoder:
         self.chunk_bytes = 0
         self.reused = self.encoded = self.disagreed = 0
         self.ignores_case = self.library.normalizer is not None and self.library.normalizer.normalize_str("AbC") == "abc"
+        #: lower-cased; they are found in the text as it is, so words that might hold one are not changed or cut
+        self.added = [t.content.lower() for t in self.library.get_added_tokens_decoder().values()]
         self.tokens = [self.library.id_to_token(i) for i in range(self.library.get_vocab_size(with_added_tokens=True))]
 
     def _encoded(self, texts: list[str]) -> list[bytes]:
@@ -121,7 +123,8 @@ class Encoder:
         """Ids of the words; only what no known word settles goes to the library.
 
         The tokenizer ignores case, and a word's marks at the end are pre-tokens of their own after a
-        letter or digit. So `Word.` has the ids of `word` and of `.`, exactly.
+        letter or digit. So `Word.` has the ids of `word` and of `.`, exactly. Words that hold an added
+        token in any case are left as they are.
         """
         young, old = self.words, self.older
         look = {w: young[w] for w in wanted & young.keys()}
@@ -134,10 +137,12 @@ class Encoder:
         plain: dict[str, tuple[str, str]] = {}
         for word in rest:
             core = word.rstrip(_MARKS)
-            if not core or not _settled(core[-1]):
+            lower = word.lower()
+            special = any(t in lower for t in self.added)
+            if special or not core or not _settled(core[-1]):
                 core = word
             marks = word[len(core) :]
-            plain[word] = (core.lower() if core.isascii() and self.ignores_case else core), marks
+            plain[word] = (core.lower() if core.isascii() and self.ignores_case and not special else core), marks
         fresh = list({part for pair in plain.values() for part in pair if part and part not in young and part not in old})
         ids = dict(zip(fresh, self._encoded(fresh)))
         ids[""] = b""

@@ -5,7 +5,7 @@ from bazaarflow.llm import bpe_chunks
 from bazaarflow.llm.queries import tokenizer_path
 
 PIECES = ["a", "Hello", " ", "  ", "\n", "é", "é", "́", "<|endoftext|>", "<|startof", "text|>", "'s", "don't", " ", " ", "Σ",
-          "123", "!!", "中文字", "가", ".", "\t", "\x0b", "\x85", "İ", "\x00", "😀", "‍"]
+          "123", "!!", "中文字", "가", ".", "\t", "\x0b", "\x85", "İ", "\x00", "😀", "‍", "<|EndOfText|>", "A<|ENDOFTEXT|>b"]
 
 
 @pytest.fixture(scope="module", params=[8, 64, 1024])
@@ -50,3 +50,10 @@ def test_encoded_rows(spark):
     whole = [(i, library.encode(t or "", add_special_tokens=False).ids) for i, t in rows]
     assert found == {(i, tuple(x), library.decode(x, skip_special_tokens=False)) for i, x in whole}
     assert bpe_chunks.encoded(docs.limit(0), tokenizer_path()).count() == 0
+
+
+def test_added_tokens_in_capitals_are_plain_text(encoder):
+    words = ["<|EndOfText|>", "A<|ENDOFTEXT|>b", "x<|StartOfText|>.", "<|endoftext|>", "A<|endoftext|>B", "Plain", "DON'T."]
+    texts = [" ".join(["start", *words[i:], *words[:i], "end"] * 3) for i in range(len(words))]
+    for text, ids in zip(texts, encoder.encode(texts)):
+        assert ids.tolist() == encoder.library.encode(text, add_special_tokens=False).ids
