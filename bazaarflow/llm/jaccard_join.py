@@ -36,7 +36,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from bazaarflow.llm import components
 from bazaarflow.llm.exact_dedup import joined
@@ -152,6 +152,10 @@ def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
 
 
+def _sha(text: str) -> Column:
+    return F.unhex(F.sha2(F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary"), 256))
+
+
 def _parts(batches: Iterator[pa.RecordBatch], size: int = 500) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for i in range(0, batch.num_rows, size):
@@ -159,8 +163,9 @@ def _parts(batches: Iterator[pa.RecordBatch], size: int = 500) -> Iterator[pa.Re
 
 
 def _described(texts: DataFrame, scheme: Scheme) -> tuple[DataFrame, int]:
-    """Stored id, size, node, sketch of every row (node is null for an empty set), and the seed of the nodes."""
-    kind = texts.schema["id"].dataType.simpleString()
+    """Stored id, sha if texts has it, size, node, sketch of every row (node is null for an empty set), and the seed of the nodes."""
+    names = [c for c in texts.columns if c != "text"]
+    kinds = ", ".join(f"{c} {texts.schema[c].dataType.simpleString()}" for c in names)
 
     def run_with(seed: int):
         def run(batches):
@@ -171,13 +176,13 @@ def _described(texts: DataFrame, scheme: Scheme) -> tuple[DataFrame, int]:
                     full = len(held) > 0
                     wide.append(sketch_of(held, WIDE_BITS) if full else None)
                     rows.append((len(held), node_of(held, seed) if full else None, node_of(held, seed + 1) if full else None, *(int(x) for x in sketch_of(held))))
-                columns = [part["id"], *(pa.array(c, pa.int64()) for c in zip(*rows)), pa.array(wide, pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays(columns, ["id", "size", "node", "other", *SKETCH, "wide"])
+                columns = [*(part[c] for c in names), *(pa.array(c, pa.int64()) for c in zip(*rows)), pa.array(wide, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(columns, [*names, "size", "node", "other", *SKETCH, "wide"])
 
         return run
 
     for seed in range(0, 16, 2):
-        stored = write_and_reload(texts.mapInArrow(run_with(seed), f"id {kind}, size long, node long, other long, " + ", ".join(f"{s} long" for s in SKETCH) + ", wide array<long>"), "sets")
+        stored = write_and_reload(texts.mapInArrow(run_with(seed), f"{kinds}, size long, node long, other long, " + ", ".join(f"{s} long" for s in SKETCH) + ", wide array<long>"), "sets")
         clash = stored.filter("node is not null").groupBy("node").agg(F.min("other").alias("a"), F.max("other").alias("b")).filter("a <> b")
         if clash.isEmpty():
             return stored, seed
@@ -265,10 +270,10 @@ def _buckets(texts: DataFrame, scheme: Scheme, seed: int) -> DataFrame:
 class _Join:
     """The parts of one run: nodes (node, first_id, copies, size, sketch), zipped texts of candidates, buckets."""
 
-    def __init__(self, docs: DataFrame, scheme: Scheme, id_col: str, text_col: str) -> None:
+    def __init__(self, docs: DataFrame, scheme: Scheme, id_col: str, text_col: str, hashed: bool = False) -> None:
         self.scheme = scheme
         self.texts = _texts(docs, id_col, text_col)
-        self.sets, self.seed = _described(self.texts, scheme)
+        self.sets, self.seed = _described(self.texts.withColumn("sha", _sha("text")) if hashed else self.texts, scheme)
         self.nodes = self.sets.filter("node is not null").groupBy("node").agg(
             F.min("id").alias("first_id"), F.count("*").alias("copies"), F.max("size").alias("size"), *[F.max(s).alias(s) for s in SKETCH]
         )
@@ -477,7 +482,30 @@ def linked(docs: DataFrame, scheme: Scheme = Scheme(), id_col: str = "doc_id", t
 
 
 def representatives(docs: DataFrame, scheme: Scheme = Scheme(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs, all columns, whose id is the smallest of their component; a null id stays where all are null."""
-    found = linked(docs, scheme, id_col, text_col)
-    gone = found.filter(~F.col("id").eqNullSafe(F.col("component_id"))).select("id").distinct()
-    return docs.join(gone, F.col(id_col).eqNullSafe(F.col("id")), "left_anti")
+    """The rows of docs that stay, with their columns: of each component one row, all rows of empty sets.
+
+    It is the row with the smallest id; null ids come last, equal ids go by the hash of the text. Rows are told apart
+    by id and text, so ids may be null or repeat.
+    """
+    run = _Join(docs, scheme, id_col, text_col, hashed=True)
+    key = F.struct(F.col("id").isNull().alias("none"), F.col("id"), F.col("sha"))
+    digest = F.unhex(F.lpad(F.hex("node"), 16, "0"))
+    rows = run.sets.filter("node is not null").select("node", key.alias("id"))
+    firsts = rows.groupBy("node", "id").agg(F.count("*").alias("same")).groupBy("node").agg(
+        F.min(F.struct("id", "same")).alias("first"), F.sum("same").alias("copies")
+    )
+    placed = write_and_reload(firsts.join(run.labels(), "node", "left").withColumn("label", F.coalesce("label", "node")), "firsts")
+    smallest = placed.groupBy("label").agg(F.min("first").alias("first"), F.sum("copies").alias("all"))
+    several = placed.select("node", "label", "copies").join(smallest.filter("all > 1"), "label")
+    several = write_and_reload(several.select(digest.alias("digest"), F.col("first.id").alias("keep_id"), F.col("copies").alias("group_size")), "components")
+    found = joined(rows.select("id", digest.alias("digest")), several, run.sets.count())
+    gone = found.filter(~F.col("id").eqNullSafe(F.col("keep_id"))).select(F.col("id.id").alias("gone_id"), F.col("id.sha").alias("gone_sha")).distinct()
+    keyed = docs.withColumn("near_sha", _sha(text_col))
+    same_row = F.col(id_col).eqNullSafe(F.col("gone_id")) & (F.col("near_sha") == F.col("gone_sha"))
+    left = keyed.join(gone, same_row, "left_anti")
+    # rows that stay and repeat both id and text stay once
+    repeats = smallest.filter("first.same > 1").select(F.col("first.id.id").alias("gone_id"), F.col("first.id.sha").alias("gone_sha"))
+    if not repeats.isEmpty():
+        once = left.join(repeats, same_row, "left_semi").dropDuplicates([id_col, "near_sha"])
+        left = left.join(repeats, same_row, "left_anti").unionByName(once)
+    return left.select(*docs.columns)

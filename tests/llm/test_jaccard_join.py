@@ -128,3 +128,21 @@ def test_component_labels(spark):
             parent[y] = x
     found = {r.node: r.label for r in components.labels(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert found == {x: root(x) for x in list(parent)}
+
+
+def test_one_row_of_a_component_stays_where_ids_are_null_or_repeat(spark):
+    base, other = [f"w{i}" for i in range(60)], [f"v{i}" for i in range(60)]
+    a, near, same, b, c = " ".join(base), " ".join([*base, "x"]), " ".join([*base, "y"]), " ".join(other), " ".join([*other[:30], *base[:30]])
+    solo = [f"z{i}" for i in range(60)]
+    rows = [(1, a), (7, near), (7, b), (None, same), (None, c), (5, " ".join(solo)), (5, " ".join([*solo, "x"])), (9, None), (9, None), (None, "")]
+    lone = [f"n{i}" for i in range(60)]
+    rows += [(None, " ".join(lone)), (None, " ".join([*lone, "x"])), (8, "twice the same row here"), (8, "twice the same row here")]
+    docs = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "doc_id long, text string, more int")
+    kept = jj.representatives(docs).collect()
+    found = Counter((r.doc_id, r.text) for r in kept)
+    assert found[1, a] == found[7, b] == found[None, c] == found[8, "twice the same row here"] == found[None, ""] == 1 and found[9, None] == 2
+    assert not found[7, near] and not found[None, same]
+    assert sum(n for (i, _), n in found.items() if i == 5) == 1
+    assert sum(n for (i, t), n in found.items() if t and t.startswith("n0")) == 1 and sum(found.values()) == 9
+    assert all(rows[r.more] == (r.doc_id, r.text) for r in kept)
+    assert jj.representatives(docs.limit(0)).count() == 0
