@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from bazaarflow.llm import bpe_chunks, exact_dedup, jaccard_join, language_id, lz_fingerprint, mixing, secret_scan, suffix_dedup, surrogates, warc
+from bazaarflow.llm import bpe_chunks, exact_dedup, jaccard_join, language_id, lz_fingerprint, merkle, mixing, secret_scan, suffix_dedup, surrogates, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -133,3 +133,48 @@ def op4_ngram_jaccard_join(spark, folder):
     scheme = jaccard_join.Scheme(width=3, share=90)
     found = jaccard_join.linked(table(spark, folder, "documents").select("doc_id", "text"), scheme)
     return found.select(F.col("id").alias("doc_id"), F.col("size").alias("n_shingles"), "component_id")
+
+
+def _merkle_sql(levels: int = 10, top: int = 4) -> str:
+    """Levels are spelled out: ten hold 8^10 rows of a language, four hold 8^4 languages."""
+    up = "select tree, pos // 8 as pos, (any_value(n) + 7) // 8 as n, sha256(string_agg(node, '' order by pos)) as node from {0} where n > 1 group by tree, pos // 8"
+    step = """select a.tree, a.pos, coalesce(string_agg(b.node, '' order by b.pos) filter (b.pos < a.pos), '') as l,
+        coalesce(string_agg(b.node, '' order by b.pos) filter (b.pos > a.pos), '') as r
+        from {0} a join {0} b on a.tree = b.tree and a.pos // 8 = b.pos // 8 where a.n > 1 group by a.tree, a.pos"""
+    part = "coalesce(strlen({0}::varchar) || ':' || {0}::varchar, '-')"
+    leaf = lambda text: "sha256(" + " || ".join(part.format(c) for c in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+    crc = """xor(list_reduce(list_prepend(4294967295::bigint, list_transform(string_split(doc_id::varchar, ''), lambda c: ascii(c)::bigint)),
+        lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0]::bigint[],
+            lambda v, z: xor(v >> 1, case when v & 1 = 1 then 3988292384::bigint else 0::bigint end))), 4294967295::bigint)"""
+    fold = "case when {0}.l is null then f else sha256({0}.l || f || {0}.r) end"
+    lower = f"translate(text, '{merkle.UPPER}', '{merkle.LOWER}')"
+    parts = [f"""hashed as (select doc_id, coalesce('=' || lang, '') as tree, {leaf("text")} as node,
+        case when {crc} % 3 = 0 then {leaf(lower)} end as changed from documents),
+    l0 as (select *, row_number() over (partition by tree order by doc_id nulls first, node) - 1 as pos, count(*) over (partition by tree) as n from hashed)"""]
+    parts += [f"l{k + 1} as ({up.format(f'l{k}')})" for k in range(levels)]
+    parts.append("roots as (" + " union all ".join(f"select tree as name, node from l{k} where n = 1" for k in range(levels + 1)) + ")")
+    parts.append("t0 as (select '' as tree, name, node, row_number() over (order by name) - 1 as pos, count(*) over () as n from roots)")
+    parts += [f"t{k + 1} as ({up.format(f't{k}')})" for k in range(top)]
+    parts.append("root as (" + " union all ".join(f"select node as root from t{k} where n = 1" for k in range(top + 1)) + ")")
+    parts += [f"{c}p{k} as ({step.format(f'{c}{k}')})" for c, many in (("l", levels), ("t", top)) for k in range(many)]
+    parts.append("f0 as (select x.doc_id, x.tree, x.node as leaf, x.pos, t.pos as place, t.node as subroot, coalesce(x.changed, x.node) as f, '' as p"
+                 " from l0 x join t0 t on x.tree = t.name)")
+    steps = [(f"lp{k}", f"s.tree = q.tree and s.pos // {8**k} = q.pos") for k in range(levels)] + [(f"tp{k}", f"s.place // {8**k} = q.pos") for k in range(top)]
+    for i, (name, on) in enumerate(steps):
+        parts.append(f"f{i + 1} as (select s.* replace ({fold.format('q')} as f, p || coalesce(q.l || q.r, '') as p) from f{i} s left join {name} q on {on})")
+    return "with " + ",\n    ".join(parts) + f"""
+    select doc_id, leaf, subroot, root, sha256(p) as proof_sha256, f as folded_root, f = root as verified from f{len(steps)}, root"""
+
+
+@query("op13_merkle_manifest", _merkle_sql())
+def op13_merkle_manifest(spark, folder):
+    docs = table(spark, folder, "documents").select("doc_id", "source", "lang", "n_chars", "text")
+    found = merkle.manifest(
+        docs, "doc_id", "lang", ["doc_id", "source", "lang", "n_chars", "text"],
+        replaced={"text": F.translate("text", merkle.UPPER, merkle.LOWER)}, where=F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0,
+    )
+    text = merkle.written
+    return found.select(
+        F.col("id").alias("doc_id"), text("leaf").alias("leaf"), text("subroot").alias("subroot"), text("root").alias("root"),
+        text("proof").alias("proof_sha256"), text("folded").alias("folded_root"), "verified",
+    )
