@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from bazaarflow.llm import bpe_chunks, exact_dedup, jaccard_join, language_id, lz_fingerprint, merkle, mixing, secret_scan, suffix_dedup, surrogates, warc
+from bazaarflow.llm import bond, bpe_chunks, exact_dedup, jaccard_join, language_id, lz_fingerprint, merkle, mixing, secret_scan, suffix_dedup, surrogates, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -178,3 +178,29 @@ def op13_merkle_manifest(spark, folder):
         F.col("id").alias("doc_id"), text("leaf").alias("leaf"), text("subroot").alias("subroot"), text("root").alias("root"),
         text("proof").alias("proof_sha256"), text("folded").alias("folded_root"), "verified",
     )
+
+
+@query("op12_bond_negatives", """
+    with whole as (
+        select row_number() over () as row, vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+               list_transform(embedding, lambda x: floor(256 * x::double)) as v
+        from embeddings
+        where label is not null and embedding is not null
+          and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0),
+    scored as (
+        select a.row as anchor_row, a.vec_id as anchor_id, b.row, b.vec_id, a.label = b.label as same, list_inner_product(a.v, b.v)::bigint as score
+        from whole a join whole b on a.row <> b.row where a.vec_id % 100 = 0),
+    positive as (
+        select * from scored where same
+        qualify row_number() over (partition by anchor_row order by score desc, vec_id, row) <= 5)
+    select p.anchor_id, p.vec_id as positive_id,
+           row_number() over (partition by p.anchor_row, p.row order by n.score desc, n.vec_id, n.row)::int as rank,
+           n.vec_id as negative_id, p.score as positive_score, n.score as negative_score
+    from positive p join scored n on p.anchor_row = n.anchor_row and not n.same
+         and 80 * p.score <= 100 * n.score and 100 * n.score <= 100 * p.score
+    qualify row_number() over (partition by p.anchor_row, p.row order by n.score desc, n.vec_id, n.row) <= 5
+""")
+def op12_bond_negatives(spark, folder):
+    rows = table(spark, folder, "embeddings").select("vec_id", "label", "embedding")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return bond.mined(rows, "vec_id", label, bond.scaled(F.col("embedding")), F.col("vec_id") % 100 == 0)
