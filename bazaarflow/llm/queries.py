@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from bazaarflow.llm import bond, bpe_chunks, exact_dedup, jaccard_join, language_id, lz_fingerprint, merkle, mixing, secret_scan, suffix_dedup, surrogates, warc
+from bazaarflow.llm import bond, bpe_chunks, exact_dedup, jaccard_join, kneser_ney, language_id, lz_fingerprint, merkle, mixing, secret_scan, suffix_dedup, surrogates, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -204,3 +204,9 @@ def op12_bond_negatives(spark, folder):
     rows = table(spark, folder, "embeddings").select("vec_id", "label", "embedding")
     label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     return bond.mined(rows, "vec_id", label, bond.scaled(F.col("embedding")), F.col("vec_id") % 100 == 0)
+
+
+@query("op11_kneser_ney")
+def op11_kneser_ney(spark, folder):
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return kneser_ney.scored(docs, kneser_ney.fit(docs)).withColumnRenamed("id", "doc_id")
