@@ -49,8 +49,8 @@ from bazaarflow.llm.hashing import mix
 from bazaarflow.session import shared_folder, write_and_reload
 
 ORDER = 2
-CHUNK = 1 << 21
-SHARD = 1 << 22
+CHUNK = 1 << 20
+SHARD = 1 << 21
 PIECE = 1 << 20
 KNOWN_WORDS = 400_000  # words whose numbers a worker remembers
 END = b""
@@ -91,6 +91,15 @@ def shard_of(hashes: np.ndarray, shards: int) -> np.ndarray:
     return ((hashes >> np.uint64(40)) * np.uint64(shards) >> np.uint64(24)).astype(np.int64)
 
 
+def counted(columns: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
+    """Different rows of the columns in ascending order, and how often each occurs."""
+    if len(columns) == 2 and all(c.dtype == np.uint32 for c in columns):
+        both, counts = np.unique(columns[0].astype(np.uint64) << np.uint64(32) | columns[1], return_counts=True)
+        return [(both >> np.uint64(32)).astype(np.uint32), both.astype(np.uint32)], counts
+    columns, (counts,) = summed(columns, np.ones(len(columns[0]), dtype=np.int64))
+    return columns, counts
+
+
 def summed(columns: list[np.ndarray], *counts: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
     """Different rows of the columns in ascending order, and the sums of their counts."""
     if not len(columns[0]):
@@ -189,8 +198,22 @@ class Sorted:
         return places, found
 
     def numbers(self, hashes: np.ndarray) -> list[np.ndarray]:
-        keys, inverse = np.unique(hashes, return_inverse=True)
-        return [x[inverse] for x in self.places(keys)[1]]
+        order = np.argsort(hashes)
+        found = []
+        for mine in self.places(hashes[order])[1]:
+            found.append(np.empty_like(mine))
+            found[-1][order] = mine
+        return found
+
+    def at(self, places: np.ndarray) -> np.ndarray:
+        """First number of what stands at sorted places."""
+        found = np.zeros(len(places), dtype=self.kinds[1])
+        cuts = np.searchsorted(places, self.starts)
+        for i in range(len(self.files)):
+            mine = places[cuts[i] : cuts[i + 1]]
+            if len(mine):
+                found[cuts[i] : cuts[i + 1]] = self._file(i)[1][mine - self.starts[i]]
+        return found
 
 
 class Numbering:
@@ -224,24 +247,33 @@ class Model:
     contexts: list[Sorted]
     discounts: list[tuple[float, float, float]]
 
-    def log10(self, numbers: np.ndarray, place: np.ndarray) -> np.ndarray:
-        """Logarithm of the probability of each number but the begin marks (place 0), which get 0."""
+    def log10(self, numbers: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Count of each word, and logarithm of the probability of each but the begin marks (place 0), which get 0."""
+        # what depends on one word is looked up once for each different word
+        different, word = np.unique(numbers, return_inverse=True)
+        count = np.where(different < self.types, self.vocabulary.at(different), 0)[word]
         found = np.full(len(numbers), 1.0 / (self.types + 1))
         for k in range(1, self.order + 1):
             at = np.flatnonzero(place >= max(1, k - 1))
             if not len(at):
                 continue
             columns = [numbers[at - i] for i in range(k - 1, -1, -1)]
-            count = self.grams[k - 1].numbers(gram_hash(columns))[0].astype(np.float64)
-            above = gram_hash(columns[:-1]) if k > 1 else np.repeat(gram_hash([]), len(at))
-            total, once, twice, more = (x.astype(np.float64) for x in self.contexts[k - 1].numbers(above))
+            if k == 1:
+                grams = self.grams[0].numbers(gram_hash([different]))[0][word[at]]
+                above = [np.repeat(x, len(at)) for x in self.contexts[0].numbers(gram_hash([]))]
+            else:
+                grams = self.grams[k - 1].numbers(gram_hash(columns))[0]
+                one = k == 2
+                above = self.contexts[k - 1].numbers(gram_hash([different] if one else columns[:-1]))
+                above = [x[word[at - 1]] for x in above] if one else above
+            total, once, twice, more = (x.astype(np.float64) for x in above)
             cut = np.array([0.0, *self.discounts[k - 1]])
             seen = total > 0
             rest = (cut[1] * once + cut[2] * twice + cut[3] * more)[seen] / total[seen]
-            direct = np.maximum(count - cut[np.minimum(count, 3).astype(np.int64)], 0.0)[seen] / total[seen]
+            direct = np.maximum(grams.astype(np.float64) - cut[np.minimum(grams, 3)], 0.0)[seen] / total[seen]
             found[at[seen]] = direct + rest * found[at[seen]]
         found[place == 0] = 1.0
-        return np.log10(found)
+        return count, np.log10(found)
 
 
 def _narrow(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -310,8 +342,8 @@ class _Dealer:
             if len(rows):
                 yield {"order": order, "kind": name, "shard": s, "size": len(rows), "payload": _packed([c[rows] for c in (*columns, *counts)])}
 
-    def grams(self, order: int, columns: list[np.ndarray], counts: np.ndarray) -> Iterator[dict]:
-        columns, (counts,) = summed([c.astype(self.kind) for c in columns], counts)
+    def grams(self, order: int, columns: list[np.ndarray]) -> Iterator[dict]:
+        columns, counts = counted([c.astype(self.kind) for c in columns])
         yield from self.blobs(order, "gram", columns, [counts], gram_hash(columns))
 
 
@@ -351,7 +383,7 @@ def _gram_blobs(train: DataFrame, vocabulary: Sorted, types: int, order: int, sh
             for k in range(1 if order == 1 else 2, order + 1):
                 # below the highest order only n-grams that start with the begin mark
                 at = np.flatnonzero(place >= max(1, k - 1) if k == order else place == k - 1)
-                for row in dealer.grams(k, [numbers[at - i] for i in range(k - 1, -1, -1)], np.ones(len(at), dtype=np.int64)):
+                for row in dealer.grams(k, [numbers[at - i] for i in range(k - 1, -1, -1)]):
                     yield _batch(row)
 
     return train.select("data").mapInArrow(run, _BLOBS)
@@ -405,7 +437,7 @@ def _merged_grams(blobs: DataFrame, order: int, shards: int, kind, folder: str)
             for row in dealer.blobs(order, "context", [above], sums, above):
                 yield _batch(row)
             if order > 1:
-                for row in dealer.grams(order - 1, columns[1:], np.ones(len(counts), dtype=np.int64)):
+                for row in dealer.grams(order - 1, columns[1:]):
                     yield _batch(row)
 
     return _dealt(blobs, order, "gram", shards).mapInArrow(run, _BLOBS)
@@ -468,14 +500,13 @@ def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
                 ident = batch.schema.field("id").type
                 yield batch
 
-        for rows, numbers, place in _runs(watched(), numbering, model.types, CHUNK // 4):
+        for rows, numbers, place in _runs(watched(), numbering, model.types, CHUNK // 2):
             starts = np.flatnonzero(place == 0)
             known = (numbers < model.types) & (place > 0)
-            count = np.zeros(len(numbers), dtype=np.int64)
-            count[known] = _counts(model.vocabulary, numbers[known])
+            count, logarithm = model.log10(numbers, place)
             base = np.where(place > 0, np.log10((count + 1) / (model.tokens + model.types + 1)), 0.0)
             lengths = np.diff(np.append(starts, len(numbers))) - 1
-            score = np.add.reduceat(model.log10(numbers, place), starts)
+            score = np.add.reduceat(logarithm, starts)
             yield pa.RecordBatch.from_arrays([
                 pa.array([r[0] for r in rows], ident), pa.array([r[1] for r in rows], pa.bool_()), pa.array(lengths), pa.array(np.add.reduceat(known.astype(np.int64), starts)),
                 pa.array(np.full(len(rows), model.tokens)), pa.array(np.add.reduceat(base, starts)), pa.array(score), pa.array(10.0 ** (-score / lengths)),
@@ -484,14 +515,3 @@ def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     return narrow.select("id", "held_out", "data").mapInArrow(
         run, f"id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double")
 
-
-def _counts(vocabulary: Sorted, numbers: np.ndarray) -> np.ndarray:
-    """Counts of words by number, which is their place."""
-    keys, inverse = np.unique(numbers, return_inverse=True)
-    found = np.zeros(len(keys), dtype=np.int64)
-    cuts = np.searchsorted(keys, vocabulary.starts)
-    for i in range(len(vocabulary.files)):
-        mine = keys[cuts[i] : cuts[i + 1]]
-        if len(mine):
-            found[cuts[i] : cuts[i + 1]] = vocabulary._file(i)[1][mine - vocabulary.starts[i]]
-    return found[inverse]
