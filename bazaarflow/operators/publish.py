@@ -1,16 +1,15 @@
-"""Published tables: partitioned JSON, manifest totals, ledgers of files."""
+"""Published tables: partitioned JSON, manifest totals, data version."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from bazaarflow.functions.numbers import rounded
 from bazaarflow.functions.text import slug
 from bazaarflow.operators.series import PRICE
-from bazaarflow.schemas import RAW_DOCUMENT
 from bazaarflow.settings import QualitySettings
-from bazaarflow.sources.raw_json import row_count
 
+# Names of the published columns.
 GROUP = ("state", "commodity")
 OBSERVATION = (
     "date", "min_price", PRICE, "max_price", "arrivals_tonnes", "arrival_coverage",
@@ -144,28 +143,6 @@ def manifest_document(totals: DataFrame, partitions: DataFrame) -> DataFrame:
     )
 
 
-# --- ledgers of files ------------------------------------------------------
-
-def file_ledger(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
-    """Size and SHA-256 of every file below a path, hashed where the file is read.
-
-    Made for source documents and published JSON: Spark reads such a file as one value, up to 2 GB.
-    """
-    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option(
-        "recursiveFileLookup", True
-    ).load(path)
-    return files.select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
-
-
-def source_manifest(spark: SparkSession, path: str) -> DataFrame:
-    """Record count, size and hash per retrieved document."""
-    ledger = file_ledger(spark, path, "*.json")
-    documents = spark.read.schema(RAW_DOCUMENT).option("multiLine", True).option(
-        "recursiveFileLookup", True
-    ).json(path).select(F.col("_metadata.file_path").alias("path"), row_count(F.col("markets")).alias("record_count"))
-    return ledger.join(documents, "path", "left")
-
-
 def data_version(table: DataFrame) -> str:
     """Twelve hex digits that change with the content of a table, not with its files or row order.
 

@@ -11,7 +11,8 @@ from bazaarflow.operators import coverage as C
 from bazaarflow.operators import validate as V
 from bazaarflow.operators.market_day import market_days
 from bazaarflow.operators.series import LOOKBACK_REPORTS, by_report, with_anomaly
-from bazaarflow.operators.upsert import HISTORY_KEY, keep_last, newest_days, one_per_key
+from bazaarflow.operators.upsert import HISTORY_KEY, LEDGER_KEY, changed_keys, content_hashes, keep_last, newest_days, one_per_key
+from bazaarflow.session import write_and_reload
 from bazaarflow.settings import QualitySettings
 from bazaarflow.sources import raw_json, reference_dims
 
@@ -78,8 +79,12 @@ def merged_history(published: DataFrame, refreshed: DataFrame, quality: QualityS
 
 
 def refreshed(history: DataFrame, quality: QualitySettings) -> Refreshed:
-    """Coverage, selection and the published subset of a scored history."""
-    coverage = C.with_selected(C.series_coverage(history, quality), quality.series_per_group)
+    """Coverage, selection and the published subset of a scored history.
+
+    History and coverage are stored once; the four tables written from them don't compute them again.
+    """
+    history = write_and_reload(history, "refreshed")
+    coverage = write_and_reload(C.with_selected(C.series_coverage(history, quality), quality.series_per_group), "coverage")
     selected = coverage.filter("selected")
     return Refreshed(history, coverage, C.restricted_to(history, selected), selected)
 
@@ -94,3 +99,60 @@ def write_refreshed(result: Refreshed, folder: str) -> None:
         ("market_coverage", result.published_coverage, ordered[:3]),
     ):
         frame.sortWithinPartitions(*keys).write.mode("overwrite").option("compression", "zstd").parquet(f"{folder}/{name}")
+
+
+# --- the refresh as one job ------------------------------------------------
+
+# what a report's content is, for change detection
+CONTENT = ("market_id", "market", "district", "commodity", "variety", "date", "min_price", "max_price", "modal_price", "arrivals_tonnes")
+
+
+@dataclass(frozen=True)
+class Changes:
+    """What a refresh found in the sources that changed: their keys, every report with its reason, and the ledger."""
+
+    sources: DataFrame
+    marked: DataFrame
+    ledger: DataFrame
+
+    def rejected(self) -> DataFrame:
+        return V.split(self.marked)[1]
+
+
+def changes(sources: DataFrame, ledger: DataFrame, position: Sequence[str], quality: QualitySettings,
+            hashes: DataFrame | None = None) -> Changes:
+    """Validate the sources whose content hash isn't the one in the published ledger, and merge the ledgers.
+
+    sources: reports of all source files, stored in a folder for each `source_month`. hashes: (state_id, state, commodity,
+    source_month, source_sha256), from the files' ledger for example; computed from the reports if it isn't given. Only
+    folders of months with a change are read then, and in them only the changed sources' rows go on. The months, one value
+    for each folder, are the only thing the driver gets.
+    """
+    keys = list(LEDGER_KEY)
+    found = content_hashes(sources, ["state", *keys], CONTENT) if hashes is None else hashes
+    changed = write_and_reload(changed_keys(ledger, found), "changed")
+    months = sorted(r["source_month"] for r in changed.select("source_month").distinct().collect())
+    fresh = sources.filter(F.col("source_month").isin(months)).join(changed.select(*keys), keys, "left_semi")
+    checked = V.validated(fresh, quality.start_date, quality.end_date, quality.maximum_price)
+    marked = write_and_reload(V.with_duplicates_marked(checked, position), "marked")
+    counted = V.quality_ledger(marked, changed, keys)
+    return Changes(changed, marked, keep_last(ledger, counted, LEDGER_KEY))
+
+
+def refresh_all(spark: SparkSession, folder: str, sources: DataFrame, position: Sequence[str], quality: QualitySettings, target: str) -> Refreshed:
+    """The weekly job: changed sources into the published tables below folder, as a new publication below target.
+
+    Reads the published ledger and history, writes ledger, rejected reports, history, coverage and their published parts.
+    Stops, with the published folder untouched, if no series meets the coverage rules.
+    """
+    found = changes(sources, spark.read.parquet(f"{folder}/source_quality_ledger"), position, quality)
+    accepted, rejected = V.split(found.marked)
+    days = market_days(accepted, deduplicated=True)
+    result = refreshed(merged_history(spark.read.parquet(f"{folder}/all_market_history"), days, quality), quality)
+    if result.published_coverage.isEmpty():
+        raise RuntimeError("no market series meets the coverage rules")
+    write_refreshed(result, target)
+    ordered = found.ledger.repartitionByRange("state", "commodity", "source_month").sortWithinPartitions("state", "commodity", "source_month")
+    ordered.write.mode("overwrite").option("compression", "zstd").parquet(f"{target}/source_quality_ledger")
+    rejected.write.mode("overwrite").option("compression", "zstd").parquet(f"{target}/rejected_records")
+    return result

@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 from bazaarflow.functions.numbers import rounded
 from bazaarflow.operators import coverage as C
 from bazaarflow.operators import explore as X
+from bazaarflow.operators import files as H
 from bazaarflow.operators import forecast as P
 from bazaarflow.operators import publish as B
 from bazaarflow.operators import series as S
+from bazaarflow.operators import store as K
 from bazaarflow.operators.features import forecast_rows, with_tier
 from bazaarflow.plans.outlook import baseline_forecasts
 from bazaarflow.queries.base import (
@@ -194,12 +196,45 @@ def pub_stale_partitions(spark, sf):
     return B.stale_partitions(days, expected)
 
 
-@register("pub_file_ledger", oracle("select doc_id, strlen(text) as bytes, sha256(text) as sha256 from documents"))
+_LINES, _RANGE = 100, 65_536
+_FILE_SQL = f"""
+  with files as (select doc_id // {_LINES} as batch, encode(string_agg(coalesce(text, '') || chr(10), '' order by doc_id)) as content from documents group by 1),
+  ranges as (select batch, octet_length(content) as bytes, i,
+      sha256(unhex(substr(hex(content), 2 * {_RANGE} * i + 1, 2 * {_RANGE}))) as digest
+    from files, lateral (select unnest(range(0, greatest(1, cast(ceil(octet_length(content) / {_RANGE}) as bigint)))) as i))"""
+
+
+@register("pub_file_ledger", oracle(f"""{_FILE_SQL}
+  select batch, any_value(bytes) as bytes, count(*) as ranges,
+    case when count(*) = 1 then any_value(digest) else sha256(string_agg(digest, '' order by i)) end as sha256
+  from ranges group by batch"""))
 def pub_file_ledger(spark, sf):
-    """Size and hash of every document body."""
-    return T.table(spark, sf, "documents").select(
-        "doc_id", F.octet_length("text").cast("long").alias("bytes"), F.sha2("text", 256).alias("sha256")
-    )
+    """Documents written as text files of a hundred each, sorted by id; size and hash of every file, read in ranges."""
+    from bazaarflow.session import shared_folder
+
+    folder = shared_folder(spark, "document-files")
+    docs = T.table(spark, sf, "documents").select(F.floor(F.col("doc_id") / _LINES).alias("batch"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    # rows of a batch meet in one task, in order, and make one file
+    dealt = docs.repartition("batch").sortWithinPartitions("batch", "doc_id")
+    dealt.select("batch", "text").write.partitionBy("batch").text(folder)
+    ledger = H.file_ledger(spark, folder, "*.txt", _RANGE)
+    batch = F.regexp_extract("path", r"/batch=([0-9]+)/", 1).cast("long")
+    return ledger.select(batch.alias("batch"), "bytes", "ranges", "sha256")
+
+
+@register("pub_folder_ledger", oracle(f"""{_FILE_SQL},
+  files_ as (select batch, any_value(bytes) as bytes, case when count(*) = 1 then any_value(digest) else sha256(string_agg(digest, '' order by i)) end as sha256
+    from ranges group by batch),
+  named as (select lpad((batch // 10)::varchar, 6, '0') as folder, lpad(batch::varchar, 8, '0') as name, bytes, sha256 from files_),
+  bins as (select folder, sha256(name)[1:2] as bin, sum(bytes) as bytes, count(*) as files, sha256(string_agg(name || ':' || sha256, chr(10) order by name)) as digest
+    from named group by 1, 2)
+  select folder, cast(sum(bytes) as bigint) as bytes, cast(sum(files) as bigint) as files, sha256(string_agg(digest, '' order by bin)) as sha256 from bins group by 1"""))
+def pub_folder_ledger(spark, sf):
+    """Bytes and hash of folders, here of ten files each, from the ledger of their files."""
+    ledger = write_and_reload(pub_file_ledger(spark, sf), "ledger")
+    padded = lambda c, n: F.lpad(c.cast("string"), n, "0")
+    named = ledger.select(padded(F.floor(F.col("batch") / 10), 6).alias("folder"), padded(F.col("batch"), 8).alias("name"), "bytes", "sha256")
+    return H.folder_ledger(named)
 
 
 _CROPS = ("ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD")
@@ -373,6 +408,48 @@ def market_detail(spark, sf):
     return X.market_detail(days, "ASIA", "PROMO", first)
 
 
+def _typed(columns, table, digits=4):
+    """Published columns of a table; doubles on the published digits."""
+    return ", ".join(f"{rnd(c[1:], digits)} as {c[1:]}" if c.startswith("~") else c for c in columns.split()) + f" from {table}"
+
+
+_MARKET_SQL = _typed("state commodity market_id state_id market district first_date last_date record_count ~weekly_coverage latest_age_days maximum_gap_days ~price_cv coverage_tier", "selected")
+_OBSERVATION_SQL = _typed("""state commodity market_id date ~min_price ~representative_price ~max_price ~arrivals_tonnes arrival_coverage variety_count example_variety
+    example_variety_basis aggregation_method is_anomaly ~anomaly_score""", "published")
+_SEASONAL_SQL = f"state, commodity, market_id, month(date) as month, {rnd('median(representative_price)', 2)} as median_price, count(*) as observations from published group by all"
+_PARTS_SQL = [("market", _MARKET_SQL), ("observations", _OBSERVATION_SQL), ("forecasts", "* from forecasts"), ("seasonal", _SEASONAL_SQL)]
+_STORE_SQL = "\nunion all by name\n".join(f"(select '{name}' as part, {sql})" for name, sql in _PARTS_SQL)
+
+
+def _store(spark, sf, form="parquet"):
+    """The published tables, written to a clustered store."""
+    from bazaarflow.session import shared_folder
+
+    stored = stored_publication(spark, sf)
+    tables = K.sections(*stored, write_and_reload(forecasts(spark, sf, stored), "forecasts"))
+    folder = shared_folder(spark, "store")
+    K.write_store(tables, folder, form)
+    return folder, tables, stored[1]
+
+
+@register("store_tables", oracle(f"select * from ({_STORE_SQL})", "published", "selected", "forecasts"))
+def store_tables(spark, sf):
+    """All fields of all published records, written as typed JSON lines by state and commodity and read back."""
+    folder, tables, _ = _store(spark, sf, "json")
+    back = lambda name: K.read_table(spark, folder, name, "json", tables[name].schema).drop(*K.FOLDERS)
+    return K.MarketDetail(*(back(name) for name in ("markets", "observations", "forecasts", "seasonal"))).rows()
+
+
+@register("market_detail_parts", oracle(f"""
+  select * from ({_STORE_SQL}) where state = 'ASIA' and commodity = 'PROMO'
+    and market_id = (select min(market_id) from selected where state = 'ASIA' and commodity = 'PROMO')""", "published", "selected", "forecasts"))
+def market_detail_parts(spark, sf):
+    """Everything about one series from the clustered store, which opens the folder of its state and commodity only."""
+    folder, _, covered = _store(spark, sf)
+    first = covered.filter("state = 'ASIA' and commodity = 'PROMO'").agg(F.min("market_id")).first()[0]
+    return K.market_detail(spark, folder, "ASIA", "PROMO", first).rows()
+
+
 @register("chart_points", oracle(f"""
   select commodity, market_id, date, min_price as minimum, representative_price as representative, max_price as maximum,
     arrivals_tonnes as arrivals, is_anomaly as anomaly

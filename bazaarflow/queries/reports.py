@@ -6,9 +6,11 @@ from pyspark.sql import functions as F
 
 from bazaarflow.operators import validate as V
 from bazaarflow.operators.market_day import market_days
+from bazaarflow.plans import refresh
 from bazaarflow.queries.base import (
-    checked, history, market_day_sql, marked, oracle, register,
+    PARTS, QUALITY, checked, history, market_day_sql, marked, oracle, register,
 )
+from bazaarflow.session import shared_folder, write_and_reload
 from bazaarflow.sources import tables as T
 
 LINE = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "copy"]
@@ -126,3 +128,63 @@ def quality_reasons(spark, sf):
     sum(input_records) = sum(accepted_records) + sum(excluded_records) as reconciles from ledger""", "placed", "marked"))
 def quality_cumulative(spark, sf):
     return V.cumulative_quality(_ledger(spark, sf))
+
+
+# --- merge of ledgers ------------------------------------------------------
+
+# The earlier sources lack one crop's last year; the current ones lack another crop's first years and have other prices in a third's.
+_NEW = "commodity = 'PROMO' and source_month >= '2001-01'"
+_GONE = "commodity = 'SMALL' and source_month < '1996-01'"
+_OTHER = "commodity = 'LARGE' and source_month between '1999-01' and '1999-12' and l_linenumber = 1"
+PARTS["old_defective"] = (f"select * from defective where not ({_NEW})", ("defective",))
+PARTS["new_defective"] = (f"select * replace (case when {_OTHER} then modal_price + 1 else modal_price end as modal_price) from defective where not ({_GONE})", ("defective",))
+for _age in ("old", "new"):
+    PARTS[f"{_age}_checked"] = (PARTS["checked"][0].replace("from defective", f"from {_age}_defective"), (f"{_age}_defective",))
+    PARTS[f"{_age}_marked"] = (PARTS["marked"][0].replace("from checked", f"from {_age}_checked"), (f"{_age}_checked",))
+_TEXT = ", ".join(f"coalesce(cast({f'cast({c} as decimal(18,4))' if c.endswith(('price', 'tonnes')) else c} as varchar), '-')" for c in refresh.CONTENT)
+_COUNTED = lambda age: f"""
+  {age}_hashes as (select state, state_id, commodity, source_month, sha256(count(*) || '|' || sum(h) || '|' || bit_xor(h)) as source_sha256
+    from (select *, ('0x' || substr(md5(concat_ws('|', {_TEXT})), 1, 15))::bigint as h from {age}_defective) group by 1, 2, 3, 4),
+  {age}_counts as (select state_id, commodity, source_month, exclusion_reason, count(*) as n from {age}_marked group by 1, 2, 3, 4),
+  {age}_ledger as (select f.state, f.state_id, f.commodity, f.source_month, source_sha256, cast(sum(n) as bigint) as input_records,
+      cast(coalesce(sum(n) filter (where exclusion_reason is null), 0) as bigint) as accepted_records,
+      cast(coalesce(sum(n) filter (where exclusion_reason is not null), 0) as bigint) as excluded_records,
+      coalesce({_REASONS_SQL}, '{{}}') as exclusion_reasons_json
+    from {age}_hashes f join {age}_counts using (state_id, commodity, source_month) group by 1, 2, 3, 4, 5)"""
+_CHANGED = """changed as (select n.* from new_hashes n left join old_hashes o using (state_id, commodity, source_month)
+    where o.source_sha256 is null or o.source_sha256 <> n.source_sha256)"""
+
+
+def _source_versions(spark, sf):
+    """The current sources, in a folder for each month, and the ledger of the earlier ones."""
+    reports = T.defective_reports(spark, sf)
+    folder = shared_folder(spark, "sources")
+    other = F.when(F.expr(_OTHER), F.col("modal_price") + 1).otherwise(F.col("modal_price"))
+    current = reports.filter(~F.expr(_GONE)).withColumn("modal_price", other)
+    current.repartitionByRange("source_month", "state_id", "commodity").write.partitionBy("source_month").parquet(folder)
+    # the folder's names would else be read as dates
+    kept = spark.read.schema(current.schema).parquet(folder)
+    earlier = write_and_reload(reports.filter(~F.expr(_NEW)), "sources")
+    nothing = spark.createDataFrame([], "state_id long, state string, commodity string, source_month string, source_sha256 string")
+    ledger = refresh.changes(earlier, nothing, T.LINE_POSITION, QUALITY).ledger
+    return kept, write_and_reload(ledger, "ledger")
+
+
+@register("ledger_merge", oracle(f"""
+  with {_COUNTED('old')},{_COUNTED('new')}, {_CHANGED}
+  select * from new_ledger where (state_id, commodity, source_month) in (select (state_id, commodity, source_month) from changed)
+  union all by name
+  select * from old_ledger where (state_id, commodity, source_month) not in (select (state_id, commodity, source_month) from changed)""", "old_marked", "new_marked"))
+def ledger_merge(spark, sf):
+    """Published ledger after a refresh that reads only sources whose content hash changed."""
+    return refresh.changes(*_source_versions(spark, sf), T.LINE_POSITION, QUALITY).ledger
+
+
+@register("refresh_rejected", oracle(f"""
+  with {_COUNTED('old')},{_COUNTED('new')}, {_CHANGED}
+  select {', '.join(LINE)}, state_id, commodity, source_month, exclusion_reason from new_marked where exclusion_reason is not null
+    and (state_id, commodity, source_month) in (select (state_id, commodity, source_month) from changed)""", "old_marked", "new_marked"))
+def refresh_rejected(spark, sf):
+    """Reports of the changed sources that the refresh rejects, written and read back."""
+    found = refresh.changes(*_source_versions(spark, sf), T.LINE_POSITION, QUALITY)
+    return write_and_reload(found.rejected(), "rejected").select(*LINE, "state_id", "commodity", "source_month", V.REASON)

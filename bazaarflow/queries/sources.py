@@ -5,17 +5,20 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from bazaarflow.functions import buckets, dates, numbers, text
-from bazaarflow.operators import compare
+from bazaarflow.operators import compare, files
 from bazaarflow.operators.features import origins
 from bazaarflow.queries.base import (
     FRESH_SQL, MODEL, QUALITY, SLUG_SQL, VOLATILITY_SQL, coverage, history, oracle, register, rnd, tiered,
 )
+from bazaarflow.session import shared_folder, write_and_reload
 from bazaarflow.sources import raw_json, reference_dims, tables as T
 
 LINE = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate")
 # entry count of the document of one line
 ENTRIES = "case when l_linenumber = 1 and l_returnflag = 'N' then 0 when l_linenumber = 3 then 2 else 1 end"
 NO_DATES = "(l_linenumber = 2 and l_returnflag = 'N')"
+# orders whose lines make up one source document
+_CHUNK = 1_000_000
 FOLD_SQL = lambda v: f"translate(replace(lower({v}), 'ß', 'ss'), 'ς', 'σ')"
 
 
@@ -79,6 +82,30 @@ def src_manifest(spark, sf):
     )
 
 
+@register("src_manifest_files", oracle(f"""
+  select n_regionkey as state_id, strftime(l_shipdate, '%Y-%m') as source_month, l_orderkey // {_CHUNK} as chunk,
+    cast(sum(case when {NO_DATES} then 0 else greatest({ENTRIES}, 1) end) as bigint) as record_count, true as same_bytes, true as same_hash
+  from lineitem join supplier on l_suppkey = s_suppkey join nation on s_nationkey = n_nationkey group by 1, 2, 3"""))
+def src_manifest_files(spark, sf):
+    """One nested JSON file for each state, month and run of orders; the manifest of these files, read back."""
+    market = F.get_json_object("document", "$.markets[0]")
+    order = F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", market.alias("market"))
+    key = ("state_id", "source_month", "chunk")
+    text = F.concat(F.lit('{"success":true,"markets":['), F.array_join(F.transform(F.array_sort(F.collect_list(order)), lambda x: x["market"]), ","), F.lit("]}"))
+    texts = write_and_reload(
+        T.raw_documents(spark, sf).withColumn("chunk", F.floor(F.col("l_orderkey") / _CHUNK)).groupBy(*key).agg(text.alias("text")), "documents")
+    folder = shared_folder(spark, "document-files")
+    texts.repartition(*key).withColumnsRenamed({k: f"_{k}" for k in key}).write.partitionBy(*(f"_{k}" for k in key)).text(folder)
+    # files of a text table end in .txt
+    found = files.source_manifest(spark, folder, 16_384, "*.txt")
+    part = lambda name: F.regexp_extract("path", f"/_{name}=([^/]*)/", 1)
+    placed = found.select(part("state_id").cast("long").alias("state_id"), part("source_month").alias("source_month"), part("chunk").cast("long").alias("chunk"),
+                          "record_count", "bytes", "sha256", "ranges")
+    own = texts.select(*key, F.concat("text", F.lit("\n")).alias("content"))
+    same_hash = (F.col("ranges") > 1) | (F.col("sha256") == F.sha2(F.col("content").cast("binary"), 256))
+    return placed.join(own, list(key)).select(*key, "record_count", (F.col("bytes") == F.octet_length("content")).alias("same_bytes"), same_hash.alias("same_hash"))
+
+
 @register("src_reference_dims", oracle(f"""
   select cast(n_regionkey as bigint) as state_id, lower(s_name) as market_key, s_suppkey + 1000 as reference_id,
     case when s_suppkey % 5 <> 0 then n_nationkey end as district_id, case when s_suppkey % 5 <> 0 and n_nationkey <> 3 then n_name end as district

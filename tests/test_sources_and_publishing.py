@@ -6,6 +6,7 @@ from datetime import date
 import pytest
 from pyspark.sql import functions as F
 
+from bazaarflow.operators import files as H
 from bazaarflow.operators import publish as B
 from bazaarflow.operators import validate as V
 from bazaarflow.operators.series import with_anomaly
@@ -100,7 +101,7 @@ def test_corrections_count_market_entries(spark, raw):
 
 def test_file_ledger_and_manifest(spark, raw):
     body = (raw / "raw" / "20-maharashtra" / "onion" / "2026-07.json").read_bytes()
-    rows = {r.path.split("/raw/")[1]: r for r in B.source_manifest(spark, str(raw / "raw")).collect()}
+    rows = {r.path.split("/raw/")[1]: r for r in H.source_manifest(spark, str(raw / "raw")).collect()}
     row = rows["20-maharashtra/onion/2026-07.json"]
     assert (row.bytes, row.sha256, row.record_count) == (len(body), hashlib.sha256(body).hexdigest(), 4)
     assert len(rows) == 4
