@@ -19,7 +19,7 @@ from collections.abc import Mapping
 from dataclasses import dataclass
 from datetime import date
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
 from bazaarflow.functions.numbers import rounded
 from bazaarflow.functions.text import slug
@@ -52,19 +52,29 @@ def sections(history: DataFrame, coverage: DataFrame, forecasts: DataFrame) -> d
     }
 
 
-def write_store(tables: Mapping[str, DataFrame], folder: str, form: str = "parquet", rows_per_file: int = ROWS_PER_FILE) -> None:
-    """Each table below folder, as Parquet or as JSON lines with one typed record each."""
+def write_store(tables: Mapping[str, DataFrame], folder: str, form: str = "parquet", rows_per_file: int = ROWS_PER_FILE,
+                measures: Mapping[str, Mapping[str, Column]] | None = None) -> dict[str, dict]:
+    """Each table below folder, as Parquet or as JSON lines with one typed record each.
+
+    measures (table -> name -> aggregate) are taken from the rows on their way to the files and returned. They are
+    observed behind the exchange: the sampling of ranges reads the rows once more and must not be counted.
+    """
+    found = {}
     for name, frame in tables.items():
         keyed = frame.withColumns({FOLDERS[0]: slug(F.col("state")), FOLDERS[1]: slug(F.col("commodity"))})
         order = [*FOLDERS, *ORDER[name]]
-        writer = (
-            keyed.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("overwrite")
-            .partitionBy(*FOLDERS).option("maxRecordsPerFile", rows_per_file)
-        )
+        dealt, watch = keyed.repartitionByRange(*order).sortWithinPartitions(*order), Observation()
+        wanted = dict((measures or {}).get(name, {}))
+        if wanted:
+            dealt = dealt.observe(watch, *(column.alias(label) for label, column in wanted.items()))
+        writer = dealt.write.mode("overwrite").partitionBy(*FOLDERS).option("maxRecordsPerFile", rows_per_file)
         if form == "json":
             writer.option("compression", "gzip").option("ignoreNullFields", "false").json(f"{folder}/{name}")
         else:
             writer.option("compression", "zstd").format(form).save(f"{folder}/{name}")
+        if wanted:
+            found[name] = watch.get
+    return found
 
 
 def read_table(spark: SparkSession, folder: str, name: str, form: str = "parquet", schema=None) -> DataFrame:

@@ -15,6 +15,8 @@ from bazaarflow.operators import publish as B
 from bazaarflow.operators import series as S
 from bazaarflow.operators import store as K
 from bazaarflow.operators.features import forecast_rows, with_tier
+from bazaarflow.operators.upsert import newest_days
+from bazaarflow.plans import evidence as E
 from bazaarflow.plans.outlook import baseline_forecasts
 from bazaarflow.queries.base import (
     FRESH_SQL, MODEL, PARTS, QUALITY, SLUG_SQL, coverage, featured_sql, history, oracle, publication, published,
@@ -22,6 +24,7 @@ from bazaarflow.queries.base import (
 )
 from bazaarflow.queries.evaluation import fallback_sql
 from bazaarflow.queries.features import FORECAST_SQL
+from bazaarflow.queries.reports import LEDGER_SQL as _LEDGER_SQL
 from bazaarflow.session import write_and_reload
 from bazaarflow.settings import Settings
 from bazaarflow.sources import tables as T
@@ -440,6 +443,100 @@ def store_tables(spark, sf):
     return K.MarketDetail(*(back(name) for name in ("markets", "observations", "forecasts", "seasonal"))).rows()
 
 
+def _evidence(spark, sf):
+    """A measured publication with its window, source ledger, partition counts and checks."""
+    from bazaarflow.queries.reports import _ledger
+    from bazaarflow.session import shared_folder
+
+    window = stored_history(spark, sf)
+    selected = write_and_reload(C.selected_series(C.series_coverage(window, QUALITY), QUALITY.series_per_group), "coverage")
+    days = write_and_reload(C.restricted_to(newest_days(S.with_anomaly(window), QUALITY.history_days), selected), "published")
+    outlook = write_and_reload(forecasts(spark, sf, (days, selected)), "forecasts")
+    published = E.publish(days, selected, outlook, METHOD, MODEL.horizon_days, QUALITY, shared_folder(spark, "publication"))
+    partitions = write_and_reload(B.partition_stats(days, selected, outlook), "partitions")
+    ledger = write_and_reload(_ledger(spark, sf), "ledger")
+    checks = write_and_reload(E.invariants(published, window, ledger, partitions), "checks")
+    return published, window, ledger, partitions, checks
+
+
+_METHODS_SQL = ", ".join(f"'{m}'" for m in E.METHODS)
+_CHECKS_SQL = f"""
+  invariant(name, measured, wanted) as (
+    select 'history_has_rows', (select count(*) from published), '+'
+    union all select 'prices_are_positive', (select count(*) from published where min_price <= 0), '0'
+    union all select 'low_is_not_above_price', (select count(*) from published where min_price > representative_price), '0'
+    union all select 'price_is_not_above_high', (select count(*) from published where representative_price > max_price), '0'
+    union all select 'methods_are_known', (select count(*) from published where aggregation_method not in ({_METHODS_SQL})), '0'
+    union all select 'offsets_are_in_the_horizon', (select count(*) from forecasts where target_offset_days not between 1 and {MODEL.horizon_days}), '0'
+    union all select 'forecast_is_not_below_its_low', (select count(*) from forecasts where forecast_low > forecast_price), '0'
+    union all select 'forecast_is_not_above_its_high', (select count(*) from forecasts where forecast_price > forecast_high), '0'
+    union all select 'one_forecast_method', (select count(*) from forecasts where method <> '{METHOD}'), '0'
+    union all select 'one_comparison_date', (select case when min(comparison_date) <> max(comparison_date) then 1 else 0 end from forecasts), '0'
+    union all select 'days_are_unique', (select count(*) from (select 1 from published group by market_id, commodity, date having count(*) > 1)), '0'
+    union all select 'window_has_more_rows', (select count(*) from history) - (select count(*) from published), '+'
+    union all select 'window_has_more_series', (select count(*) from (select distinct commodity, market_id from history
+        where (commodity, market_id) not in (select (commodity, market_id) from published))), '+'
+    union all select 'every_series_has_all_offsets', (select count(*) from (select 1 from forecasts group by commodity, market_id having count(*) <> {MODEL.horizon_days})), '0'
+    union all select 'one_date_for_each_offset', (select count(*) from (select 1 from forecasts group by target_offset_days having count(distinct forecast_date) > 1)), '0'
+    union all select 'ledger_adds_up', 0, '0'
+    union all select 'partitions_add_up', 0, '0')"""
+
+
+@register("check_published", oracle(f"""
+  with {_CHECKS_SQL} select name as "check", cast(measured as bigint) as measured, case when wanted = '0' then measured = 0 else measured > 0 end as holds from invariant""",
+    "published", "forecasts", "history"))
+def check_published(spark, sf):
+    """Invariants of a publication, most of them observed while it was written."""
+    return _evidence(spark, sf)[-1]
+
+
+@register("pub_manifest_partitions", oracle(f"""
+  with {_STATS_SQL} select state, commodity, state_slug, commodity_slug, market_count, observation_count, forecast_count, date_min, date_max,
+    '/data/' || state_slug || '/' || commodity_slug || '.json' as url, true as has_bytes, true as has_hash, true as state_adds_up from stats""", "selected", "published", "p_rows"))
+def pub_manifest_partitions(spark, sf):
+    """Manifest of a publication: counts, and whether bytes, hash and the state's total of bytes are there."""
+    published, _, _, partitions, _ = _evidence(spark, sf)
+    manifest = write_and_reload(E.partition_manifest(spark, published, partitions), "manifest")
+    states = E.state_bytes(manifest).select("state", F.col("bytes").alias("state_bytes"))
+    every = K.FOLDERS
+    own = manifest.groupBy("state").agg(F.sum("bytes").alias("sum_bytes"))
+    return manifest.join(states, "state").join(own, "state").select(
+        "state", "commodity", *every, "market_count", "observation_count", "forecast_count", "date_min", "date_max", "url",
+        (F.col("bytes") > 0).alias("has_bytes"), F.col("sha256").rlike("^[0-9a-f]{64}$").alias("has_hash"),
+        ((F.col("state_bytes") == F.col("sum_bytes")) & (F.col("bytes") <= F.col("state_bytes"))).alias("state_adds_up"),
+    )
+
+
+_TOTALS = ("source_file_count", "input_records", "accepted_records", "excluded_records")
+
+
+@register("evidence_bundle", oracle(f"""
+  with {_LEDGER_SQL}, {_CHECKS_SQL},
+  totals as (select count(*) as source_file_count, cast(sum(input_records) as bigint) as input_records, cast(sum(accepted_records) as bigint) as accepted_records,
+    cast(sum(excluded_records) as bigint) as excluded_records from ledger)
+  select 2::bigint as version, {', '.join(_TOTALS)}, (select count(*) from history) as window_records, (select count(*) from published) as records,
+    (select count(*) from selected) as series, (select cast(max(date) as varchar) from published) as date_max, '{METHOD}' as method,
+    (select count(*) from forecasts) as forecast_records, (select count(*) from invariant where case when wanted = '0' then measured = 0 else measured > 0 end) as checks_held,
+    (select count(*) from (select distinct state, commodity from selected)) as partitions, true as has_hash
+  from totals""", "placed", "marked", "history", "selected", "published", "forecasts"))
+def evidence_bundle(spark, sf):
+    """The evidence document, written as one JSON file and read back."""
+    from bazaarflow.session import shared_folder
+
+    published, window, ledger, partitions, checks = _evidence(spark, sf)
+    manifest = write_and_reload(E.partition_manifest(spark, published, partitions), "manifest")
+    folder = shared_folder(spark, "evidence")
+    E.write_bundle(E.bundle(published, window, ledger, ledger, checks, manifest, METHOD), folder)
+    read = spark.read.json(folder)
+    return read.select(
+        F.col("schemaVersion").alias("version"), *(F.col(f"quality.cumulative_validation.{c}").alias(c) for c in _TOTALS),
+        F.col("quality.selection_window.records").alias("window_records"), "quality.published.records", "quality.published.series", "quality.published.date_max",
+        F.col("model.selected_method").alias("method"), F.col("model.records").alias("forecast_records"),
+        F.size(F.filter("checks", lambda c: c["holds"])).cast("long").alias("checks_held"), "dataset.partitions",
+        F.col("dataset.sha256").rlike("^[0-9a-f]{64}$").alias("has_hash"),
+    )
+
+
 @register("market_detail_parts", oracle(f"""
   select * from ({_STORE_SQL}) where state = 'ASIA' and commodity = 'PROMO'
     and market_id = (select min(market_id) from selected where state = 'ASIA' and commodity = 'PROMO')""", "published", "selected", "forecasts"))

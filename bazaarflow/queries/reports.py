@@ -80,7 +80,7 @@ def val_accept_reject_split(spark, sf):
 
 _REASONS_SQL = """'{' || string_agg('"' || exclusion_reason || '":' || n, ',' order by exclusion_reason)
   filter (where exclusion_reason is not null) || '}'"""
-_LEDGER_SQL = f"""
+LEDGER_SQL = f"""
   files as (select distinct s.state_id, s.state, c.commodity, m.source_month from
     (select distinct state_id, state from placed) s, (select distinct commodity from placed) c,
     (select distinct strftime(date, '%Y-%m') as source_month from placed) m),
@@ -110,7 +110,7 @@ def _ledger(spark, sf):
     return V.quality_ledger(marked(spark, sf), files, FILE)
 
 
-@register("quality_ledger", oracle(f"with {_LEDGER_SQL} select * from ledger", "placed", "marked"))
+@register("quality_ledger", oracle(f"with {LEDGER_SQL} select * from ledger", "placed", "marked"))
 def quality_ledger(spark, sf):
     return _ledger(spark, sf)
 
@@ -123,7 +123,7 @@ def quality_reasons(spark, sf):
 
 
 @register("quality_cumulative", oracle(f"""
-  with {_LEDGER_SQL} select count(*) as source_file_count, cast(sum(input_records) as bigint) as input_records,
+  with {LEDGER_SQL} select count(*) as source_file_count, cast(sum(input_records) as bigint) as input_records,
     cast(sum(accepted_records) as bigint) as accepted_records, cast(sum(excluded_records) as bigint) as excluded_records,
     sum(input_records) = sum(accepted_records) + sum(excluded_records) as reconciles from ledger""", "placed", "marked"))
 def quality_cumulative(spark, sf):
