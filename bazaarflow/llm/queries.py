@@ -101,8 +101,10 @@ def op10_lz_fingerprint(spark, folder):
 
 @query("op1_suffix_dedup")
 def op1_suffix_dedup(spark, folder):
-    found = suffix_dedup.repeats_removed(table(spark, folder, "documents").select("doc_id", "text"))
-    return found.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
+    found = suffix_dedup.repeats_removed(table(spark, folder, "documents").select("doc_id", "text"), kept=True)
+    # a removed run may begin or end inside a character
+    text = F.make_valid_utf8(F.col("kept").cast("string"))
+    return found.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256", text.alias("text"))
 
 
 @query("op2_warc", f"""

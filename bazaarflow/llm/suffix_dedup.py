@@ -96,7 +96,7 @@ def _anchored(texts: DataFrame, length: int, gram: int) -> DataFrame:
                 pa.array((first - begin).astype(np.int32)), pa.array((last - begin).astype(np.int32)), pa.array((anchor - first).astype(np.int32)),
             ], _KEYED)
 
-    return texts.mapInArrow(run, f"k1 long, k2 long, id {kind}, th int, first int, last int, ahead int")
+    return texts.mapInArrow(run, f"k1 long, k2 long, id {kind}, th long, first int, last int, ahead int")
 
 
 def _neighbours(rows: DataFrame) -> DataFrame:
@@ -132,7 +132,7 @@ def _neighbours(rows: DataFrame) -> DataFrame:
         empty = [pa.nulls(1, chosen.schema.field(c).type) for c in ("id", "th", "first", "last", "ahead", "k1")] + [pa.nulls(1, t) for t in (pa.bool_(), pa.int64(), *[pa.bool_()] * 5)]
         yield pa.RecordBatch.from_arrays([*empty, pa.array([bucket], pa.int32()), *[pa.array([int(x)], pa.int64()) for x in summary]], names)
 
-    shape = f"id {kind.simpleString()}, th int, first int, last int, ahead int, k1 long, equal boolean, kinds long, lead boolean, "
+    shape = f"id {kind.simpleString()}, th long, first int, last int, ahead int, k1 long, equal boolean, kinds long, lead boolean, "
     shape += ", ".join(f"{e} boolean" for e in edges) + ", bucket int, " + ", ".join(f"b{i} long" for i in range(6))
     names = [c.split()[0] for c in shape.split(", ")]
     ranged = rows.repartitionByRange("k1", "k2", "id", "first").sortWithinPartitions("k1", "k2")
@@ -212,7 +212,7 @@ _RESULT_SQL = "n_bytes long, n_removed long, spans array<struct<start:bigint,sto
 def repeats_removed(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, kept: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of docs: id, n_bytes, n_removed, spans (removed bytes), kept_sha256 and, if asked for, kept (the bytes left)."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    texts = docs.select(F.col(id_col).alias("id"), text.alias("text")).withColumn("th", F.xxhash64("text").bitwiseAND(F.lit(0x7FFFFFFF)).cast("int"))
+    texts = docs.select(F.col(id_col).alias("id"), text.alias("text")).withColumn("th", F.xxhash64("text"))
     id_type = texts.schema["id"].dataType.simpleString()
     result, sql = list(_RESULT), _RESULT_SQL
     if kept:
@@ -237,7 +237,7 @@ def repeats_removed(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, kep
 
     listed = _lists(marks, "first", "last", "ahead", "k1", "equal", "open", "crowd")
     joined = texts.join(listed, F.col("id").eqNullSafe(F.col("row_id")) & (F.col("th") == F.col("row_th")), "left").select("id", "th", "text", "marks")
-    state = write_and_reload(joined.mapInArrow(settle, f"id {id_type}, th int, {sql}, body binary, closed binary, open binary"), "segments")
+    state = write_and_reload(joined.mapInArrow(settle, f"id {id_type}, th long, {sql}, body binary, closed binary, open binary"), "segments")
     names = [n for n, _ in result]
     finished = state.filter("body is null").select("id", *names)
     waiting = state.filter("body is not null").select("id", "th", "body", "closed", "open")
@@ -337,8 +337,8 @@ def _within_grams(waiting: DataFrame, length: int, id_type: str) -> DataFrame:
         if held and (found := compare(pa.Table.from_batches(held))) is not None:
             yield found
 
-    sent = waiting.mapInArrow(send, f"k1 long, id {id_type}, th int, first int, ahead int, piece binary")
-    return sent.repartitionByRange("k1").sortWithinPartitions("k1").mapInArrow(sort, f"id {id_type}, th int, first int, stop int")
+    sent = waiting.mapInArrow(send, f"k1 long, id {id_type}, th long, first int, ahead int, piece binary")
+    return sent.repartitionByRange("k1").sortWithinPartitions("k1").mapInArrow(sort, f"id {id_type}, th long, first int, stop int")
 
 
 def _string_by_string(waiting: DataFrame, length: int, id_type: str) -> DataFrame:
@@ -355,5 +355,5 @@ def _string_by_string(waiting: DataFrame, length: int, id_type: str) -> DataFram
                     _signed(subs.hash(p, p + min(TOKEN, length))), _signed(subs.hash(p, p + length)), _repeated(ident, len(p)), _repeated(th, len(p)), p32, p32, pa.array(np.zeros(len(p), dtype=np.int32)),
                 ], _KEYED)
 
-    strings = waiting.mapInArrow(send, f"k1 long, k2 long, id {id_type}, th int, first int, last int, ahead int")
+    strings = waiting.mapInArrow(send, f"k1 long, k2 long, id {id_type}, th long, first int, last int, ahead int")
     return _neighbours(strings).filter("equal").select("id", "th", "first", (F.col("last") + length).cast("int").alias("stop"))
