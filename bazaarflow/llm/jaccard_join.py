@@ -49,6 +49,7 @@ FLUSH = 1_000_000
 BLOCK, STRAYS = 2048, 512
 SKETCH = ["s0", "s1", "s2", "s3"]
 WIDE_BITS = 1024
+TOLD = 500_000  # nodes whose numbers are broadcast at most
 
 
 @dataclass(frozen=True)
@@ -303,6 +304,9 @@ class _Join:
                     yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], ["node", "body"])
 
         zipped = self.texts.select("text").mapInArrow(run, "node long, body binary")
+        wanted = write_and_reload(wanted, "wanted")
+        if wanted.count() <= TOLD:  # 8 bytes each; tasks then keep the wanted texts only, beyond that all are shuffled
+            wanted = F.broadcast(wanted)
         return write_and_reload(zipped.join(wanted, "node", "left_semi").dropDuplicates(["node"]), "bodies")
 
     def bounded(self, pairs: DataFrame) -> DataFrame:
