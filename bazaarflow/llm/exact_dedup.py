@@ -21,6 +21,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from bazaarflow.llm.names import free
 from bazaarflow.session import write_and_reload
 
 SALTS = 16
@@ -83,12 +84,10 @@ def joined(rows: DataFrame, repeated: DataFrame, total: int) -> DataFrame:
 
 def kept_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that stay, with their columns: of equal texts the one with the largest id, once."""
-    stay = decisions(docs, id_col, text_col).filter("kept").select(F.col("id").alias("dedup_id"), F.col("sha").alias("dedup_sha"))
-    plain = docs.drop("dedup_id", "dedup_sha")
+    dedup_id, dedup_sha, stay_sha = free(docs, "dedup_id", "dedup_sha", "stay_sha")
+    stay = decisions(docs, id_col, text_col).filter("kept").select(F.col("id").alias(dedup_id), F.col("sha").alias(stay_sha))
     sha = F.unhex(F.sha2(F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary"), 256))
-    keyed = plain.withColumn("dedup_sha", sha)
-    found = keyed.join(
-        stay.distinct().withColumnRenamed("dedup_sha", "stay_sha"),
-        F.col(id_col).eqNullSafe(F.col("dedup_id")) & (F.col("dedup_sha") == F.col("stay_sha")), "left_semi",
+    found = docs.withColumn(dedup_sha, sha).join(
+        stay.distinct(), F.col(id_col).eqNullSafe(F.col(dedup_id)) & (F.col(dedup_sha) == F.col(stay_sha)), "left_semi",
     )
-    return found.dropDuplicates([id_col, "dedup_sha"]).select(*plain.columns)
+    return found.dropDuplicates([id_col, dedup_sha]).select(*docs.columns)

@@ -41,6 +41,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from bazaarflow.llm import components
 from bazaarflow.llm.exact_dedup import joined
 from bazaarflow.llm.hashing import mix
+from bazaarflow.llm.names import free
 from bazaarflow.llm.shingles import shingle_set
 from bazaarflow.session import write_and_reload
 
@@ -503,13 +504,14 @@ def representatives(docs: DataFrame, scheme: Scheme = Scheme(), id_col: str = "d
     several = placed.select("node", "label", "copies").join(smallest.filter("all > 1"), "label")
     several = write_and_reload(several.select(digest.alias("digest"), F.col("first.id").alias("keep_id"), F.col("copies").alias("group_size")), "components")
     found = joined(rows.select("id", digest.alias("digest")), several, run.sets.count())
-    gone = found.filter(~F.col("id").eqNullSafe(F.col("keep_id"))).select(F.col("id.id").alias("gone_id"), F.col("id.sha").alias("gone_sha")).distinct()
-    keyed = docs.withColumn("near_sha", _sha(text_col))
-    same_row = F.col(id_col).eqNullSafe(F.col("gone_id")) & (F.col("near_sha") == F.col("gone_sha"))
+    gone_id, gone_sha, near_sha = free(docs, "gone_id", "gone_sha", "near_sha")
+    gone = found.filter(~F.col("id").eqNullSafe(F.col("keep_id"))).select(F.col("id.id").alias(gone_id), F.col("id.sha").alias(gone_sha)).distinct()
+    keyed = docs.withColumn(near_sha, _sha(text_col))
+    same_row = F.col(id_col).eqNullSafe(F.col(gone_id)) & (F.col(near_sha) == F.col(gone_sha))
     left = keyed.join(gone, same_row, "left_anti")
     # rows that stay and repeat both id and text stay once
-    repeats = smallest.filter("first.same > 1").select(F.col("first.id.id").alias("gone_id"), F.col("first.id.sha").alias("gone_sha"))
+    repeats = smallest.filter("first.same > 1").select(F.col("first.id.id").alias(gone_id), F.col("first.id.sha").alias(gone_sha))
     if not repeats.isEmpty():
-        once = left.join(repeats, same_row, "left_semi").dropDuplicates([id_col, "near_sha"])
+        once = left.join(repeats, same_row, "left_semi").dropDuplicates([id_col, near_sha])
         left = left.join(repeats, same_row, "left_anti").unionByName(once)
     return left.select(*docs.columns)

@@ -92,3 +92,20 @@ def test_language_id_edge_cases(docs):
     assert {r.lang_pred for r in language_id.predictions(odd, nothing).collect()} == {"und"}
     one = language_id.fit(docs(*[(i, english, "en", None) for i in range(20)]))
     assert [r.lang_pred for r in language_id.predictions(docs((1, german)), one).collect()] == ["en"]
+
+
+CLASHING = ("near_sha", "gone_id", "gone_sha", "dedup_id", "dedup_sha", "stay_sha", "NEAR_SHA_", "lang_pred", "score", "digest", "node", "size", "sig")
+
+
+def test_stages_return_clashing_columns_unchanged(spark):
+    from bazaarflow.llm import jaccard_join
+
+    words = " ".join(f"word{i}" for i in range(60))
+    rows = [(1, words), (2, words), (3, words + " more"), (4, None), (None, "alone with five whole words"), (5, "other " * 9)]
+    table = spark.createDataFrame([(i, t, *[f"{c}-{i}" for c in CLASHING]) for i, t in rows], "doc_id long, text string, " + ", ".join(f"{c} string" for c in CLASHING))
+    exact = exact_dedup.kept_rows(table)
+    near = jaccard_join.representatives(exact, jaccard_join.Scheme(width=5, share=80))
+    for found, kept in ((exact, {"2", "3", "4", "5", "None"}), (near, {"2", "4", "5", "None"})):
+        assert found.columns == table.columns
+        assert {str(r.doc_id) for r in found.collect()} == kept
+        assert all(r[c] == f"{c}-{r.doc_id}" for r in found.collect() for c in CLASHING)
