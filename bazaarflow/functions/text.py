@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+import unicodedata
+from functools import lru_cache
+
 from pyspark.sql import Column, functions as F
 
 # Fixed value: the characters that count as white space in Unicode text.
@@ -9,9 +13,21 @@ SPACES = (
     r"[\x09-\x0D\x1C-\x1F\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}"
     r"\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
 )
-# Accented Latin letters and the plain letters they decompose to.
-ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿāăąćĉċčďēĕėęěĝğġģĥĩīĭįĵķĺļľńņňōŏőŕŗřśŝşšţťũūŭůűųŵŷźżž"
-PLAIN = "aaaaaaceeeeiiiinooooouuuuyyaaaccccdeeeeegggghiiiijklllnnnooorrrssssttuuuuuuwyzzz"
+
+
+@lru_cache(maxsize=1)
+def decompositions() -> tuple[dict[str, str], dict[str, str], dict[str, str]]:
+    """Characters whose compatibility decomposition holds a Latin letter or digit, by Unicode's own tables.
+
+    Three groups: those that become one letter, those that become a letter and separate (a mark follows), and the others.
+    """
+    plain, marked, longer = {}, {}, {}
+    for code in (*range(0x80, 0xD800), *range(0xE000, 0x20000)):
+        spread = re.sub("[^a-z0-9]+", "-", unicodedata.normalize("NFKD", chr(code)).lower())
+        if spread != "-":
+            group = plain if len(spread) == 1 else marked if len(spread) == 2 and spread[1] == "-" else longer
+            group[chr(code)] = spread
+    return plain, marked, longer
 
 
 def collapsed(text: Column) -> Column:
@@ -52,10 +68,15 @@ def slug(text: Column) -> Column:
 
 
 def ascii_slug(text: Column) -> Column:
-    """Slug over decomposed text: an accent separates, as its mark is not a letter."""
-    spread = F.regexp_replace(F.lower(text), f"([{ACCENTED}])", "$1-")
-    plain = F.translate(spread, ACCENTED, PLAIN)
-    dashed = F.regexp_replace(plain, "[^a-z0-9]+", "-")
+    """Slug over compatibility decomposition: ligatures and wide letters are spelled out, an accent separates, as its mark is not a letter."""
+    plain, marked, longer = decompositions()
+    spelled = F.create_map(*(F.lit(x) for pair in longer.items() for x in pair))
+    # characters of several letters are rare, and only texts that hold one are taken apart
+    by_character = F.array_join(F.transform(F.split(text, ""), lambda c: F.coalesce(F.try_element_at(spelled, c), c)), "")
+    whole = F.when(text.rlike(f"[{''.join(longer)}]"), by_character).otherwise(text)
+    spread = F.regexp_replace(whole, f"([{''.join(marked)}])", "$1-")
+    one = {**plain, **{c: x[0] for c, x in marked.items()}}
+    dashed = F.regexp_replace(F.lower(F.translate(spread, "".join(one), "".join(one.values()))), "[^a-z0-9]+", "-")
     return F.regexp_replace(dashed, "(^-|-$)", "")
 
 

@@ -249,9 +249,14 @@ def str_slug(spark, sf):
     return T.table(spark, sf, "documents").select("doc_id", text.slug(F.col("text")).alias("slug"))
 
 
+# for the check: the accented letters of the documents and the plain letters they decompose to
+_ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿāăąćĉċčďēĕėęěĝğġģĥĩīĭįĵķĺļľńņňōŏőŕŗřśŝşšţťũūŭůűųŵŷźżž"
+_PLAIN = "aaaaaaceeeeiiiinooooouuuuyyaaaccccdeeeeegggghiiiijklllnnnooorrrssssttuuuuuuwyzzz"
+
+
 @register("str_slug_ascii", oracle(f"""
-  select doc_id, regexp_replace(regexp_replace(translate(regexp_replace(lower(text), '([{text.ACCENTED}])', '\\1-', 'g'),
-    '{text.ACCENTED}', '{text.PLAIN}'), '[^a-z0-9]+', '-', 'g'), '(^-|-$)', '', 'g') as slug from documents"""))
+  select doc_id, regexp_replace(regexp_replace(translate(regexp_replace(lower(text), '([{_ACCENTED}])', '\\1-', 'g'),
+    '{_ACCENTED}', '{_PLAIN}'), '[^a-z0-9]+', '-', 'g'), '(^-|-$)', '', 'g') as slug from documents"""))
 def str_slug_ascii(spark, sf):
     return T.table(spark, sf, "documents").select("doc_id", text.ascii_slug(F.col("text")).alias("slug"))
 

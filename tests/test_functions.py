@@ -83,3 +83,19 @@ def test_bands(spark):
 @pytest.mark.parametrize("values, middle", [([5.0, 1.0, 3.0], 3.0), ([4.0, 2.0, 1.0, 3.0], 2.5)])
 def test_median_of_sorted(spark, values, middle):
     assert one(spark, numbers.median_of_sorted(F.sort_array(F.array(*map(F.lit, values))))) == middle
+
+
+def test_ascii_slug_equals_compatibility_decomposition(spark):
+    """Every character of the first two planes, between letters."""
+    import re
+    import unicodedata
+
+    def plain(value):
+        return re.sub("(^-|-$)", "", re.sub("[^a-z0-9]+", "-", unicodedata.normalize("NFKD", value).lower()))
+
+    codes = [c for c in (*range(0x20, 0xD800), *range(0xE000, 0x20000)) if unicodedata.category(chr(c)) != "Cn"]
+    texts = ["".join(f"x{chr(c)}Y" for c in codes[i : i + 8]) for i in range(0, len(codes), 8)]
+    texts += ["Ｆｕｌｌ ｗｉｄｔｈ", "oﬃce ﬁg ½", "Đà Nẵng, Thừa Thiên Huế", "㎏ ①⑫", "", "---", "Ǆ İstanbul"]
+    found = spark.createDataFrame([(t,) for t in texts], "t string").select("t", text.ascii_slug(F.col("t")).alias("s")).collect()
+    wrong = [(r.t, r.s, plain(r.t)) for r in found if r.s != plain(r.t)]
+    assert not wrong, wrong[:5]
