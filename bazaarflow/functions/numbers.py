@@ -12,8 +12,9 @@ NUMBER_PATTERN = (
 
 
 def rounded(value: Column, digits: int) -> Column:
-    """Half-up rounding that agrees across engines: settle on six decimals first."""
-    return F.round(value.cast("decimal(18,6)"), digits).cast("double")
+    """Half-up rounding that agrees across engines: settle on six decimals first, where the number fits that."""
+    settled = F.round(value.try_cast("decimal(18,6)"), digits).cast("double")
+    return F.coalesce(settled, F.round(value.cast("double"), digits))
 
 
 def parse_number(text: Column) -> Column:

@@ -99,3 +99,10 @@ def test_ascii_slug_equals_compatibility_decomposition(spark):
     found = spark.createDataFrame([(t,) for t in texts], "t string").select("t", text.ascii_slug(F.col("t")).alias("s")).collect()
     wrong = [(r.t, r.s, plain(r.t)) for r in found if r.s != plain(r.t)]
     assert not wrong, wrong[:5]
+
+
+def test_rounding_takes_numbers_of_any_size(spark):
+    values = [2.345, -2.345, 1e11 + 0.125, 3e12 + 0.126, 1e200, float("inf"), None]
+    frame = spark.createDataFrame([(v,) for v in values], "v double")
+    found = [r[0] for r in frame.select(numbers.rounded(F.col("v"), 2)).collect()]
+    assert found == [2.35, -2.35, 1e11 + 0.13, 3e12 + 0.13, 1e200, float("inf"), None]
