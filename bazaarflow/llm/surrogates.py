@@ -16,9 +16,8 @@ all but one winner draw again, until all surrogates differ from each other and f
 different entities stay different and one entity is the same wherever it is mentioned.
 
 Where a format has too few free forms for that (`STALL` rounds settle nothing, or the rounds are over), the open
-values of the format get each other's values, by a cycle in keyed order: surrogates still differ, and none is the
-value it stands for, but it is another value of the corpus. An open value without a partner of its format, and an
-address, whose domain is not to be shown, gets a longer form. So every value has a surrogate, whatever the counts are.
+values get a longer form, which grows until it is free; machine addresses first get octets of any size, then ones of the
+largest private range. So every value has a surrogate, whatever the counts are, and no surrogate is a value of the corpus.
 
 The values table grows with the different entities, not with mentions: a value in a third of all documents is
 combined before it is shuffled. Mentions carry their surrogate back by a join; the most frequent mentions, at most
@@ -34,14 +33,14 @@ import sys
 import unicodedata
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from bazaarflow.session import write_and_reload
+from bazaarflow.session import shared_folder, write_and_reload
 
 KEY = "surrogates-1"
 HOT = 10_000
 STALL = 12
-CYCLE = 10_000
+DRAWN = "kind string, value string, surrogate string, again boolean"
 
 # First names by gender and script, titles, letters.
 MALE = "James John Robert Michael David Richard Thomas Daniel Matthew Anthony Steven Andrew Kevin Brian George Edward Peter Hans Jürgen Klaus Wolfgang Stefan Pierre Jean François Philippe Jacques Carlos José Luis Miguel Javier Antonio Juan".split()
@@ -77,11 +76,13 @@ _FIRST = [("first_m", MALE), ("first_f", FEMALE), ("first_m", MALE_CYRILLIC), ("
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 EMAIL = r"[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
 IP = rf"(?<![\d.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\.?\d)"
-CARD = r"(?<!\d)\d{4}(?:[ -]?\d{4}){3}(?!\d)"
+CARD = r"(?<!\d)(?:\d{4}(?:[ -]?\d{4}){3}|3[47]\d{2}[ -]?\d{6}[ -]?\d{5})(?!\d)"
 SSN = r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"
 IBAN = r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b"
 PHONE = r"(?<!\d)(?:\+\d{1,3}[ .-]?)?\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}(?!\d)|\+\d{1,3}(?:[ .-]?\d{2,4}){2,4}(?!\d)|(?<![\d.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\d-])"
 NAME = r"(?<!\p{L})(?:" + "|".join([*(n for _, names in _FIRST for n in names), *(rf"{t}\.?" for t in TITLES)]) + r")[ \t]+\p{Lu}\p{Ll}+(?!\p{L})"
+# fixed values: country calling codes of one and two digits, all others have three
+COUNTRY = r"^\+(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})"
 KINDS = [("email", EMAIL), ("ip", IP), ("ssn", SSN), ("card", CARD), ("phone", PHONE), ("iban", IBAN), ("name", NAME)]
 PATTERN = "|".join(f"(?:{p})" for _, p in KINDS)
 
@@ -105,14 +106,19 @@ def _scrambled(text: Column, hashed: Column) -> Column:
     return F.when(F.length(text) == 0, text).otherwise(F.array_join(F.transform(F.split(text, ""), one), ""))
 
 
-def _octets(text: Column, hashed: Column) -> Column:
-    private = F.when(text.rlike(r"^(10|127)\."), 1).when(text.rlike(r"^192\.168\."), 2).otherwise(0)
+def _let(value: Column, use) -> Column:
+    """use(value) with value written once in the plan, however often use reads it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _octets(text: Column, hashed: Column, wide: int) -> Column:
+    """Octets of as many digits as before; from wide 0 on of any size, from 8 on in the largest private range."""
+    private = F.when(text.rlike(r"^(10|127)\."), 1).when(text.rlike(r"^192\.168\."), 1 if wide >= 8 else 2).otherwise(0)
 
     def one(part: Column, i: Column) -> Column:
-        number = _byte(hashed, i)
-        size = F.length(part)
-        fresh = F.when(size == 3, 100 + number % 155).when(size == 2, 10 + number % 90).otherwise(number % 10)
-        return F.when(i < private, part).otherwise(fresh.cast("string"))
+        size, number = F.length(part), _byte(hashed, i)
+        fresh = number if wide >= 0 else F.when(size == 3, 100 + number % 155).when(size == 2, 10 + number % 90).otherwise(number % 10)
+        return F.when(i < private, F.lit("10") if wide >= 8 else part).otherwise(fresh.cast("string"))
 
     return F.array_join(F.transform(F.split(text, r"\."), one), ".")
 
@@ -128,34 +134,46 @@ def _luhn(digits: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(0), F.length(digits) - 1), F.lit(0), add)
 
 
-def _card(text: Column, hashed: Column) -> Column:
-    body = F.concat(F.substring(text, 1, 1), F.substring(_scrambled(text, hashed), 2, 14))
-    check = (10 - _luhn(F.concat(body, F.lit("0"))) % 10) % 10
-    own = _byte(hashed, F.lit(30)) % 10
-    own = F.when(own == check, (own + 1) % 10).otherwise(own)
-    return F.concat(body, F.when(_luhn(text) % 10 == 0, check).otherwise(own).cast("string"))
+def _checked(body: Column, value: Column, hashed: Column) -> Column:
+    """A card number with that body: its last digit is the check digit where the value's is, and another one elsewhere."""
 
+    def ended(body: Column) -> Column:
+        check = (10 - _luhn(F.concat(body, F.lit("0"))) % 10) % 10
+        own = lambda check: F.when(_luhn(value) % 10 == 0, check).otherwise((check + 1 + _byte(hashed, F.lit(30)) % 9) % 10)
+        return F.concat(body, _let(check, own).cast("string"))
 
-def _email(text: Column, hashed: Column) -> Column:
-    domain = F.element_at(F.split(text, "@"), 2)
-    bare, top = F.regexp_extract(domain, r"^(.*)(\.[a-z]+)$", 1), F.regexp_extract(domain, r"^(.*)(\.[a-z]+)$", 2)
-    return F.concat(_scrambled(F.element_at(F.split(text, "@"), 1), hashed), F.lit("@"), _scrambled(bare, _hash(F.lit("domain"), bare)), top)
+    return _let(body, ended)
 
 
-def _surname(text: Column, hashed: Column) -> Column:
-    cyrillic = text.rlike(r"^\p{IsCyrillic}{4,}$")
-    keep = F.when(cyrillic, 3).otherwise(0)
-    stem = F.substring(text, F.lit(1), F.length(text) - keep)
-    return F.concat(_scrambled(stem, hashed), F.when(cyrillic, F.substring(text, F.length(text) - 2, F.lit(3))).otherwise(""))
+def _ends(kind: Column, value: Column) -> tuple[Column, Column]:
+    """What stays at the start and at the end of a value: issuer digit, country, ending of the surname, the check digit's place."""
+    country = F.regexp_extract(value, COUNTRY, 0)
+    head = F.when(kind == "card", F.substring(value, 1, 1)).when(kind == "iban", F.substring(value, 1, 2)).when(kind == "phone", country).otherwise("")
+    cyrillic = (kind == "surname") & value.rlike(r"^\p{IsCyrillic}{4,}$")
+    tail = F.when(cyrillic, F.substring(value, F.length(value) - 2, F.lit(3))).when(kind == "card", F.substring(value, F.length(value), F.lit(1)))
+    return head, tail.when(kind == "email", F.regexp_extract(value, "@.*$", 0)).otherwise("")
 
 
-def _surrogate(kind: Column, value: Column, attempt: Column) -> Column:
-    hashed = _hash(kind, value, attempt.cast("string"))
-    return (
-        F.when(kind == "email", _email(value, hashed)).when(kind == "ip", _octets(value, hashed)).when(kind == "card", _card(value, hashed))
-        .when(kind == "iban", F.concat(F.substring(value, 1, 2), _scrambled(F.substring(value, F.lit(3), F.length(value)), hashed)))
-        .when(kind == "surname", _surname(value, hashed)).otherwise(_scrambled(value, hashed))
-    )
+def _surrogate(kind: Column, value: Column, attempt: int, wide: int) -> Column:
+    """The value's surrogate of an attempt. Letters and digits are replaced in one place of the plan: its tables are long."""
+
+    def of(hashed: Column) -> Column:
+        head, tail = _ends(kind, value)
+        inner = F.substring(value, F.length(head) + 1, F.length(value) - F.length(head) - F.length(tail))
+        domain = F.regexp_extract(value, r"@(.*)(\.[a-z]+)$", 1)
+        pieces = F.array(F.struct(inner.alias("text"), hashed.alias("hash")), F.struct(domain.alias("text"), _hash(F.lit("domain"), domain).alias("hash")))
+
+        def put(fresh: Column) -> Column:
+            body, name = F.element_at(fresh, 1), F.element_at(fresh, 2)
+            top = F.regexp_extract(value, r"\.[a-z]+$", 0)
+            return (
+                F.when(kind == "email", F.concat(body, F.lit("@"), name, top)).when(kind == "ip", _octets(value, hashed, wide))
+                .when(kind == "card", _checked(F.concat(head, body), value, hashed)).otherwise(F.concat(head, body, tail))
+            )
+
+        return _let(F.transform(pieces, lambda p: _scrambled(p["text"], p["hash"])), put)
+
+    return _let(_hash(kind, value, F.lit(str(attempt))), of)
 
 
 def _first_names() -> dict[str, tuple[str, str]]:
@@ -171,7 +189,8 @@ def _first_names() -> dict[str, tuple[str, str]]:
 
 def _canonical(mention: Column, kind: Column) -> Column:
     digits = F.regexp_replace(mention, r"\D", "")
-    phone = F.when(mention.startswith("+1") & (F.length(digits) == 11), F.substring(digits, F.lit(2), F.lit(10))).otherwise(digits)
+    phone = F.when(mention.startswith("+1") & (F.length(digits) == 11), F.substring(digits, F.lit(2), F.lit(10)))
+    phone = phone.when(mention.startswith("+"), F.concat(F.lit("+"), digits)).otherwise(digits)
     return (
         F.when(kind == "phone", phone).when(kind.isin("card", "ssn"), digits).when(kind == "iban", F.lower(F.regexp_replace(mention, " ", "")))
         .when(kind == "name", F.lower(F.regexp_extract(mention, r"(\S+)$", 1))).otherwise(F.lower(mention))
@@ -199,98 +218,85 @@ def _rendered(mention: Column, value: Column, surrogate: Column) -> Column:
     return F.when(address, F.concat(F.substring(every, F.lit(1), more), shown)).otherwise(F.concat(shown, F.substring(every, size + 1, more)))
 
 
-def _drawn(values: DataFrame, open_: DataFrame, settled: DataFrame | None, surrogate: Column) -> tuple[DataFrame, DataFrame]:
-    """Stored (kind, value, surrogate) of open_ that are settled now, and those that draw again: their surrogate is taken or a value."""
-    drawn = open_.select("kind", "value", surrogate.alias("surrogate"))
-    winners = drawn.groupBy("kind", "surrogate").agg(F.min("value").alias("winner"))
-    taken = values.select("kind", F.col("value").alias("surrogate"))
-    if settled is not None:
-        taken = taken.unionByName(settled.select("kind", "surrogate"))
-    # settled surrogates are no values, so a surrogate is in taken at most once
-    checked = drawn.join(winners, ["kind", "surrogate"]).join(taken.withColumn("taken", F.lit(True)), ["kind", "surrogate"], "left")
-    again = (F.col("winner") != F.col("value")) | F.col("taken").isNotNull()
-    done = write_and_reload(checked.select("kind", "value", "surrogate", again.alias("again")), "surrogates")
-    return done.filter("not again").drop("again"), done.filter("again").drop("again")
-
-
-def _format(kind: Column, value: Column) -> Column:
-    """What a value of its kind shares with the values that may stand for it."""
-    shape = F.translate(value, MEMBERS, CLASSES)
-    digits = F.regexp_replace(value, r"\d", "0")
-    ip = F.concat(F.regexp_extract(value, r"^(10\.|127\.|192\.168\.|)", 1), F.lit("/"), digits)
-    card = F.concat(F.substring(value, 1, 1), digits, F.when(_luhn(F.when(kind == "card", value).otherwise("0")) % 10 == 0, "valid").otherwise(""))
-    ending = F.when(value.rlike(r"^\p{IsCyrillic}{4,}$"), F.substring(value, F.length(value) - 2, F.lit(3))).otherwise("")
-    return (
-        F.when(kind == "ip", ip).when(kind == "card", card).when(kind == "iban", F.concat(F.substring(value, 1, 2), shape))
-        .when(kind == "surname", F.concat(shape, F.lit("/"), ending)).otherwise(shape)
-    )
+def _longer(kind: Column, value: Column, attempt: int, wide: int) -> Column:
+    """A surrogate of a form that is longer than the value by 4 + wide signs; addresses of machines widen their octets first."""
+    extra = F.translate(F.substring(_hash(F.lit("longer"), kind, value, F.lit(str(attempt))), 1, 4 + wide), "0123456789abcdef", "bcdfghklmnprstvz")
+    digits = F.translate(extra, "bcdfghklmnprstvz", "0123456789012345")
+    base = _surrogate(kind, value, attempt, wide)
+
+    def grown(base: Column) -> Column:
+        machine = base if wide < 16 else F.concat(base, F.lit(":"), digits)
+        return (
+            F.when(kind == "email", F.concat(extra, base)).when(kind == "ip", machine)
+            .when(kind.isin("surname", "iban"), F.concat(base, extra)).otherwise(F.concat(base, digits))
+        )
+
+    return _let(base, grown)
 
 
-def _cycled(open_: DataFrame, settled: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Open values standing for each other, (settled less values taken back as partners, cycled, still open)."""
-    of = _format(F.col("kind"), F.col("value"))
-    rows = write_and_reload(open_.filter("kind <> 'email'").select("kind", "value", of.alias("format")), "open")
-    counts = rows.groupBy("kind", "format").agg(F.count("*").alias("n"))
-    # one open value alone takes back a settled one of its format
-    single = counts.filter("n = 1").drop("n")
-    partners = settled.select("kind", "value", of.alias("format")).join(single, ["kind", "format"]).groupBy("kind", "format").agg(F.min("value").alias("value"))
-    partners = write_and_reload(partners.select("kind", "value", "format"), "partners")
-    rows = rows.unionByName(partners).join(counts, ["kind", "format"])
-    order = F.sha2(F.concat_ws("|", F.lit(KEY), F.lit("cycle"), "kind", "value").cast("binary"), 256)
-    # a large format has many cycles of about CYCLE values, so that no task orders a whole format
-    ring = F.pmod(F.xxhash64(order), F.greatest(F.lit(1).cast("long"), F.floor(F.col("n") / CYCLE)))
-    rows = rows.withColumn("ring", ring).withColumn("order", order)
-    by = Window.partitionBy("kind", "format", "ring")
-    follows = F.coalesce(F.lead("value").over(by.orderBy("order", "value")), F.first("value").over(by.orderBy("order", "value")))
-    found = write_and_reload(rows.select("kind", "value", follows.alias("surrogate")), "cycles")
-    left = found.filter("value = surrogate").select("kind", "value").unionByName(open_.filter("kind = 'email'").select("kind", "value"))
-    return settled.join(partners.select("kind", "value"), ["kind", "value"], "left_anti"), found.filter("value <> surrogate"), left
+def _spread(rows: DataFrame, *by: str) -> DataFrame:
+    """rows over as many tasks as a shuffle has, few bytes or many: what follows costs much for each row."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by)
 
 
 def values_to_surrogates(values: DataFrame, rounds: int = 64) -> DataFrame:
-    """Stored (kind, value, surrogate) for the different (kind, value): all surrogates of a kind differ.
+    """Stored (kind, value, surrogate) for the different (kind, value): all surrogates of a kind differ and none is a value.
 
-    None is a value as long as its format has free forms; see the module for what follows then.
+    Values that `STALL` rounds, or all rounds, leave open have a format without free forms; they get longer ones.
     """
-    values = write_and_reload(values.select("kind", "value"), "values")
-    draw = lambda attempt: _surrogate(F.col("kind"), F.col("value"), F.lit(attempt))
-    settled, open_ = _drawn(values, values, None, draw(0))
-    left, stalled = open_.count(), 0
-    for attempt in range(1, rounds):
-        if not left or stalled >= STALL:
-            break
-        more, open_ = _drawn(values, open_, settled, draw(attempt))
+    spark = values.sparkSession
+    values = write_and_reload(_spread(values.select("kind", "value"), "value"), "values")
+    base = shared_folder(spark, "surrogates")
+    folders: list[str] = []
+
+    def settled() -> DataFrame:
+        # one scan of all rounds, so that the plan doesn't grow with them
+        return spark.read.schema(DRAWN).parquet(*folders).filter("not again").drop("again")
+
+    def draw(open_: DataFrame, surrogate: Column) -> DataFrame:
+        """Store what open_ draws; return the rows that draw again: their surrogate is another's, or a value."""
+        drawn = write_and_reload(_spread(open_.select("kind", "value"), "value").select("kind", "value", surrogate.alias("surrogate")), "drawn")
+        winners = drawn.groupBy("kind", "surrogate").agg(F.min("value").alias("winner"))
+        taken = values.select("kind", F.col("value").alias("surrogate"))
+        if folders:
+            taken = taken.unionByName(settled().select("kind", "surrogate"))
+        # settled surrogates are no values, so a surrogate is in taken at most once
+        checked = drawn.join(winners, ["kind", "surrogate"]).join(taken.withColumn("taken", F.lit(True)), ["kind", "surrogate"], "left")
+        again = (F.col("winner") != F.col("value")) | F.col("taken").isNotNull()
+        folder = f"{base}/{len(folders)}"
+        checked.select("kind", "value", "surrogate", again.alias("again")).write.parquet(folder)
+        folders.append(folder)
+        return spark.read.schema(DRAWN).parquet(folder).filter("again").drop("again")
+
+    kind, value = F.col("kind"), F.col("value")
+    open_, left, attempt, stalled = values, -1, 0, 0
+    while left and attempt < rounds and stalled < STALL:
+        open_ = draw(open_, _surrogate(kind, value, attempt, -1))
         now = open_.count()
         stalled = stalled + 1 if now == left else 0
-        if now < left:
-            settled = settled.unionByName(more)
-        left = now
-    if not left:
-        return settled
-    settled, cycled, open_ = _cycled(open_, settled)
-    attempt = rounds
-    while not open_.isEmpty():  # the forms grow with each attempt, so this ends
-        extra = F.translate(F.substring(_hash(F.lit("longer"), F.col("kind"), F.col("value"), F.lit(str(attempt))), 1, 4 + attempt - rounds), "0123456789abcdef", "bcdfghklmnprstvz")
-        extra = F.when(F.col("kind").isin("email", "surname", "iban"), extra).otherwise(F.translate(extra, "bcdfghklmnprstvz", "0123456789012345"))
-        base = draw(attempt)
-        more, open_ = _drawn(values, open_, settled, F.when(F.col("kind") == "email", F.concat(extra, base)).otherwise(F.concat(base, extra)))
-        settled, attempt = settled.unionByName(more), attempt + 1
-    return write_and_reload(settled.unionByName(cycled), "surrogates")
+        left, attempt = now, attempt + 1
+    wide = 0
+    while left:  # the forms grow with each attempt, so this ends
+        open_ = draw(open_, _longer(kind, value, attempt, wide))
+        left, attempt, wide = open_.count(), attempt + 1, wide + 1
+    return settled()
 
 
 def mention_surrogates(mentions: DataFrame) -> DataFrame:
     """Stored (mention, n, replacement) for the different mentions (mention, n)."""
     # a kind's full pattern settles the type; mentions stand alone here, so look-arounds hold
     kind = reduce(lambda rest, k: F.when(F.col("mention").rlike(f"^(?:{k[1]})$"), k[0]).otherwise(rest), reversed(KINDS), F.lit("name"))
-    known = write_and_reload(mentions.withColumn("kind", kind).withColumn("value", _canonical(F.col("mention"), F.col("kind"))), "mentions")
+    told = _spread(mentions, "mention").withColumn("kind", kind)
+    known = write_and_reload(told.withColumn("value", _canonical(F.col("mention"), F.col("kind"))), "mentions")
     value_kind = F.when(F.col("kind") == "name", "surname").otherwise(F.col("kind"))
     table = values_to_surrogates(known.select(value_kind.alias("kind"), "value").distinct())
     names = _first_names()
     first = F.create_map(*[F.lit(x) for n, (_, m) in names.items() for x in (n, m)])
     lead, gap = F.regexp_extract("mention", r"^(\S+)(\s+)", 1), F.regexp_extract("mention", r"^(\S+)(\s+)", 2)
     last = F.regexp_extract("mention", r"(\S+)$", 1)
-    name = F.concat(F.coalesce(F.element_at(first, F.lower(lead)), lead), gap, _rendered(last, F.col("value"), F.col("surrogate")))
-    shown = F.when(F.col("kind") == "name", name).otherwise(_rendered(F.col("mention"), F.col("value"), F.col("surrogate")))
+    named = F.col("kind") == "name"
+    shown = _rendered(F.when(named, last).otherwise(F.col("mention")), F.col("value"), F.col("surrogate"))
+    shown = F.when(named, F.concat(F.coalesce(F.element_at(first, F.lower(lead)), lead), gap, shown)).when(F.col("kind") == "ip", F.col("surrogate")).otherwise(shown)
     joined = known.withColumn("of", value_kind).join(table.withColumnRenamed("kind", "of"), ["of", "value"])
     return write_and_reload(joined.select("mention", "n", shown.alias("replacement")), "replacements")
 
