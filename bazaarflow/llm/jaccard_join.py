@@ -9,7 +9,8 @@ needed from sets that have more of those than the spare; that keeps them rare (s
 
 **Candidates.** Equal sets are one node from the start. A task keeps one signature row for each
 signature and sends further members past the grouping, so even a signature of a third of all nodes
-is met by one row from each task. Signatures of one node end here.
+is met by one row from each task. Signatures of one node end here. Parts to spare mean that a similar pair shares
+several signatures (`needed`), so each node drops all but one of that many, its most frequent ones.
 
 **Links.** In a small bucket all pairs are candidates, in a large one the pairs with its most central node.
 Candidates must pass two exact bounds, on sizes and on 256-bit parity sketches (their difference never
@@ -36,7 +37,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from bazaarflow.llm import components
 from bazaarflow.llm.exact_dedup import joined
@@ -98,9 +99,7 @@ class Scheme:
             if not self.differences(2 * top):
                 continue
             n1, spare = self.layout(top)
-            dealt = elements * np.uint64(0xD6E8FEB86659FD93 + 2 * top)
-            high, low = dealt >> np.uint64(32), dealt & np.uint64(0xFFFFFFFF)
-            part = ((high * np.uint64(n1) >> np.uint64(32)) * np.uint64(self.n2) + (low * np.uint64(self.n2) >> np.uint64(32))).astype(np.int64)
+            part = self._dealt(elements, top, n1)
             sums, counts = np.zeros(n1 * self.n2, dtype=np.uint64), np.bincount(part, minlength=n1 * self.n2).reshape(n1, self.n2)
             np.add.at(sums, part, elements)
             sums = sums.reshape(n1, self.n2)
@@ -115,6 +114,27 @@ class Scheme:
             found.append(marks.ravel() if sparse else marks[full])
         return np.concatenate(found) if found else np.zeros(0, dtype=np.uint64)
 
+    def _dealt(self, elements: np.ndarray, top: int, n1: int) -> np.ndarray:
+        """The smaller part of each element in a band."""
+        dealt = elements * np.uint64(0xD6E8FEB86659FD93 + 2 * top)
+        high, low = dealt >> np.uint64(32), dealt & np.uint64(0xFFFFFFFF)
+        return ((high * np.uint64(n1) >> np.uint64(32)) * np.uint64(self.n2) + (low * np.uint64(self.n2) >> np.uint64(32))).astype(np.int64)
+
+    def needed(self, elements: np.ndarray) -> int:
+        """Signatures that a set shares at least with each different set that it reaches.
+
+        Of n1 parts, at most bare - 1 hold more than k2 differences, so spare + 1 parts share a signature each, less those
+        of the parts in which the set has an empty subset.
+        """
+        found = []
+        for top in self.bands(len(elements)):
+            if self.differences(2 * top):
+                n1, spare = self.layout(top)
+                counts = np.bincount(self._dealt(elements, top, n1), minlength=n1 * self.n2).reshape(n1, self.n2)
+                poor = int(((counts == 0).sum(axis=1) >= self.n2 - self.k2).sum())
+                found.append(max(1, spare + 1 - poor))
+        return min(found, default=1)
+
 
 @lru_cache(maxsize=64)
 def _tops_upto(ratio: float, power: int) -> np.ndarray:
@@ -177,14 +197,15 @@ def _described(texts: DataFrame, scheme: Scheme) -> tuple[DataFrame, int]:
                     held = shingle_set(text, scheme.width)
                     full = len(held) > 0
                     wide.append(sketch_of(held, WIDE_BITS) if full else None)
-                    rows.append((len(held), node_of(held, seed) if full else None, node_of(held, seed + 1) if full else None, *(int(x) for x in sketch_of(held))))
+                    nodes = [node_of(held, s) if full else None for s in (seed, seed + 1)]
+                    rows.append((len(held), *nodes, scheme.needed(held) if full else None, *(int(x) for x in sketch_of(held))))
                 columns = [*(part[c] for c in names), *(pa.array(c, pa.int64()) for c in zip(*rows)), pa.array(wide, pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays(columns, [*names, "size", "node", "other", *SKETCH, "wide"])
+                yield pa.RecordBatch.from_arrays(columns, [*names, "size", "node", "other", "need", *SKETCH, "wide"])
 
         return run
 
     for seed in range(0, 16, 2):
-        stored = write_and_reload(texts.mapInArrow(run_with(seed), f"{kinds}, size long, node long, other long, " + ", ".join(f"{s} long" for s in SKETCH) + ", wide array<long>"), "sets")
+        stored = write_and_reload(texts.mapInArrow(run_with(seed), f"{kinds}, size long, node long, other long, need long, " + ", ".join(f"{s} long" for s in SKETCH) + ", wide array<long>"), "sets")
         clash = stored.filter("node is not null").groupBy("node").agg(F.min("other").alias("a"), F.max("other").alias("b")).filter("a <> b")
         if clash.isEmpty():
             return stored, seed
@@ -277,15 +298,28 @@ class _Join:
         self.texts = _texts(docs, id_col, text_col)
         self.sets, self.seed = _described(self.texts.withColumn("sha", _sha("text")) if hashed else self.texts, scheme)
         self.nodes = self.sets.filter("node is not null").groupBy("node").agg(
-            F.min("id").alias("first_id"), F.count("*").alias("copies"), F.max("size").alias("size"), *[F.max(s).alias(s) for s in SKETCH]
+            F.min("id").alias("first_id"), F.count("*").alias("copies"), F.max("size").alias("size"), F.max("need").alias("need"), *[F.max(s).alias(s) for s in SKETCH]
         )
-        buckets = write_and_reload(_buckets(self.texts, scheme, self.seed), "buckets")
+        buckets = self._telling(write_and_reload(_buckets(self.texts, scheme, self.seed), "buckets"))
         self.shape = write_and_reload(buckets.select("node").distinct().join(self.nodes, "node"), "candidates")
         chosen = self.shape.select("node", F.col("first_id").alias("id"))
         same = self.sets["node"].eqNullSafe(chosen["node"]) & self.sets["id"].eqNullSafe(chosen["id"])
         self.wide = write_and_reload(self.sets.join(chosen, same, "left_semi").select("node", "size", "wide").dropDuplicates(["node"]), "sketches")
+        self.members = write_and_reload(buckets.join(self.shape.select("node", "size", *SKETCH), "node"), "members")
+
+    def _telling(self, buckets: DataFrame) -> DataFrame:
+        """Stored (sig, node, members) of the signatures by which links are still found, the rarest ones.
+
+        A node that shares `need` signatures with each partner leaves out the need - 1 most frequent ones: in one order
+        of all signatures, both of a pair then still have the pair's first shared one. Nodes with fewer have no partner.
+        """
         sizes = buckets.groupBy("sig").agg(F.count("*").alias("members"))
-        self.members = write_and_reload(buckets.join(sizes, "sig").join(self.shape.select("node", "size", *SKETCH), "node"), "members")
+        own = Window.partitionBy("node")
+        told = buckets.join(sizes, "sig").join(self.nodes.select("node", "need"), "node")
+        placed = told.withColumn("place", F.row_number().over(own.orderBy("members", "sig"))).withColumn("held", F.count("*").over(own))
+        kept = write_and_reload(placed.filter("place <= held - need + 1").select("sig", "node"), "telling")
+        left = kept.groupBy("sig").agg(F.count("*").alias("members")).filter("members > 1")
+        return write_and_reload(kept.join(left, "sig"), "buckets")
 
     def bodies(self, wanted: DataFrame) -> DataFrame:
         """Stored (node, zipped text) of the wanted nodes."""
