@@ -14,7 +14,7 @@ several signatures (`needed`), so each node drops all but one of that many, its
 
 **Links.** In a small bucket all pairs are candidates, in a large one the pairs with its most central node.
 Candidates must pass two exact bounds, on sizes and on 256-bit parity sketches (their difference never
-exceeds the sets' difference), then the same with 1024 bits. Each node is compared with its most linked candidate first, then the
+exceeds the sets' difference), then the same with 1024 bits and, for long sets, with four bits an element. Each node is compared with its most linked candidate first, then the
 candidates whose nodes are still in different components. Large buckets that are still split compare
 members of different components, in blocks of bounded size.
 
@@ -51,6 +51,7 @@ FLUSH = 1_000_000
 BLOCK, STRAYS = 2048, 512
 SKETCH = ["s0", "s1", "s2", "s3"]
 WIDE_BITS = 1024
+DEEP = 4  # bits for each element of a long set's sketch, at least
 TOLD = 500_000  # nodes whose numbers are broadcast at most
 
 
@@ -165,6 +166,22 @@ def sketch_of(elements: np.ndarray, bits: int = 256) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
+def deep_sketch(elements: np.ndarray) -> np.ndarray | None:
+    """A sketch in proportion to the set, where WIDE_BITS are too few to tell sets apart."""
+    bits = 1 << (DEEP * len(elements) - 1).bit_length() if len(elements) else 0
+    return sketch_of(elements, bits) if bits > WIDE_BITS else None
+
+
+def _bits_apart(a: Column, b: Column) -> Column:
+    """Bits in which two sketches differ; the longer one is folded to the length of the shorter."""
+    least = F.least(F.size(a), F.size(b))
+    xor = lambda x, y: x.bitwiseXOR(y)
+    folded = lambda s: F.aggregate(
+        F.sequence(F.lit(0), (F.size(s) / least).cast("int") - 1), F.array_repeat(F.lit(0).cast("long"), least), lambda acc, i: F.zip_with(acc, F.slice(s, i * least + 1, least), xor)
+    )
+    return F.aggregate(F.zip_with(folded(a), folded(b), lambda x, y: F.bit_count(xor(x, y))), F.lit(0), lambda n, x: n + x)
+
+
 def _differing(pairs) -> np.ndarray:
     """Bits in which the words of two sketches differ; the words are signed in Spark."""
     return sum(np.bitwise_count((a ^ b).view(np.uint64)).astype(np.int64) for a, b in pairs)
@@ -192,20 +209,21 @@ def _described(texts: DataFrame, scheme: Scheme) -> tuple[DataFrame, int]:
     def run_with(seed: int):
         def run(batches):
             for part in _parts(batches):
-                rows, wide = [], []
+                rows, wide, deep = [], [], []
                 for text in part["text"].to_pylist():
                     held = shingle_set(text, scheme.width)
                     full = len(held) > 0
                     wide.append(sketch_of(held, WIDE_BITS) if full else None)
+                    deep.append(deep_sketch(held))
                     nodes = [node_of(held, s) if full else None for s in (seed, seed + 1)]
                     rows.append((len(held), *nodes, scheme.needed(held) if full else None, *(int(x) for x in sketch_of(held))))
-                columns = [*(part[c] for c in names), *(pa.array(c, pa.int64()) for c in zip(*rows)), pa.array(wide, pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays(columns, [*names, "size", "node", "other", "need", *SKETCH, "wide"])
+                columns = [*(part[c] for c in names), *(pa.array(c, pa.int64()) for c in zip(*rows)), *(pa.array(c, pa.list_(pa.int64())) for c in (wide, deep))]
+                yield pa.RecordBatch.from_arrays(columns, [*names, "size", "node", "other", "need", *SKETCH, "wide", "deep"])
 
         return run
 
     for seed in range(0, 16, 2):
-        stored = write_and_reload(texts.mapInArrow(run_with(seed), f"{kinds}, size long, node long, other long, need long, " + ", ".join(f"{s} long" for s in SKETCH) + ", wide array<long>"), "sets")
+        stored = write_and_reload(texts.mapInArrow(run_with(seed), f"{kinds}, size long, node long, other long, need long, " + ", ".join(f"{s} long" for s in SKETCH) + ", wide array<long>, deep array<long>"), "sets")
         clash = stored.filter("node is not null").groupBy("node").agg(F.min("other").alias("a"), F.max("other").alias("b")).filter("a <> b")
         if clash.isEmpty():
             return stored, seed
@@ -304,7 +322,7 @@ class _Join:
         self.shape = write_and_reload(buckets.select("node").distinct().join(self.nodes, "node"), "candidates")
         chosen = self.shape.select("node", F.col("first_id").alias("id"))
         same = self.sets["node"].eqNullSafe(chosen["node"]) & self.sets["id"].eqNullSafe(chosen["id"])
-        self.wide = write_and_reload(self.sets.join(chosen, same, "left_semi").select("node", "size", "wide").dropDuplicates(["node"]), "sketches")
+        self.wide = write_and_reload(self.sets.join(chosen, same, "left_semi").select("node", "size", "wide", "deep").dropDuplicates(["node"]), "sketches")
         self.members = write_and_reload(buckets.join(self.shape.select("node", "size", *SKETCH), "node"), "members")
 
     def _telling(self, buckets: DataFrame) -> DataFrame:
@@ -350,11 +368,14 @@ class _Join:
         return pairs.join(side("u"), "u").join(side("v"), "v").filter(_passes(self.scheme, "u_", "v_")).select("u", "v")
 
     def closer(self, pairs: DataFrame) -> DataFrame:
-        """The pairs that also pass the bound on wide sketches, which are too large to travel with signatures."""
-        side = lambda x: self.wide.select(F.col("node").alias(x), F.col("size").alias(f"{x}_size"), F.col("wide").alias(f"{x}_wide"))
-        differ = F.aggregate(F.zip_with("u_wide", "v_wide", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda n, x: n + x)
-        most = (F.col("u_size") + F.col("v_size")) * (self.scheme.whole - self.scheme.share)
-        return pairs.join(side("u"), "u").join(side("v"), "v").filter(differ * (self.scheme.whole + self.scheme.share) <= most).select("u", "v")
+        """The pairs that also pass the bound on wide sketches, then on those in proportion to long sets: too large to travel with signatures."""
+        for kind in ("wide", "deep"):
+            side = lambda x: self.wide.select(F.col("node").alias(x), F.col("size").alias(f"{x}_size"), F.col(kind).alias(f"{x}_{kind}"))  # noqa: B023, E731
+            u, v = F.col(f"u_{kind}"), F.col(f"v_{kind}")
+            most = (F.col("u_size") + F.col("v_size")) * (self.scheme.whole - self.scheme.share)
+            near = _bits_apart(u, v) * (self.scheme.whole + self.scheme.share) <= most
+            pairs = pairs.join(side("u"), "u").join(side("v"), "v").filter(u.isNull() | v.isNull() | near).select("u", "v")
+        return pairs
 
     def links(self, pairs: DataFrame, bodies: DataFrame) -> DataFrame:
         """Stored links among candidate pairs (u, v)."""

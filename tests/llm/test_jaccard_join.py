@@ -147,3 +147,16 @@ def test_one_row_of_a_component_stays_where_ids_are_null_or_repeat(spark):
     assert sum(n for (i, t), n in found.items() if t and t.startswith("n0")) == 1 and sum(found.values()) == 9
     assert all(rows[r.more] == (r.doc_id, r.text) for r in kept)
     assert jj.representatives(docs.limit(0)).count() == 0
+
+
+def test_sketches_of_long_sets_differ_at_most_by_the_difference(spark):
+    rng = np.random.default_rng(3)
+    pool = np.unique(rng.integers(0, 2**63, 6000, dtype=np.uint64))
+    sets = [pool[:2000], pool[150:2100], pool[:1700], pool[1000:3000], pool[:600], pool[:5000]]
+    pairs = [(i, j, *(jj.deep_sketch(x).tolist() for x in (sets[i], sets[j]))) for i in range(6) for j in range(6)]
+    frame = spark.createDataFrame(pairs, "i int, j int, a array<long>, b array<long>").select("i", "j", jj._bits_apart(jj.F.col("a"), jj.F.col("b")).alias("bits"))
+    bits = {(r.i, r.j): r.bits for r in frame.collect()}
+    for (i, j), found in bits.items():
+        apart = len(np.setxor1d(sets[i], sets[j]))
+        assert found <= apart and found % 2 == apart % 2 and found == bits[j, i]
+    assert bits[0, 3] > 1200 and jj.deep_sketch(pool[:256]) is None and jj.deep_sketch(pool[:0]) is None
