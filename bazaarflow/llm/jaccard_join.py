@@ -561,6 +561,7 @@ def representatives(docs: DataFrame, scheme: Scheme = Scheme(), id_col: str = "d
     found = joined(rows.select("id", digest.alias("digest")), several, run.sets.count())
     gone_id, gone_sha, near_sha = free(docs, "gone_id", "gone_sha", "near_sha")
     gone = found.filter(~F.col("id").eqNullSafe(F.col("keep_id"))).select(F.col("id.id").alias(gone_id), F.col("id.sha").alias(gone_sha)).distinct()
+    gone = write_and_reload(gone, "gone")  # its size is known then, so Spark shuffles the texts only where it is large
     keyed = docs.withColumn(near_sha, _sha(text_col))
     same_row = F.col(id_col).eqNullSafe(F.col(gone_id)) & (F.col(near_sha) == F.col(gone_sha))
     left = keyed.join(gone, same_row, "left_anti")
