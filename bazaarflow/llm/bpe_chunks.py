@@ -31,6 +31,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from bazaarflow.llm import worker_memory
+
 CHUNK = 1024
 WORDS_KEPT = 300_000
 CHUNK_BYTES_KEPT = 48 << 20
@@ -212,14 +214,12 @@ class Encoder:
         return " ".join(map(self.tokens.__getitem__, ids.tolist()))
 
 
-_ENCODERS: dict[str, Encoder] = {}
-
-
 def _encoder(path: str) -> Encoder:
-    """The worker's encoder, kept between tasks."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+    """The worker's encoder, kept between tasks of this operator."""
+    encoders = worker_memory.kept("bpe")
+    if path not in encoders:
+        encoders[path] = Encoder(path)
+    return encoders[path]
 
 
 def encoded(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:

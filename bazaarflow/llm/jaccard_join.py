@@ -39,7 +39,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from bazaarflow.llm import components
+from bazaarflow.llm import components, worker_memory
 from bazaarflow.llm.exact_dedup import joined
 from bazaarflow.llm.hashing import mix
 from bazaarflow.llm.names import free
@@ -208,6 +208,7 @@ def _described(texts: DataFrame, scheme: Scheme) -> tuple[DataFrame, int]:
 
     def run_with(seed: int):
         def run(batches):
+            worker_memory.kept("jaccard")
             for part in _parts(batches):
                 rows, wide, deep = [], [], []
                 for text in part["text"].to_pylist():
@@ -234,6 +235,7 @@ def _buckets(texts: DataFrame, scheme: Scheme, seed: int) -> DataFrame:
     """Stored (sig, node) of all signatures that at least two nodes share."""
 
     def sign(batches):
+        worker_memory.kept("jaccard")
         seen: set[int] = set()
         sigs, nodes, held = [], [], 0
 

@@ -26,6 +26,7 @@ from pyspark.ml.classification import LinearSVC
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, functions as F
 
+from bazaarflow.llm import worker_memory
 from bazaarflow.session import write_and_reload
 
 SAMPLE = 1_500
@@ -133,6 +134,7 @@ def training_sample(docs: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id
 
 
 def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    worker_memory.kept("language")
     for batch in batches:
         for part in (batch.slice(i, 200) for i in range(0, batch.num_rows, 200)):
             rows = [(lang, features(text).tolist()) for lang, text in zip(part["lang"].to_pylist(), part["text"].to_pylist()) if has_letter(text)]
@@ -165,6 +167,7 @@ def predictions(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col:
     """(id, lang_pred, score) for every row of docs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_memory.kept("language")
         for batch in batches:
             for part in (batch.slice(i, 256) for i in range(0, batch.num_rows, 256)):
                 texts = part["text"].to_pylist()
@@ -183,6 +186,7 @@ def accepted(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
     """The rows of docs, all columns, in whose text a language can be recognised."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_memory.kept("language")
         for batch in batches:
             for part in (batch.slice(i, 256) for i in range(0, batch.num_rows, 256)):
                 texts = part[text_col].to_pylist()
