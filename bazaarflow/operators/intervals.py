@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from bazaarflow.functions.numbers import rounded
-from bazaarflow.operators.quantiles import exact_quantiles
+from bazaarflow.operators.quantiles import rolled_quantiles
 
 # Levels from the finest to the coarsest and the columns that form their key.
 LEVELS = {
@@ -23,17 +23,12 @@ def interval_key(level: str) -> Column:
 
 def interval_quantiles(predictions: DataFrame, coverage: float, minimum_samples: dict) -> DataFrame:
     """Lower and upper residual per level and key; thin groups are left out, the global one never."""
-    keys = F.array(*(
-        F.struct(F.lit(level).alias("level"), interval_key(level).alias("interval_key"))
-        for level in LEVELS
-    ))
     residuals = predictions.select(
-        (F.col("actual") - F.col("prediction")).alias("residual"), F.inline(keys)
+        (F.col("actual") - F.col("prediction")).alias("residual"), *sorted({c for columns in LEVELS.values() for c in columns})
     )
     alpha = (1.0 - coverage) / 2.0
-    table = exact_quantiles(
-        residuals, ["level", "interval_key"], "residual",
-        {"lower_residual": alpha, "upper_residual": 1.0 - alpha},
+    table = rolled_quantiles(
+        residuals, LEVELS, "residual", {"lower_residual": alpha, "upper_residual": 1.0 - alpha}, interval_key
     )
     enough = F.col("level") == "__global__"
     for level, size in minimum_samples.items():

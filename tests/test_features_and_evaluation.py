@@ -9,7 +9,7 @@ from bazaarflow.operators import evaluate as E
 from bazaarflow.operators import features as X
 from bazaarflow.operators import intervals as I
 from bazaarflow.operators import model as M
-from bazaarflow.operators.quantiles import exact_quantiles
+from bazaarflow.operators.quantiles import exact_quantiles, rolled_quantiles
 from bazaarflow.settings import DEFAULTS
 
 MODEL = DEFAULTS.model
@@ -148,6 +148,21 @@ def test_quantiles_match_numpy_with_ties_skew_and_negative_values(spark):
             assert rows[name][column] == pytest.approx(np.quantile(values, p), rel=1e-12, abs=1e-12)
 
 
+def test_rolled_quantiles_equal_those_of_each_level(spark):
+    rng = np.random.default_rng(5)
+    rows = [(f"m{i % 7}", "ab"[i % 2], int(i % 3), None if i % 11 == 0 else "v", 0.0 if i % 3 else float(rng.normal(0, 500))) for i in range(3000)]
+    frame = spark.createDataFrame([*rows, ("m0", "a", 0, "v", None)], "market string, crop string, lead int, bucket string, v double").repartition(5)
+    levels = {"market": ("market", "lead", "bucket"), "crop": ("crop", "lead", "bucket"), "lead": ("lead",), "all": ()}
+    key = lambda level: F.concat_ws("|", F.lit(level), *(F.col(c).cast("string") for c in levels[level]))
+    wanted = {"low": 0.1, "mid": 0.5, "high": 0.9}
+    found = rolled_quantiles(frame, levels, "v", wanted, key)
+    each = [exact_quantiles(frame.withColumn("level", F.lit(x)).withColumn("interval_key", key(x)), ["level", "interval_key"], "v", wanted) for x in levels]
+    expected = {(r.level, r.interval_key): r for part in each for r in part.collect()}
+    rows = {(r.level, r.interval_key): r for r in found.collect()}
+    assert rows == expected and len(rows) > 40
+    assert rolled_quantiles(frame.limit(0), levels, "v", wanted, key).count() == 0
+
+
 def test_folds_and_summary_agree(series):
     frame = series(range(10, 400)).withColumn("coverage_tier", F.lit("high"))
     last = X.latest_target_date(frame, MODEL)
