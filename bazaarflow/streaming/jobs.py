@@ -37,6 +37,11 @@ def deduplicated_stream(reports: DataFrame, event_time: str, delay: str) -> Data
     return reports.withWatermark(event_time, delay).dropDuplicatesWithinWatermark(list(DUPLICATE_KEY))
 
 
+def held_keys(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """The keys that a finished stream's duplicate removal still holds, read from its state store."""
+    return spark.read.format("statestore").load(checkpoint).select("key.*")
+
+
 def daily_stream(events: DataFrame, event_time: str, delay: str, keys: Sequence[str], value: str) -> DataFrame:
     """Per UTC day and key: count, lowest, highest and total value. Sums are exact decimals."""
     return (

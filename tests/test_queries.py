@@ -123,6 +123,14 @@ def test_windows_share_one_exchange(spark, series):
     assert executed.count("Exchange hashpartitioning") == 1 and executed.count("Sort [") == 1, plan
 
 
+def test_late_rows_are_dropped_and_state_is_released(spark):
+    """Rows behind the watermark go even if their keys are new; the state ends with the last days only."""
+    days = entry.queries()["stream_late_rows"](spark, "/root/testdata/sf0.001").orderBy("date").collect()
+    assert sum(d.sent for d in days) > sum(d.kept for d in days) > 0
+    assert all(d.held == 0 for d in days if (days[-1].date - d.date).days >= 4)
+    assert 0 < sum(d.held for d in days) <= sum(d.kept for d in days[-4:])
+
+
 def test_streams_read_folder_tables(spark, tmp_path):
     """A table may be a folder of files; the streams give the same rows as from one file."""
     import os
