@@ -13,6 +13,8 @@ SPACES = (
     r"[\x09-\x0D\x1C-\x1F\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}"
     r"\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
 )
+# Fixed value: the first of the 6,400 characters that Unicode leaves to private use, none of which has a decomposition.
+_PRIVATE = 0xE000
 
 
 @lru_cache(maxsize=1)
@@ -68,16 +70,28 @@ def slug(text: Column) -> Column:
 
 
 def ascii_slug(text: Column) -> Column:
-    """Slug over compatibility decomposition: ligatures and wide letters are spelled out, an accent separates, as its mark is not a letter."""
+    """Slug over compatibility decomposition: ligatures and wide letters are spelled out, an accent separates, as its mark is not a letter.
+
+    Every character is looked up once, in `translate`. A regular expression over the thousands of characters would try
+    them one after the other, so accented letters and those of several letters first become characters of one private
+    range, which an expression finds by two comparisons. Private characters of the text itself only separate.
+    """
     plain, marked, longer = decompositions()
-    spelled = F.create_map(*(F.lit(x) for pair in longer.items() for x in pair))
-    # characters of several letters are rare, and only texts that hold one are taken apart
-    by_character = F.array_join(F.transform(F.split(text, ""), lambda c: F.coalesce(F.try_element_at(spelled, c), c)), "")
-    whole = F.when(text.rlike(f"[{''.join(longer)}]"), by_character).otherwise(text)
-    spread = F.regexp_replace(whole, f"([{''.join(marked)}])", "$1-")
-    one = {**plain, **{c: x[0] for c, x in marked.items()}}
-    dashed = F.regexp_replace(F.lower(F.translate(spread, "".join(one), "".join(one.values()))), "[^a-z0-9]+", "-")
-    return F.regexp_replace(dashed, "(^-|-$)", "")
+    letters = sorted(set(marked.values()))
+    accented = {x: chr(_PRIVATE + i) for i, x in enumerate(letters)}
+    spelled = {chr(_PRIVATE + len(letters) + i): c for i, c in enumerate(longer)}
+    first, second, last = (chr(_PRIVATE + n - 1) for n in (1, len(letters) + 1, len(letters) + len(longer)))
+    own = {chr(code): "-" for code in range(_PRIVATE, _PRIVATE + len(letters) + len(longer))}
+    one = {**own, **plain, **{c: accented[x] for c, x in marked.items()}, **{c: s for s, c in spelled.items()}}
+    single = F.translate(text, "".join(one), "".join(one.values()))
+    dashed = F.regexp_replace(single, f"([{first}-{accented[letters[-1]]}])", "$1-")
+    dashed = F.translate(dashed, "".join(accented.values()), "".join(x[0] for x in letters))
+    # only texts that hold a character of several letters are taken apart, into such characters and the runs between them
+    long_one, names = f"[{second}-{last}]", F.create_map(*(F.lit(x) for s, c in spelled.items() for x in (s, longer[c])))
+    runs = F.regexp_extract_all(dashed, F.lit(f"({long_one}|[^{second}-{last}]+)"), F.lit(1))
+    by_run = F.array_join(F.transform(runs, lambda run: F.when(run.rlike(long_one), F.try_element_at(names, run)).otherwise(run)), "")
+    whole = F.when(dashed.rlike(long_one), by_run).otherwise(dashed)
+    return F.btrim(F.regexp_replace(F.lower(whole), "[^a-z0-9]+", "-"), F.lit("-"))
 
 
 def derived_market_id(state_id: Column, market_name: Column) -> Column:

@@ -106,3 +106,13 @@ def test_rounding_takes_numbers_of_any_size(spark):
     frame = spark.createDataFrame([(v,) for v in values], "v double")
     found = [r[0] for r in frame.select(numbers.rounded(F.col("v"), 2)).collect()]
     assert found == [2.35, -2.35, 1e11 + 0.13, 3e12 + 0.13, 1e200, float("inf"), None]
+
+
+def test_ascii_slug_looks_characters_up_instead_of_trying_them(spark):
+    """No expression lists characters one by one; characters of the private range, used inside, only separate."""
+    import re
+
+    frame = spark.createDataFrame([("abcd",), ("",), ("éé ﬁ™½Ǆ",), (None,)], "t string").select(text.ascii_slug(F.col("t")).alias("s"))
+    classes = re.findall(r"\[[^\[\]]*\]", frame._jdf.queryExecution().analyzed().toString())
+    assert classes and max(map(len, classes)) < 20, max(classes, key=len)[:60]
+    assert [r.s for r in frame.collect()] == ["a-b-c-d", "", "e-e-fitm1-2dz", None]
