@@ -78,17 +78,21 @@ def row_count(markets: Column) -> Column:
 
 
 def market_entries(documents: DataFrame) -> DataFrame:
-    """One row per market entry. All other columns of the document are kept."""
+    """One row per market entry. All other columns of the document are kept.
+
+    Lists are unfolded with a row for empty ones, which is dropped afterwards: for a plain `posexplode` Spark adds a filter
+    on the list, which it pushes into the joins below, where every document is parsed once more for it.
+    """
     kept = [c for c in documents.columns if c not in ("markets", "success")]
     return documents.select(
-        *kept, F.posexplode("markets").alias("market_position", "entry")
-    ).select(*kept, "market_position", F.trim("entry.marketName").alias("market_raw"), "entry.dates")
+        *kept, F.posexplode_outer("markets").alias("market_position", "entry")
+    ).filter(F.col("market_position").isNotNull()).select(*kept, "market_position", F.trim("entry.marketName").alias("market_raw"), "entry.dates")
 
 
 def flattened(entries: DataFrame) -> DataFrame:
     """markets[] -> dates[] -> data[]; a date without values yields one row of nulls."""
     kept = [c for c in entries.columns if c != "dates"]
-    dated = entries.select(*kept, F.posexplode("dates").alias("date_position", "dated"))
+    dated = entries.select(*kept, F.posexplode_outer("dates").alias("date_position", "dated")).filter(F.col("date_position").isNotNull())
     valued = dated.select(
         *kept,
         "date_position",

@@ -146,3 +146,32 @@ def test_forecasts_must_share_one_date(spark):
 
     with pytest.raises(Exception, match="one comparison date"):
         common_comparison_date(spark.createDataFrame([(date(2026, 1, 1),), (date(2026, 1, 2),)], "comparison_date date")).collect()
+
+
+def test_documents_are_parsed_once_before_they_are_unfolded(spark):
+    """No filter or join condition holds the parser: such a filter parses every document one more time."""
+    import re
+
+    from bazaarflow.sources import tables as T
+
+    whole = '{"success":true,"markets":[{"marketName":" A ","dates":[{"arrivalDate":"2-1-2026","data":[]},{"arrivalDate":"2026-01-03"}]},{"marketName":"B"},{"marketName":"C","dates":[]}]}'
+    texts = spark.createDataFrame([(1, whole), (2, '{"markets":[]}'), (3, "{}"), (4, None)], "place long, document string")
+    named = spark.createDataFrame([(i, f"n{i}") for i in range(1, 5)], "key long, name string")
+    documents = T.parsed_documents(texts.join(named, F.col("place") == F.col("key")))
+    flat = raw_json.flattened(raw_json.market_entries(documents))
+    plan = flat._jdf.queryExecution().optimizedPlan().toString()
+    assert "from_json" in plan
+    assert not re.search(r"^[\s:+-]*(Filter|Join)\b.*from_json", plan, re.M)
+    rows = [(r.name, r.market_raw, r.date_position, str(r.date), r.variety) for r in flat.collect()]
+    assert sorted(rows) == [("n1", "A", 0, "2026-01-02", "Unspecified"), ("n1", "A", 1, "2026-01-03", "Unspecified")]
+
+
+def test_dates_and_numbers_take_and_refuse_the_same_spellings(spark):
+    from bazaarflow.functions import dates, numbers
+
+    spelled = ["0005-3-2020", "-0005-3-2", "+12020-1-2", "2020-1-5", "5-1-2020", "5/1/2020", "0005/1/2020", "1/2-2020", "5-1-0020", "12345-1-1", "", " ", None]
+    frame = spark.createDataFrame([(s,) for s in spelled], "t string")
+    plain = F.coalesce(*(F.try_to_date(F.trim("t"), form) for form in dates.DATE_FORMATS))
+    assert frame.filter(~dates.parse_report_date(F.col("t")).eqNullSafe(plain)).count() == 0
+    values = spark.createDataFrame([("1e999",), ("-1e999",), ("-0.0",), ("1e308",), ("x",), (None,)], "t string").select(numbers.parse_number(F.col("t")))
+    assert [r[0] for r in values.collect()] == [None, None, 0.0, 1e308, None, None]
