@@ -175,3 +175,20 @@ def test_dates_and_numbers_take_and_refuse_the_same_spellings(spark):
     assert frame.filter(~dates.parse_report_date(F.col("t")).eqNullSafe(plain)).count() == 0
     values = spark.createDataFrame([("1e999",), ("-1e999",), ("-0.0",), ("1e308",), ("x",), (None,)], "t string").select(numbers.parse_number(F.col("t")))
     assert [r[0] for r in values.collect()] == [None, None, 0.0, 1e308, None, None]
+
+
+def test_manifest_texts_are_measured_before_they_meet_the_manifest(spark, tmp_path):
+    """Sizes and hashes are joined, not the texts; every group of documents is one file, null groups too."""
+    import bazaarflow.queries as Q
+
+    kinds = "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz"
+    line = lambda order, number, month: (order, 1, 1, number, 2.0, 20.0, 0.1, 0.1, "R", "F", None if month is None else f"1996-{month:02d}-03 00:00:00")
+    lines = [line(1, 1, 1), line(1, 3, 1), line(2, 1, 2), line(1_000_001, 1, 1), line(2, 1, 2), line(3, 1, None)]
+    spark.createDataFrame(lines, kinds.replace("timestamp_ntz", "string")).withColumn("l_shipdate", F.col("l_shipdate").cast("timestamp_ntz")).write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(1, "s", 1)], "s_suppkey long, s_name string, s_nationkey int").write.parquet(f"{tmp_path}/supplier.parquet")
+    spark.createDataFrame([(1, "n", 4)], "n_nationkey int, n_name string, n_regionkey int").write.parquet(f"{tmp_path}/nation.parquet")
+    found = Q.load()[0]["src_manifest_files"](spark, str(tmp_path))
+    rows = sorted((r.source_month, r.chunk, r.record_count, r.same_bytes, r.same_hash) for r in found.collect())
+    assert rows == [("1996-01", 0, 3, True, True), ("1996-01", 1, 1, True, True), ("1996-02", 0, 2, True, True)]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Join") < plan.index("sha2(cast(concat(text")
