@@ -342,7 +342,10 @@ class _Join:
         return write_and_reload(kept.join(left, "sig"), "buckets")
 
     def bodies(self, wanted: DataFrame) -> DataFrame:
-        """Stored (node, zipped text) of the wanted nodes."""
+        """Stored (node, zipped text) of the wanted nodes, all of them candidates.
+
+        A node's smallest id leads to a row of it, and to others where ids repeat, so nodes are still looked at.
+        """
         scheme, seed = self.scheme, self.seed
 
         def run(batches):
@@ -358,10 +361,12 @@ class _Join:
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], ["node", "body"])
 
-        zipped = self.texts.select("text").mapInArrow(run, "node long, body binary")
-        wanted = write_and_reload(wanted, "wanted")
-        if wanted.count() <= TOLD:  # 8 bytes each; tasks then keep the wanted texts only, beyond that all are shuffled
-            wanted = F.broadcast(wanted)
+        wanted, texts = write_and_reload(wanted, "wanted"), self.texts
+        if wanted.count() <= TOLD:  # a node and an id each; tasks then cut only wanted texts into words and keep those, beyond that all are shuffled
+            held = self.shape.join(wanted, "node", "left_semi").select(F.col("first_id").alias("held_id")).distinct()
+            held = F.broadcast(write_and_reload(held, "held"))
+            texts, wanted = texts.join(held, texts["id"].eqNullSafe(held["held_id"]), "left_semi"), F.broadcast(wanted)
+        zipped = texts.select("text").mapInArrow(run, "node long, body binary")
         return write_and_reload(zipped.join(wanted, "node", "left_semi").dropDuplicates(["node"]), "bodies")
 
     def bounded(self, pairs: DataFrame) -> DataFrame:

@@ -160,3 +160,25 @@ def test_sketches_of_long_sets_differ_at_most_by_the_difference(spark):
         apart = len(np.setxor1d(sets[i], sets[j]))
         assert found <= apart and found % 2 == apart % 2 and found == bits[j, i]
     assert bits[0, 3] > 1200 and jj.deep_sketch(pool[:256]) is None and jj.deep_sketch(pool[:0]) is None
+
+
+def test_only_wanted_texts_are_cut_into_words_again(spark, monkeypatch):
+    """Bodies come from rows whose id leads to a wanted node; ids that repeat or are null lose none."""
+    words = [f"w{i}" for i in range(60)]
+    near = lambda n: " ".join([*words[:-1], f"x{n}"])
+    rows = [(1, near(1)), (1, "alone one two three"), (None, near(2)), (None, near(3)), (7, near(1)), (8, "other words that meet nothing"), (9, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    plans, plain = [], jj.write_and_reload
+
+    def noted(frame, purpose):
+        if purpose == "bodies":
+            plans.append(frame._jdf.queryExecution().optimizedPlan().toString())
+        return plain(frame, purpose)
+
+    monkeypatch.setattr(jj, "write_and_reload", noted)
+    run = jj._Join(docs, jj.Scheme(), "doc_id", "text")
+    nodes = run.shape.select("node")
+    assert run.bodies(nodes).count() == nodes.count() == 3
+    assert plans and all(p.rindex("LeftSemi") > p.index("MapInArrow") for p in plans)
+    found = sorted((r.id is None, r.id or 0, r.size, r.component_id) for r in jj.linked(docs).collect())
+    assert found == [(False, 1, 1, 1), (False, 1, 56, 1), (False, 7, 56, 1), (False, 8, 1, 8), (False, 9, 0, 9), (True, 0, 56, 1), (True, 0, 56, 1)]
