@@ -29,6 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from bazaarflow.llm import worker_memory
@@ -58,9 +59,8 @@ def cuts(raw: bytes, average: int = CHUNK) -> list[int]:
     return [*found, len(raw)]
 
 
-def _settled(char: str) -> bool:
-    """A Latin letter or digit that stays one under the tokenizer's normalisation."""
-    return char.isalnum() and char < "\u0250" and len(char.lower()) == 1
+#: Latin letters and digits that stay one under the tokenizer's normalisation
+_SETTLED = frozenset(c for c in map(chr, range(0x250)) if c.isalnum() and len(c.lower()) == 1)
 
 
 class _Chunk:
@@ -93,6 +93,7 @@ class Encoder:
         #: lower-cased; they are found in the text as it is, so words that might hold one are not changed or cut
         self.added = [t.content.lower() for t in self.library.get_added_tokens_decoder().values()]
         self.tokens = [self.library.id_to_token(i) for i in range(self.library.get_vocab_size(with_added_tokens=True))]
+        self.vocabulary = pa.array(self.tokens, pa.large_string())
 
     def _encoded(self, texts: list[str]) -> list[bytes]:
         done = self.library.encode_batch_fast(texts, add_special_tokens=False)
@@ -136,23 +137,36 @@ class Encoder:
             young.update(back)
             look.update(back)
             rest -= back.keys()
-        plain: dict[str, tuple[str, str]] = {}
+        # words hold no line break, so an added token in none of them joined is in no word
+        joined = "\n".join(rest).lower()
+        added = [t for t in self.added if t in joined]
+        plain: list[tuple[str, str, str]] = []
+        parts: set[str] = set()
         for word in rest:
             core = word.rstrip(_MARKS)
-            lower = word.lower()
-            special = any(t in lower for t in self.added)
-            if special or not core or not _settled(core[-1]):
+            special = False
+            if added:
+                lower = word.lower()
+                special = any(t in lower for t in added)
+            if special or not core or core[-1] not in _SETTLED:
                 core = word
             marks = word[len(core) :]
-            plain[word] = (core.lower() if core.isascii() and self.ignores_case and not special else core), marks
-        fresh = list({part for pair in plain.values() for part in pair if part and part not in young and part not in old})
+            if self.ignores_case and not special and core.isascii():
+                core = core.lower()
+            plain.append((word, core, marks))
+            parts.add(core)
+            if marks:
+                parts.add(marks)
+        known = {part: young[part] for part in parts & young.keys()}
+        if old:
+            known.update((part, old[part]) for part in (parts - known.keys()) & old.keys())
+        fresh = list(parts - known.keys())
         ids = dict(zip(fresh, self._encoded(fresh)))
-        ids[""] = b""
-        known = lambda part: ids[part] if part in ids else young[part] if part in young else old[part]
-        found = {word: known(core) + known(marks) for word, (core, marks) in plain.items()}
+        known.update(ids)
+        found = {word: known[core] + known[marks] if marks else known[core] for word, core, marks in plain}
         look.update(found)
-        for new in (ids, found):
-            young.update((w, i) for w, i in new.items() if w and len(w) <= _WORD_BYTES)
+        ids.update(found)
+        young.update(ids if max(map(len, ids), default=0) <= _WORD_BYTES else {w: i for w, i in ids.items() if len(w) <= _WORD_BYTES})
         return look
 
     def _word(self, word: str) -> bytes:
@@ -213,6 +227,11 @@ class Encoder:
     def decode(self, ids: np.ndarray) -> str:
         return " ".join(map(self.tokens.__getitem__, ids.tolist()))
 
+    def decode_all(self, flat: np.ndarray, ends: np.ndarray) -> pa.Array:
+        """Decoded texts of many lists of ids, end to end in flat; ends begin with 0."""
+        tokens = pa.LargeListArray.from_arrays(pa.array(ends, pa.int64()), self.vocabulary.take(pa.array(flat)))
+        return pc.binary_join(tokens, pa.scalar(" ", pa.large_string())).cast(pa.string())
+
 
 def _encoder(path: str) -> Encoder:
     """The worker's encoder, kept between tasks of this operator."""
@@ -233,7 +252,7 @@ def encoded(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
                 ends = np.concatenate(([0], np.cumsum([len(x) for x in ids]))).astype(np.int32)
                 flat = np.concatenate(ids) if ids else np.zeros(0, dtype=np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat, pa.int32()))
-                decoded = pa.array([encoder.decode(x) for x in ids], pa.string())
+                decoded = encoder.decode_all(flat, ends)
                 yield pa.RecordBatch.from_arrays([part["id"], lists, decoded, *[part[c] for c in carry]], ["id", "ids", "decoded", *carry])
 
     narrow = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), *carry)

@@ -1,3 +1,4 @@
+import numpy as np
 import pytest
 from hypothesis import given, settings, strategies as st
 
@@ -57,3 +58,18 @@ def test_added_tokens_in_capitals_are_plain_text(encoder):
     texts = [" ".join(["start", *words[i:], *words[:i], "end"] * 3) for i in range(len(words))]
     for text, ids in zip(texts, encoder.encode(texts)):
         assert ids.tolist() == encoder.library.encode(text, add_special_tokens=False).ids
+
+
+def test_lists_decode_together_and_marked_words_are_learnt_once(encoder):
+    texts = ["", None, "Plain, words. Plain! plain", "x<|endoftext|>y. one<|STARTOFTEXT|>", "Ünï, ünï; 中文, ..."]
+    ids = encoder.encode(texts)
+    together = encoder.decode_all(np.concatenate(ids), np.concatenate(([0], np.cumsum([len(x) for x in ids]))))
+    assert together.to_pylist() == [encoder.decode(x) for x in ids]
+    assert encoder.decode_all(np.zeros(0, dtype=np.int32), np.zeros(1, dtype=np.int64)).to_pylist() == []
+    asked = []
+    library = encoder._encoded
+    encoder._encoded = lambda words: asked.extend(words) or library(words)
+    encoder._words({"Zyxone.", "zyxone!", "ZYXONE"})
+    encoder._words({"zyxone.", "Zyxone"})
+    del encoder._encoded
+    assert asked.count("zyxone") == 1
