@@ -155,13 +155,18 @@ _CHANGED = """changed as (select n.* from new_hashes n left join old_hashes o us
     where o.source_sha256 is null or o.source_sha256 <> n.source_sha256)"""
 
 
+def _by_month(reports):
+    """Dealt by month without ranges, whose sample would read and join the lines once more; large months are split."""
+    return reports.hint("rebalance", "source_month")
+
+
 def _source_versions(spark, sf):
     """The current sources, in a folder for each month, and the ledger of the earlier ones."""
     reports = T.defective_reports(spark, sf)
     folder = shared_folder(spark, "sources")
     other = F.when(F.expr(_OTHER), F.col("modal_price") + 1).otherwise(F.col("modal_price"))
     current = reports.filter(~F.expr(_GONE)).withColumn("modal_price", other)
-    current.repartitionByRange("source_month", "state_id", "commodity").write.partitionBy("source_month").parquet(folder)
+    _by_month(current).write.partitionBy("source_month").parquet(folder)
     # the folder's names would else be read as dates
     kept = spark.read.schema(current.schema).parquet(folder)
     earlier = write_and_reload(reports.filter(~F.expr(_NEW)), "sources")

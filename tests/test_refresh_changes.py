@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from bazaarflow.operators.upsert import changed_keys, content_hashes
 from bazaarflow.plans import refresh
+from bazaarflow.queries.reports import _by_month
 from bazaarflow.settings import DEFAULTS
 
 REPORT = """line long, state_id long, state string, district string, market_id string, market string, commodity string, variety string, date date,
@@ -97,3 +98,13 @@ def test_refresh_writes_everything_and_stops_without_series(spark, tmp_path):
     with pytest.raises(RuntimeError, match="coverage rules"):
         refresh.refresh_all(spark, published, second, ["line"], replace(QUALITY, minimum_records=10_000), f"{tmp_path}/never")
     assert not (tmp_path / "never").exists()
+
+
+def test_sources_are_dealt_by_month_without_a_sample(spark, tmp_path):
+    frame = spark.createDataFrame([(i, f"2024-{i % 12 + 1:02}") for i in range(600)], "at int, source_month string")
+    dealt = _by_month(frame)
+    plan = dealt._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(source_month" in plan and "REBALANCE_PARTITIONS_BY_COL" in plan and "rangepartitioning" not in plan
+    dealt.write.partitionBy("source_month").parquet(str(tmp_path / "months"))
+    assert sorted(r.at for r in spark.read.parquet(str(tmp_path / "months")).collect()) == list(range(600))
+    assert sorted(f.name for f in (tmp_path / "months").iterdir() if f.is_dir()) == [f"source_month=2024-{m:02}" for m in range(1, 13)]
