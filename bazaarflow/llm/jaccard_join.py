@@ -427,7 +427,7 @@ class _Join:
             known = write_and_reload(components.labels(links), "labels")
         if large.isEmpty():
             return known
-        across = write_and_reload(self.closer(self._across(large, known)), "pairs")
+        across = write_and_reload(self.closer(write_and_reload(self._across(large, known), "across")), "pairs")
         if across.isEmpty():
             return known
         more = self.links(across, self.bodies(across.select(F.col("u").alias("node")).union(across.select("v")).distinct()))
@@ -470,25 +470,30 @@ class _Join:
         """Pairs of different components in the same large bucket that pass the bounds.
 
         The members outside a bucket's most frequent component are its strays. Each block has up to
-        about STRAYS strays and BLOCK members; every stray meets every member in one block.
+        about STRAYS strays and BLOCK members; every stray meets every member in one block. Sketches don't compress,
+        so members get theirs on the way to the blocks only, and each step before is stored, which ends its shuffles.
         """
         scheme = self.scheme
-        labelled = large.join(known, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        labelled = write_and_reload(large.select("sig", "node").join(known, "node", "left").withColumn("label", F.coalesce("label", "node")), "labelled")
         by_label = labelled.groupBy("sig", "label").agg(F.count("*").alias("n"))
         main = by_label.groupBy("sig").agg(F.max_by("label", "n").alias("main"), F.sum("n").alias("all"), F.max("n").alias("n"))
         split = main.filter(F.col("all") > F.col("n")).select(
             "sig", "main", F.ceil(F.col("all") / BLOCK).cast("int").alias("columns"), F.ceil((F.col("all") - F.col("n")) / STRAYS).cast("int").alias("rows")
         )
-        rows = labelled.join(split, "sig")
+        rows = write_and_reload(labelled.join(split, "sig"), "split")
         place = lambda n: F.pmod(F.xxhash64("node"), F.col(n).cast("long")).cast("int")
-        members = rows.withColumn("column", place("columns")).withColumn("row", F.explode(F.sequence(F.lit(0), F.col("rows") - 1))).withColumn("stray", F.lit(False))
-        strays = rows.filter("label <> main").withColumn("row", place("rows")).withColumn("column", F.explode(F.sequence(F.lit(0), F.col("columns") - 1))).withColumn("stray", F.lit(True))
-        names = ["sig", "row", "column", "stray", "node", "label", "size", *SKETCH]
-        blocks = members.select(names).union(strays.select(names)).repartition("sig", "row", "column").sortWithinPartitions("sig", "row", "column")
+        is_stray = F.col("label") != F.col("main")
+        # a stray is a member too; the one block that has it as both gets it once
+        members = rows.withColumn("column", place("columns")).withColumn("row", F.explode(F.sequence(F.lit(0), F.col("rows") - 1))).withColumn("member", F.lit(True)).withColumn("stray", is_stray & (F.col("row") == place("rows")))
+        strays = rows.filter(is_stray).withColumn("row", place("rows")).withColumn("column", F.explode(F.sequence(F.lit(0), F.col("columns") - 1))).filter(F.col("column") != place("columns")).withColumn("member", F.lit(False)).withColumn("stray", F.lit(True))
+        placed = ["sig", "row", "column", "member", "stray", "node", "label"]
+        names = [*placed, "size", *SKETCH]
+        met = members.select(placed).union(strays.select(placed)).join(self.shape.select("node", "size", *SKETCH), "node")
+        blocks = met.select(names).repartition("sig", "row", "column").sortWithinPartitions("sig", "row", "column")
 
         def compare(block: list[np.ndarray]):
-            stray = block[3].astype(bool)
-            a, b = [c[stray] for c in block[4:]], [c[~stray] for c in block[4:]]
+            member, stray = (c.astype(bool) for c in block[3:5])
+            a, b = [c[stray] for c in block[5:]], [c[member] for c in block[5:]]
             for at in range(0, len(a[0]), 64):
                 one = [c[at : at + 64, None] for c in a]
                 sizes = one[2] + b[2]

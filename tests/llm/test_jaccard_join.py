@@ -182,3 +182,22 @@ def test_only_wanted_texts_are_cut_into_words_again(spark, monkeypatch):
     assert plans and all(p.rindex("LeftSemi") > p.index("MapInArrow") for p in plans)
     found = sorted((r.id is None, r.id or 0, r.size, r.component_id) for r in jj.linked(docs).collect())
     assert found == [(False, 1, 1, 1), (False, 1, 56, 1), (False, 7, 56, 1), (False, 8, 1, 8), (False, 9, 0, 9), (True, 0, 56, 1), (True, 0, 56, 1)]
+
+
+def test_members_reach_their_blocks_once_and_alone(spark, monkeypatch):
+    """Sketches are shuffled to the blocks once, without the shuffles of the steps before."""
+    monkeypatch.setattr(jj, "SMALL", 1)
+    rng = random.Random(5)
+    base = [f"h{i}" for i in range(60)]
+    rows = [(i, varied(rng, base, rng.randrange(7))) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    plans, plain = [], jj.write_and_reload
+
+    def noted(frame, purpose):
+        if purpose == "across":
+            plans.append(frame._jdf.queryExecution().optimizedPlan().toString())
+        return plain(frame, purpose)
+
+    monkeypatch.setattr(jj, "write_and_reload", noted)
+    assert Counter((r.id, r.size, r.component_id) for r in jj.linked(docs).collect()) == plain_components(rows, jj.Scheme())
+    assert plans and all(p.count("RepartitionByExpression") == p.count("Join") == 1 for p in plans)
