@@ -33,7 +33,7 @@ import math
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -182,11 +182,52 @@ def _bits_apart(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(folded(a), folded(b), lambda x, y: F.bit_count(xor(x, y))), F.lit(0), lambda n, x: n + x)
 
 
+def _narrowed(sketch: Column) -> Column:
+    """A sketch folded to a fourth of its length."""
+    part = lambda i: F.slice(sketch, (F.size(sketch) / 4).cast("int") * i + 1, (F.size(sketch) / 4).cast("int"))
+    return reduce(lambda a, b: F.zip_with(a, b, lambda x, y: x.bitwiseXOR(y)), [part(i) for i in range(4)])
+
+
 def _differing(pairs) -> np.ndarray:
     """Bits in which the words of two sketches differ; the words are signed in Spark."""
     return sum(np.bitwise_count((a ^ b).view(np.uint64)).astype(np.int64) for a, b in pairs)
 
 
+class _Folds:
+    """Sketches of several lengths, 256 bits at least, as a table for each length that holds all sketches of it or longer ones folded to it."""
+
+    def __init__(self, words: np.ndarray, lengths: np.ndarray) -> None:
+        self.lengths, starts = lengths, np.cumsum(lengths) - lengths
+        self.tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        own = {int(n): np.flatnonzero(lengths == n) for n in np.unique(lengths)}
+        for least in sorted({len(SKETCH), *own}):
+            place, parts, held = np.full(len(lengths), -1, dtype=np.int64), [], 0
+            for n, rows in own.items():
+                if n >= least:
+                    whole = words[starts[rows, None] + np.arange(n)]
+                    parts.append(np.bitwise_xor.reduce(whole.reshape(len(rows), n // least, least), axis=1))
+                    place[rows] = held + np.arange(len(rows))
+                    held += len(rows)
+            self.tables[least] = place, np.concatenate(parts)
+
+    def narrow(self) -> np.ndarray:
+        """All sketches at 256 bits."""
+        place, table = self.tables[len(SKETCH)]
+        return table[place]
+
+    def differing(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Bits in which the sketches of rows i and j differ, at the length of the shorter."""
+        common, bits = np.minimum(self.lengths[i], self.lengths[j]), np.zeros(len(i), dtype=np.int64)
+        for n in np.unique(common):
+            place, table = self.tables[int(n)]
+            same = np.flatnonzero(common == n)
+            step = max(1, FLUSH // int(n))
+            for at in range(0, len(same), step):
+                cut = same[at : at + step]
+                bits[cut] = np.bitwise_count((table[place[i[cut]]] ^ table[place[j[cut]]]).view(np.uint64)).sum(axis=1, dtype=np.int64)
+        return bits
+
+
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
 
@@ -470,7 +511,8 @@ class _Join:
         """Pairs of different components in the same large bucket that pass the bounds.
 
         The members outside a bucket's most frequent component are its strays. Each block has up to
-        about STRAYS strays and BLOCK members; every stray meets every member in one block. Sketches don't compress,
+        about STRAYS strays and BLOCK members; every stray meets every member in one block. The bound needs a bit for each
+        element, or nearly all pairs of long sets pass it in every bucket that they share. Sketches don't compress,
         so members get theirs on the way to the blocks only, and each step before is stored, which ends its shuffles.
         """
         scheme = self.scheme
@@ -487,21 +529,25 @@ class _Join:
         members = rows.withColumn("column", place("columns")).withColumn("row", F.explode(F.sequence(F.lit(0), F.col("rows") - 1))).withColumn("member", F.lit(True)).withColumn("stray", is_stray & (F.col("row") == place("rows")))
         strays = rows.filter(is_stray).withColumn("row", place("rows")).withColumn("column", F.explode(F.sequence(F.lit(0), F.col("columns") - 1))).filter(F.col("column") != place("columns")).withColumn("member", F.lit(False)).withColumn("stray", F.lit(True))
         placed = ["sig", "row", "column", "member", "stray", "node", "label"]
-        names = [*placed, "size", *SKETCH]
-        met = members.select(placed).union(strays.select(placed)).join(self.shape.select("node", "size", *SKETCH), "node")
+        names = [*placed, "size", "sketch"]
+        told = self.wide.select("node", "size", _narrowed(F.coalesce("deep", "wide")).alias("sketch"))
+        met = members.select(placed).union(strays.select(placed)).join(told, "node")
         blocks = met.select(names).repartition("sig", "row", "column").sortWithinPartitions("sig", "row", "column")
 
         def compare(block: list[np.ndarray]):
             member, stray = (c.astype(bool) for c in block[3:5])
-            a, b = [c[stray] for c in block[5:]], [c[member] for c in block[5:]]
-            for at in range(0, len(a[0]), 64):
-                one = [c[at : at + 64, None] for c in a]
-                sizes = one[2] + b[2]
-                bits = _differing((one[i], b[i]) for i in range(3, 7))
-                good = (one[1] != b[1]) & scheme.bound(bits, one[2], b[2], sizes)
-                i, j = np.nonzero(good)
-                if len(i):
-                    u, v = one[0][i, 0], b[0][j]
+            node, label, size, lengths, words = block[5:]
+            folds = _Folds(words, lengths)
+            narrow = folds.narrow()
+            a, b = np.flatnonzero(stray), np.flatnonzero(member)
+            for at in range(0, len(a), 64):
+                one = a[at : at + 64, None]
+                bits = _differing((narrow[one, i], narrow[b, i]) for i in range(len(SKETCH)))
+                i, j = np.nonzero((label[one] != label[b]) & scheme.bound(bits, size[one], size[b], size[one] + size[b]))
+                i, j = a[at + i], b[j]
+                good = scheme.bound(folds.differing(i, j), size[i], size[j], size[i] + size[j])
+                if good.any():
+                    u, v = node[i[good]], node[j[good]]
                     yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], ["u", "v"])
 
         def run(batches):
@@ -510,7 +556,9 @@ class _Join:
             for batch in batches:
                 if not batch.num_rows:
                     continue
-                columns = [batch[c].to_numpy(zero_copy_only=False) for c in names]
+                columns = [batch[c].to_numpy(zero_copy_only=False) for c in names[:-1]]
+                sketch = batch["sketch"]
+                words, ends = sketch.flatten().to_numpy(), np.concatenate(([0], np.cumsum(sketch.value_lengths().to_numpy(), dtype=np.int64)))
                 new = np.flatnonzero(np.any([c[1:] != c[:-1] for c in columns[:3]], axis=0)) + 1
                 for a, b in zip([0, *new], [*new, batch.num_rows]):
                     key = tuple(c[a] for c in columns[:3])
@@ -518,7 +566,7 @@ class _Join:
                         yield from compare([np.concatenate(p) for p in zip(*held)])
                         held = []
                     now = key
-                    held.append([c[a:b] for c in columns])
+                    held.append([*(c[a:b] for c in columns), np.diff(ends[a : b + 1]), words[ends[a] : ends[b]]])
             if held:
                 yield from compare([np.concatenate(p) for p in zip(*held)])
 

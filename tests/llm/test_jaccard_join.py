@@ -201,3 +201,43 @@ def test_members_reach_their_blocks_once_and_alone(spark, monkeypatch):
     monkeypatch.setattr(jj, "write_and_reload", noted)
     assert Counter((r.id, r.size, r.component_id) for r in jj.linked(docs).collect()) == plain_components(rows, jj.Scheme())
     assert plans and all(p.count("RepartitionByExpression") == p.count("Join") == 1 for p in plans)
+
+
+def test_blocks_tell_long_sets_apart_before_their_pairs_are_sent(spark, monkeypatch):
+    """Long sets that share large buckets but are far apart leave no pair; near ones of another component do."""
+    monkeypatch.setattr(jj, "SMALL", 1)
+    rng = random.Random(8)
+    base = [f"h{i}" for i in range(1500)]
+    rows = []
+    for i in range(12):
+        words = list(base)
+        at = rng.randrange(1500)
+        for k in range(500):  # a third in one run is exchanged, so sets share most small parts by chance only
+            words[(at + k) % 1500] = f"x{i}_{k}"
+        rows.append((i, " ".join(words)))
+    rows += [(100 + i, " ".join([*base[:1400], *(f"y{i}_{k}" for k in range(100))])) for i in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    scheme = jj.Scheme()
+    run = jj._Join(docs, scheme, "doc_id", "text")
+    sets = {n.node: n.first_id for n in run.nodes.collect()}
+    spread = spark.createDataFrame([(1, n) for n in sets], "sig long, node long")
+    alone = spark.createDataFrame([], "node long, label long")
+    run.wide = run.sets.select("node", "size", "wide", "deep")
+    found = {tuple(sorted((sets[r.u], sets[r.v]))) for r in run._across(spread, alone).collect()}
+    held = {i: jj.shingle_set(t, scheme.width) for i, t in rows}
+    linked = {(i, j) for i in held for j in held if i < j and scheme.reaches(len(np.intersect1d(held[i], held[j])), len(held[i]) + len(held[j]))}
+    assert linked <= found and len(linked) >= 3
+    far = [p for p in found if len(np.intersect1d(held[p[0]], held[p[1]])) < 0.65 * len(np.union1d(held[p[0]], held[p[1]]))]
+    assert not far
+    assert Counter((r.id, r.size, r.component_id) for r in jj.linked(docs).collect()) == plain_components(rows, scheme)
+
+
+def test_folds_are_the_sketches_of_their_length():
+    rng = np.random.default_rng(4)
+    sets = [np.unique(rng.integers(0, 2**63, n, dtype=np.uint64)) for n in (5, 700, 300, 5000, 256)]
+    lengths = [256, 1024, 512, 8192, 256]
+    folds = jj._Folds(np.concatenate([jj.sketch_of(s, n) for s, n in zip(sets, lengths)]), np.array(lengths) // 64)
+    assert (folds.narrow() == np.array([jj.sketch_of(s) for s in sets])).all()
+    i, j = (x.ravel() for x in np.meshgrid(np.arange(5), np.arange(5)))
+    wanted = [int(np.bitwise_count((jj.sketch_of(sets[a], n) ^ jj.sketch_of(sets[b], n)).view(np.uint64)).sum()) for a, b in zip(i, j) for n in [min(lengths[a], lengths[b])]]
+    assert folds.differing(i, j).tolist() == wanted
