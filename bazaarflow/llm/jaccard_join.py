@@ -15,8 +15,10 @@ several signatures (`needed`), so each node drops all but one of that many, its
 **Links.** In a small bucket all pairs are candidates, in a large one the pairs with its most central node.
 Candidates must pass two exact bounds, on sizes and on 256-bit parity sketches (their difference never
 exceeds the sets' difference), then the same with 1024 bits and, for long sets, with four bits an element. Each node is compared with its most linked candidate first, then the
-candidates whose nodes are still in different components. Large buckets that are still split compare
-members of different components, in blocks of bounded size.
+candidates whose nodes are still in different components. Nodes of large buckets that are still split meet once more by
+their rarest elements (two sets that reach the similarity share one of these), as families with much text in common share
+signatures by the square of their size, but few rare elements. Buckets of such an element that hold several components
+compare members of different ones, in blocks of bounded size.
 
 Only links inside a component may stay unlooked at, so components are those of all links.
 
@@ -31,7 +33,7 @@ from __future__ import annotations
 import itertools
 import math
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache, reduce
 
@@ -53,6 +55,8 @@ SKETCH = ["s0", "s1", "s2", "s3"]
 WIDE_BITS = 1024
 DEEP = 4  # bits for each element of a long set's sketch, at least
 TOLD = 500_000  # nodes whose numbers are broadcast at most
+COMMON = 1 << 20  # elements known as common at most
+MARKS = 1 << 25  # bits of the table that tells open nodes
 
 
 @dataclass(frozen=True)
@@ -84,6 +88,10 @@ class Scheme:
         own = int(np.searchsorted(tops, size))
         return [int(t) for t in tops[own : own + 2] if t == tops[own] or size * self.whole >= self.share * (tops[own] + 1)]
 
+    def rarest(self, size: int) -> int:
+        """So many first elements, in one order of all elements, of each of two sets that reach the similarity have one in common."""
+        return size - -(-self.share * size // self.whole) + 1
+
     def layout(self, top: int) -> tuple[int, int]:
         """n1 and the parts to spare of a band."""
         k = self.differences(2 * top)
@@ -103,14 +111,10 @@ class Scheme:
             part = self._dealt(elements, top, n1)
             sums, counts = np.zeros(n1 * self.n2, dtype=np.uint64), np.bincount(part, minlength=n1 * self.n2).reshape(n1, self.n2)
             np.add.at(sums, part, elements)
-            sums = sums.reshape(n1, self.n2)
-            place = np.arange(n1, dtype=np.uint64) * np.uint64(1 << 20)
-            marks, full = [], []
-            for number, subset in enumerate(itertools.combinations(range(self.n2), self.n2 - self.k2)):
-                content = sum((mix(sums[:, j] ^ np.uint64(j + 1)) for j in subset[1:]), mix(sums[:, subset[0]] ^ np.uint64(subset[0] + 1)))
-                marks.append(mix(content ^ mix(place + np.uint64(number) + (np.uint64(top) << np.uint64(36)))))
-                full.append(counts[:, list(subset)].sum(axis=1) > 0)
-            marks, full = np.array(marks), np.array(full)
+            mixed = mix(sums.reshape(n1, self.n2).T ^ np.arange(1, self.n2 + 1, dtype=np.uint64)[:, None])
+            subsets = list(itertools.combinations(range(self.n2), self.n2 - self.k2))
+            marks = mix(np.array([mixed[list(s)].sum(axis=0, dtype=np.uint64) for s in subsets]) ^ _places(top, n1, len(subsets)))
+            full = np.array([counts[:, list(s)].sum(axis=1) > 0 for s in subsets])
             sparse = (~full).any(axis=0).sum() > spare
             found.append(marks.ravel() if sparse else marks[full])
         return np.concatenate(found) if found else np.zeros(0, dtype=np.uint64)
@@ -137,6 +141,13 @@ class Scheme:
         return min(found, default=1)
 
 
+@lru_cache(maxsize=24)
+def _places(top: int, n1: int, subsets: int) -> np.ndarray:
+    """What a band's signatures of equal content in different places differ by."""
+    place = np.arange(n1, dtype=np.uint64) * np.uint64(1 << 20) + (np.uint64(top) << np.uint64(36))
+    return mix(place + np.arange(subsets, dtype=np.uint64)[:, None])
+
+
 @lru_cache(maxsize=64)
 def _tops_upto(ratio: float, power: int) -> np.ndarray:
     tops, top = [], 4
@@ -272,8 +283,17 @@ def _described(texts: DataFrame, scheme: Scheme) -> tuple[DataFrame, int]:
     raise RuntimeError("different sets share 64-bit hashes under every seed")
 
 
-def _buckets(texts: DataFrame, scheme: Scheme, seed: int) -> DataFrame:
-    """Stored (sig, node) of all signatures that at least two nodes share."""
+def _chosen(part: pa.RecordBatch, marked: np.ndarray | None) -> list[str | None]:
+    """The texts of a batch, or those whose mark is set in the table."""
+    texts = part["text"]
+    if marked is not None:
+        at = part["mark"].to_numpy()
+        texts = texts.filter(pa.array(marked[at >> 6] >> (at & 63) & 1 == 1))
+    return texts.to_pylist()
+
+
+def _buckets(texts: DataFrame, scheme: Scheme, seed: int, signatures: Callable[[np.ndarray], np.ndarray], marked: np.ndarray | None = None) -> DataFrame:
+    """(sig, node) of all signatures that at least two nodes share; with marked, of the texts marked in it."""
 
     def sign(batches):
         worker_memory.kept("jaccard")
@@ -298,7 +318,7 @@ def _buckets(texts: DataFrame, scheme: Scheme, seed: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(route[cut]), away[cut], pa.array(node[cut]), pa.array(shared[cut])], ["route", "sig", "node", "shared"])
 
         for part in _parts(batches):
-            for text in part["text"].to_pylist():
+            for text in _chosen(part, marked):
                 elements = shingle_set(text, scheme.width)
                 if not len(elements):
                     continue
@@ -306,7 +326,7 @@ def _buckets(texts: DataFrame, scheme: Scheme, seed: int) -> DataFrame:
                 if node in seen:
                     continue
                 seen.add(node)
-                found = scheme.signatures(elements)
+                found = signatures(elements)
                 sigs.append(found.view(np.int64))
                 nodes.append(np.full(len(found), node, dtype=np.int64))
                 held += len(found)
@@ -316,7 +336,7 @@ def _buckets(texts: DataFrame, scheme: Scheme, seed: int) -> DataFrame:
             yield from flush()
 
     def meet(batches):
-        """Rows come ordered by route and sig; keep those of signatures with two nodes or more."""
+        """Rows come ordered by route; keep those of signatures with two nodes or more."""
         rest = None
         for batch in itertools.chain(batches, [None]):
             if batch is not None and not batch.num_rows:
@@ -331,11 +351,14 @@ def _buckets(texts: DataFrame, scheme: Scheme, seed: int) -> DataFrame:
                 if rest is not None:
                     columns = [np.concatenate(p) for p in zip(rest, columns)]
                 # what may go on in the next batch waits
-                waiting = (columns[0] == columns[0][-1]) & (columns[1] == columns[1][-1])
+                waiting = columns[0] == columns[0][-1]
                 rest = [c[waiting] for c in columns]
                 columns = [c[~waiting] for c in columns]
             if columns is None or not len(columns[0]):
                 continue
+            if ((columns[0][1:] == columns[0][:-1]) & (columns[1][1:] != columns[1][:-1])).any():  # routes hardly ever clash
+                order = np.lexsort((columns[1], columns[0]))
+                columns = [c[order] for c in columns]
             route, sig, node, first, shared = columns
             new = np.concatenate(([True], (sig[1:] != sig[:-1]) | (route[1:] != route[:-1])))
             group = np.cumsum(new) - 1
@@ -346,11 +369,54 @@ def _buckets(texts: DataFrame, scheme: Scheme, seed: int) -> DataFrame:
             if keep.any():
                 yield pa.RecordBatch.from_arrays([pa.array(sig[keep]), pa.array(node[keep])], ["sig", "node"])
 
-    signed = texts.select("text").mapInArrow(sign, "route long, sig long, node long, shared boolean")
-    met = signed.repartition("route").sortWithinPartitions("route", "sig").mapInArrow(meet, "sig long, node long")
+    signed = texts.select("text", *["mark"] * (marked is not None)).mapInArrow(sign, "route long, sig long, node long, shared boolean")
+    met = signed.repartition("route").sortWithinPartitions("route").mapInArrow(meet, "sig long, node long")
     return met.distinct()
 
 
+def _common(texts: DataFrame, scheme: Scheme, marked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Elements that come often in the marked texts, in order, and how often at least.
+
+    An element counts where it comes again among about FLUSH elements of a task, so most elements, which come once, stay in
+    their task. The counts only order the elements, so they need not be whole; the most frequent COMMON are kept.
+    """
+
+    def run(batches):
+        worker_memory.kept("jaccard")
+        parts, held = [], 0
+
+        def flush():
+            nonlocal parts, held
+            found, n = np.unique(np.concatenate(parts), return_counts=True)
+            parts, held = [], 0
+            again = n > 1
+            if again.any():
+                yield pa.RecordBatch.from_arrays([pa.array(found[again].view(np.int64)), pa.array(n[again].astype(np.int64))], ["element", "n"])
+
+        for part in _parts(batches):
+            for text in _chosen(part, marked):
+                elements = shingle_set(text, scheme.width)
+                parts.append(elements)
+                held += len(elements)
+                if held >= FLUSH:
+                    yield from flush()
+        if held:
+            yield from flush()
+
+    counted = write_and_reload(texts.select("text", "mark").mapInArrow(run, "element long, n long").groupBy("element").agg(F.sum("n").alias("n")), "common")
+    powers = counted.groupBy(F.log2(F.col("n").cast("double")).cast("int").alias("power")).agg(F.count("*").alias("n")).collect()
+    least, total = 0, 0
+    for power, n in sorted(powers, reverse=True):
+        total += n
+        if total > COMMON:
+            least = 2 << power
+            break
+    found = counted.filter(F.col("n") >= least).toArrow()
+    elements, n = found["element"].to_numpy().view(np.uint64), found["n"].to_numpy()
+    order = np.argsort(elements)
+    return elements[order], n[order]
+
+
 class _Join:
     """The parts of one run: nodes (node, first_id, copies, size, sketch), zipped texts of candidates, buckets."""
 
@@ -361,7 +427,7 @@ class _Join:
         self.nodes = self.sets.filter("node is not null").groupBy("node").agg(
             F.min("id").alias("first_id"), F.count("*").alias("copies"), F.max("size").alias("size"), F.max("need").alias("need"), *[F.max(s).alias(s) for s in SKETCH]
         )
-        buckets = self._telling(write_and_reload(_buckets(self.texts, scheme, self.seed), "buckets"))
+        buckets = self._telling(write_and_reload(_buckets(self.texts, scheme, self.seed, scheme.signatures), "buckets"))
         self.shape = write_and_reload(buckets.select("node").distinct().join(self.nodes, "node"), "candidates")
         chosen = self.shape.select("node", F.col("first_id").alias("id"))
         same = self.sets["node"].eqNullSafe(chosen["node"]) & self.sets["id"].eqNullSafe(chosen["id"])
@@ -468,7 +534,10 @@ class _Join:
             known = write_and_reload(components.labels(links), "labels")
         if large.isEmpty():
             return known
-        across = write_and_reload(self.closer(write_and_reload(self._across(large, known), "across")), "pairs")
+        rare = self._rare(large, known)
+        if rare is None:
+            return known
+        across = write_and_reload(self.closer(write_and_reload(self._across(rare, known), "across")), "pairs")
         if across.isEmpty():
             return known
         more = self.links(across, self.bodies(across.select(F.col("u").alias("node")).union(across.select("v")).distinct()))
@@ -507,8 +576,37 @@ class _Join:
         small = self.members.filter(F.col("members") <= SMALL).select(names)
         return small.repartition("sig").sortWithinPartitions("sig").mapInArrow(run, "u long, v long").distinct()
 
+    def _rare(self, large: DataFrame, known: DataFrame) -> DataFrame | None:
+        """Stored (sig, node) of the rare elements that nodes of split large buckets share; None if no large bucket is split.
+
+        Pairs that are still open lie in such a bucket, so both of their nodes are signed here. Other texts may be, too:
+        texts with the id of a wanted one or with the same mark.
+        """
+        scheme = self.scheme
+        labelled = large.select("sig", "node").join(known, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        split = labelled.groupBy("sig").agg(F.min("label").alias("a"), F.max("label").alias("b")).filter("a <> b")
+        open_nodes = write_and_reload(large.select("sig", "node").join(split, "sig", "left_semi").select("node").distinct(), "open")
+        if open_nodes.isEmpty():
+            return None
+        mark = lambda c: F.pmod(F.xxhash64(c), F.lit(MARKS))
+        marks = self.shape.join(open_nodes, "node", "left_semi").select(mark("first_id").alias("mark"))
+        words = marks.groupBy(F.shiftright("mark", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(mark & 63 as int)))").alias("bits")).toArrow()
+        marked = np.zeros(MARKS >> 6, dtype=np.int64)
+        marked[words["word"].to_numpy()] = words["bits"].to_numpy()
+        texts = self.texts.withColumn("mark", mark("id"))
+        common, often = _common(texts, scheme, marked)
+
+        def first(elements: np.ndarray) -> np.ndarray:
+            n = np.zeros(len(elements), dtype=np.int64)
+            if len(common):
+                at = np.minimum(np.searchsorted(common, elements), len(common) - 1)
+                n = np.where(common[at] == elements, often[at], 0)
+            return elements[np.argsort(n, kind="stable")[: scheme.rarest(len(elements))]]
+
+        return write_and_reload(_buckets(texts, scheme, self.seed, first, marked), "rare")
+
     def _across(self, large: DataFrame, known: DataFrame) -> DataFrame:
-        """Pairs of different components in the same large bucket that pass the bounds.
+        """Pairs of different components in the same bucket that pass the bounds.
 
         The members outside a bucket's most frequent component are its strays. Each block has up to
         about STRAYS strays and BLOCK members; every stray meets every member in one block. The bound needs a bit for each
@@ -534,17 +632,35 @@ class _Join:
         met = members.select(placed).union(strays.select(placed)).join(told, "node")
         blocks = met.select(names).repartition("sig", "row", "column").sortWithinPartitions("sig", "row", "column")
 
-        def compare(block: list[np.ndarray]):
+        def compare(blocks: list[list[np.ndarray]], begins: np.ndarray):
+            """Small blocks are compared all at once, row by row with the next ones, large ones each for itself."""
+            block = [np.concatenate(p) for p in zip(*blocks)]
             member, stray = (c.astype(bool) for c in block[3:5])
             node, label, size, lengths, words = block[5:]
             folds = _Folds(words, lengths)
             narrow = folds.narrow()
-            a, b = np.flatnonzero(stray), np.flatnonzero(member)
-            for at in range(0, len(a), 64):
-                one = a[at : at + 64, None]
-                bits = _differing((narrow[one, i], narrow[b, i]) for i in range(len(SKETCH)))
-                i, j = np.nonzero((label[one] != label[b]) & scheme.bound(bits, size[one], size[b], size[one] + size[b]))
-                i, j = a[at + i], b[j]
+            counts = np.diff(np.append(begins, len(node)))
+            number = np.repeat(np.arange(len(begins)), counts)
+
+            def candidates():
+                rows = np.flatnonzero(counts[number] <= SMALL)
+                for step in range(1, SMALL):
+                    i, j = rows[:-step], rows[step:]
+                    meet = (number[i] == number[j]) & (label[i] != label[j]) & ((stray[i] & member[j]) | (stray[j] & member[i]))
+                    i, j = i[meet], j[meet]
+                    bits = _differing((narrow[i, k], narrow[j, k]) for k in range(len(SKETCH)))
+                    close = scheme.bound(bits, size[i], size[j], size[i] + size[j])
+                    yield i[close], j[close]
+                for start, count in zip(begins[counts > SMALL], counts[counts > SMALL]):
+                    own = slice(start, start + count)
+                    a, b = start + np.flatnonzero(stray[own]), start + np.flatnonzero(member[own])
+                    for at in range(0, len(a), 64):
+                        one = a[at : at + 64, None]
+                        bits = _differing((narrow[one, k], narrow[b, k]) for k in range(len(SKETCH)))
+                        i, j = np.nonzero((label[one] != label[b]) & scheme.bound(bits, size[one], size[b], size[one] + size[b]))
+                        yield a[at + i], b[j]
+
+            for i, j in candidates():
                 good = scheme.bound(folds.differing(i, j), size[i], size[j], size[i] + size[j])
                 if good.any():
                     u, v = node[i[good]], node[j[good]]
@@ -552,6 +668,7 @@ class _Join:
 
         def run(batches):
             held: list[list[np.ndarray]] = []
+            begins, count = [], 0
             now = None
             for batch in batches:
                 if not batch.num_rows:
@@ -562,13 +679,16 @@ class _Join:
                 new = np.flatnonzero(np.any([c[1:] != c[:-1] for c in columns[:3]], axis=0)) + 1
                 for a, b in zip([0, *new], [*new, batch.num_rows]):
                     key = tuple(c[a] for c in columns[:3])
-                    if key != now and held:
-                        yield from compare([np.concatenate(p) for p in zip(*held)])
-                        held = []
+                    if key != now:
+                        if count >= BLOCK:
+                            yield from compare(held, np.array(begins))
+                            held, begins, count = [], [], 0
+                        begins.append(count)
                     now = key
                     held.append([*(c[a:b] for c in columns), np.diff(ends[a : b + 1]), words[ends[a] : ends[b]]])
+                    count += int(b - a)
             if held:
-                yield from compare([np.concatenate(p) for p in zip(*held)])
+                yield from compare(held, np.array(begins))
 
         return blocks.mapInArrow(run, "u long, v long").distinct()
 

@@ -29,4 +29,6 @@ def shingle_set(text: str | None, width: int) -> np.ndarray:
     total = np.zeros(len(words) - width + 1, dtype=np.uint64)
     for i in range(width):
         total += words[i : len(words) - width + 1 + i] * _ODD[i % 64]
-    return np.unique(mix(total ^ np.uint64(width)))
+    found = mix(total ^ np.uint64(width))
+    found.sort()
+    return found[np.concatenate(([True], found[1:] != found[:-1]))]

@@ -241,3 +241,45 @@ def test_folds_are_the_sketches_of_their_length():
     i, j = (x.ravel() for x in np.meshgrid(np.arange(5), np.arange(5)))
     wanted = [int(np.bitwise_count((jj.sketch_of(sets[a], n) ^ jj.sketch_of(sets[b], n)).view(np.uint64)).sum()) for a, b in zip(i, j) for n in [min(lengths[a], lengths[b])]]
     assert folds.differing(i, j).tolist() == wanted
+
+
+def test_similar_sets_share_one_of_their_first_elements():
+    rng = np.random.default_rng(6)
+    for share in (55, 80, 90):
+        scheme = jj.Scheme(share=share)
+        met = 0
+        for _ in range(400):
+            a = rng.choice(400, int(rng.integers(1, 90)), replace=False)
+            b = np.union1d(a[int(rng.integers(0, 1 + len(a) // 8)) :], rng.choice(400, int(rng.integers(0, 9))))
+            if not len(b) or not scheme.reaches(len(np.intersect1d(a, b)), len(a) + len(b)):
+                continue
+            met += 1
+            order = rng.permutation(400)
+            first = [set(s[np.argsort(order[s])][: scheme.rarest(len(s))].tolist()) for s in (a, b)]
+            assert first[0] & first[1]
+        assert met > 50
+
+
+def test_families_with_much_text_in_common_are_not_compared_pair_by_pair(spark, monkeypatch):
+    """Half of each text is its family's, so all share large buckets; only copies of two of them are near."""
+    rng = random.Random(12)
+    base = [f"h{i}" for i in range(150)]
+    texts = [[*base, *(f"o{i}_{k}" for k in range(150))] for i in range(60)]
+    for i in (5, 40):
+        for k in range(4):
+            at = rng.randrange(len(texts[i]))
+            texts.append([*texts[i][:at], f"n{i}_{k}", *texts[i][at:]])
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    met, across = [], jj._Join._across
+
+    def noted(self, buckets, known):
+        counts = [r["count"] for r in buckets.groupBy("sig").count().collect()]
+        met.append(sum(n * n for n in counts))
+        return across(self, buckets, known)
+
+    monkeypatch.setattr(jj._Join, "_across", noted)
+    # as if the nearest pairs had not been found by other ways
+    monkeypatch.setattr(jj._Join, "_within", lambda self: self.shape.select(jj.F.col("node").alias("u"), jj.F.col("node").alias("v")).limit(0))
+    assert Counter((r.id, r.size, r.component_id) for r in jj.linked(docs).collect()) == plain_components(rows, jj.Scheme())
+    assert met and max(met) < len(rows) ** 2
