@@ -12,7 +12,7 @@ from bazaarflow.operators import validate as V
 from bazaarflow.operators.market_day import market_days
 from bazaarflow.operators.series import LOOKBACK_REPORTS, by_report, with_anomaly
 from bazaarflow.operators.upsert import HISTORY_KEY, LEDGER_KEY, changed_keys, content_hashes, keep_last, newest_days, one_per_key
-from bazaarflow.session import write_and_reload
+from bazaarflow.session import in_pass, passes, write_and_reload, write_passes
 from bazaarflow.settings import QualitySettings
 from bazaarflow.sources import raw_json, reference_dims
 
@@ -126,15 +126,18 @@ def changes(sources: DataFrame, ledger: DataFrame, position: Sequence[str], qual
     sources: reports of all source files, stored in a folder for each `source_month`. hashes: (state_id, state, commodity,
     source_month, source_sha256), from the files' ledger for example; computed from the reports if it isn't given. Only
     folders of months with a change are read then, and in them only the changed sources' rows go on. The months, one value
-    for each folder, are the only thing the driver gets.
+    for each folder, are the only thing the driver gets. Copies are sought in passes over the reports, as their shuffles hold
+    every report; copies of a report are in one pass.
     """
     keys = list(LEDGER_KEY)
     found = content_hashes(sources, ["state", *keys], CONTENT) if hashes is None else hashes
     changed = write_and_reload(changed_keys(ledger, found), "changed")
     months = sorted(r["source_month"] for r in changed.select("source_month").distinct().collect())
-    fresh = sources.filter(F.col("source_month").isin(months)).join(changed.select(*keys), keys, "left_semi")
+    read = sources.filter(F.col("source_month").isin(months))
+    fresh = read.join(changed.select(*keys), keys, "left_semi")
     checked = V.validated(fresh, quality.start_date, quality.end_date, quality.maximum_price)
-    marked = write_and_reload(V.with_duplicates_marked(checked, position), "marked")
+    n = passes(read.count())
+    marked = write_passes([V.with_duplicates_marked(checked.filter(in_pass(i, n, *V.DUPLICATE_KEY)), position) for i in range(n)], "marked")
     counted = V.quality_ledger(marked, changed, keys)
     return Changes(changed, marked, keep_last(ledger, counted, LEDGER_KEY))
 

@@ -10,7 +10,7 @@ from bazaarflow.plans import refresh
 from bazaarflow.queries.base import (
     PARTS, QUALITY, checked, history, market_day_sql, marked, oracle, register,
 )
-from bazaarflow.session import shared_folder, write_and_reload
+from bazaarflow.session import in_pass, passes, shared_folder, shuffles_freed, write_and_reload
 from bazaarflow.sources import tables as T
 
 LINE = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "copy"]
@@ -161,18 +161,24 @@ def _by_month(reports):
 
 
 def _source_versions(spark, sf):
-    """The current sources, in a folder for each month, and the ledger of the earlier ones."""
+    """The current sources, in a folder for each month, and the ledger of the earlier ones.
+
+    Both versions read one stored table of all reports; each leaves out its rows and sets its prices where it is read.
+    """
     reports = T.defective_reports(spark, sf)
     folder = shared_folder(spark, "sources")
-    other = F.when(F.expr(_OTHER), F.col("modal_price") + 1).otherwise(F.col("modal_price"))
-    current = reports.filter(~F.expr(_GONE)).withColumn("modal_price", other)
-    _by_month(current).write.partitionBy("source_month").parquet(folder)
+    n = passes(T.table(spark, sf, "lineitem").count())
+    with shuffles_freed(spark):
+        for i in range(n):  # a month is dealt and written in one pass
+            own = reports.filter(in_pass(i, n, "source_month"))
+            _by_month(own).write.mode("append").partitionBy("source_month").option("compression", "zstd").parquet(folder)
     # the folder's names would else be read as dates
-    kept = spark.read.schema(current.schema).parquet(folder)
-    earlier = write_and_reload(reports.filter(~F.expr(_NEW)), "sources")
+    kept = spark.read.schema(reports.schema).parquet(folder)
+    other = F.when(F.expr(_OTHER), F.col("modal_price") + 1).otherwise(F.col("modal_price"))
+    current, earlier = kept.filter(~F.expr(_GONE)).withColumn("modal_price", other), kept.filter(~F.expr(_NEW))
     nothing = spark.createDataFrame([], "state_id long, state string, commodity string, source_month string, source_sha256 string")
     ledger = refresh.changes(earlier, nothing, T.LINE_POSITION, QUALITY).ledger
-    return kept, write_and_reload(ledger, "ledger")
+    return current, write_and_reload(ledger, "ledger")
 
 
 @register("ledger_merge", oracle(f"""

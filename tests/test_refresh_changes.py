@@ -6,6 +6,7 @@ from datetime import date, timedelta
 import pytest
 from pyspark.sql import functions as F
 
+from bazaarflow import session
 from bazaarflow.operators.upsert import changed_keys, content_hashes
 from bazaarflow.plans import refresh
 from bazaarflow.queries.reports import _by_month
@@ -108,3 +109,50 @@ def test_sources_are_dealt_by_month_without_a_sample(spark, tmp_path):
     dealt.write.partitionBy("source_month").parquet(str(tmp_path / "months"))
     assert sorted(r.at for r in spark.read.parquet(str(tmp_path / "months")).collect()) == list(range(600))
     assert sorted(f.name for f in (tmp_path / "months").iterdir() if f.is_dir()) == [f"source_month=2024-{m:02}" for m in range(1, 13)]
+
+
+def test_copies_are_found_whatever_the_number_of_passes(spark, monkeypatch):
+    """Each pass shuffles a part of the reports; copies, null keys and rejected reports are those of a single pass."""
+    frame = reports(spark, range(60))
+    odd = frame.filter("line % 9 = 0").withColumn("variety", F.lit(None).cast("string"))
+    frame = frame.unionByName(odd.withColumn("line", F.col("line") + 1000)).unionByName(odd.withColumn("line", F.col("line") + 2000))
+    copies = frame.filter("line % 4 = 0").withColumns({"line": F.col("line") + 10_000, "variety": F.upper("variety")})
+    frame = frame.unionByName(copies).withColumn("min_price", F.when(F.col("line") % 11 == 0, -1.0).otherwise(F.col("min_price")))
+
+    def found(rows, most):
+        monkeypatch.setattr(session, "PASS_ROWS", rows)
+        monkeypatch.setattr(session, "PASSES", most)
+        result = refresh.changes(frame, nothing(spark), ["line"], QUALITY)
+        return sorted((r.line, r.exclusion_reason or "") for r in result.marked.collect()), sorted(map(str, result.ledger.collect()))
+
+    stored_by = []
+    write = refresh.write_passes
+    monkeypatch.setattr(refresh, "write_passes", lambda frames, purpose: stored_by.append([f.count() for f in frames]) or write(frames, purpose))
+    whole, parts = found(10**9, 1), found(50, 5)
+    assert whole == parts and {r for _, r in whole[0]} == {"", "exact_duplicate", "non_positive_price"}
+    assert [len(n) for n in stored_by] == [1, 5] and sum(stored_by[1]) == sum(stored_by[0]) == frame.count()
+    assert max(stored_by[1]) < frame.count() / 2
+
+
+def test_source_versions_store_the_reports_once_and_leave_no_shuffles(spark, tmp_path, monkeypatch):
+    from bazaarflow.queries import reports as queries
+
+    start = date(2001, 1, 1)
+    lines = [(i, i % 5, i % 3, i % 7 + 1, 10.0, 100.0 + i, 0.01, 0.02, "N", start + timedelta(days=i % 90)) for i in range(300)]
+    spark.createDataFrame(lines, """l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double,
+        l_discount double, l_tax double, l_returnflag string, l_shipdate date""").withColumn("l_shipdate", F.col("l_shipdate").cast("timestamp_ntz")).write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(i, ("PROMO", "SMALL", "LARGE")[i % 3], f"B{i}") for i in range(5)], "p_partkey long, p_type string, p_brand string").write.parquet(f"{tmp_path}/part.parquet")
+    spark.createDataFrame([(i, i) for i in range(3)], "s_suppkey long, s_nationkey int").write.parquet(f"{tmp_path}/supplier.parquet")
+    spark.createDataFrame([(i, f"N{i}", 0) for i in range(3)], "n_nationkey int, n_name string, n_regionkey int").write.parquet(f"{tmp_path}/nation.parquet")
+    spark.createDataFrame([(0, "R")], "r_regionkey int, r_name string").write.parquet(f"{tmp_path}/region.parquet")
+    monkeypatch.setattr(session, "PASS_ROWS", 100)
+    folders, freed = [], []
+    folder, dealt = session.shared_folder, queries._by_month
+    noted = lambda spark, purpose: folders.append(purpose) or folder(spark, purpose)
+    monkeypatch.setattr(session, "shared_folder", noted)
+    monkeypatch.setattr(queries, "shared_folder", noted)
+    monkeypatch.setattr(queries, "_by_month", lambda rows: freed.append(spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled")) or dealt(rows))
+    current, ledger = queries._source_versions(spark, str(tmp_path))
+    # PROMO from 2001 on is not in the earlier sources, SMALL before 1996 isn't there at all
+    assert current.count() == 306 and ledger.agg(F.sum("input_records")).first()[0] == current.filter("commodity <> 'PROMO'").count()
+    assert folders.count("sources") == 1 and freed == ["true"] * 3
